@@ -53,13 +53,13 @@ def _classes(docs: DataFrame, bits: int) -> bytes:
 
 
 def _member_test(ids: DataFrame, bits: int):
-    """A test on ids that all of the given ids pass, and few others: a bitmap with four bits a byte."""
-    place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
-    rows = ids.select(place(F.col("id")).alias("p")).groupBy(F.shiftright("p", 2).alias("w")).agg(F.expr("bit_or(shiftleft(1, cast(p & 3 as int)))").alias("v")).toArrow()
+    """A test on keys that all of the given ones pass, and few others: a bitmap with four bits a byte."""
+    place = lambda *c: F.shiftrightunsigned(F.xxhash64(*c), 64 - bits)
+    rows = ids.select(place(*ids.columns).alias("p")).groupBy(F.shiftright("p", 2).alias("w")).agg(F.expr("bit_or(shiftleft(1, cast(p & 3 as int)))").alias("v")).toArrow()
     table = np.full(1 << (bits - 2), 64, np.uint8)
     table[rows["w"].to_numpy()] |= rows["v"].to_numpy().astype(np.uint8)
     table = table.tobytes()
-    return lambda c: F.coalesce(F.getbit(_literal_at(table, F.shiftright(place(c), 2).cast("int")), (place(c) % 4).cast("int")) == 1, F.lit(False))
+    return lambda *c: F.coalesce(F.getbit(_literal_at(table, F.shiftright(place(*c), 2).cast("int")), (place(*c) % 4).cast("int")) == 1, F.lit(False))
 
 
 def _fits(percent: int, n1: str, p1: str, n2: str, p2: str) -> Column:
@@ -72,7 +72,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, percent: int, bits: int) -> Data
     pairs = written(pairs.distinct(), "line-pairs")
     needed = pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct().select("at.id", "at.line")
     test = _member_test(needed, bits)
-    found = docs.filter(test(F.col(_ID))).select(F.col(_ID).alias("id"), F.posexplode(F.split(_TEXT, "\n")).alias("line", "text")).join(needed, ["id", "line"], "left_semi")
+    found = docs.select(F.col(_ID).alias("id"), F.posexplode(F.split(_TEXT, "\n")).alias("line", "text")).filter(test("id", "line")).join(needed, ["id", "line"], "left_semi")
     sets = written(found.select(F.struct("id", "line").alias("at"), F.array_distinct(_words(F.col("text"))).alias("words")), "line-sets")
     both = pairs.join(sets.select(F.col("at").alias("x"), F.col("words").alias("wx")), "x").join(sets.select(F.col("at").alias("y"), F.col("words").alias("wy")), "y")
     shared = F.size(F.array_intersect("wx", "wy"))
@@ -87,28 +87,33 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 5, max_bi
     table = _classes(docs, bits)
 
     def ranked(line: Column) -> Column:
+        """Size of the line's set and its prefix, rarest words first."""
         hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
         rank = lambda h: _literal_at(table, F.shiftrightunsigned(h, 64 - bits).cast("int")) - 65
-        return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rank(h).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
+        ordered = F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rank(h).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
+        prefix = lambda w: F.slice(w, F.lit(1), F.size(w) - F.ceil(F.size(w) * percent / 100.0 - 1e-9).cast("int") + 1)
+        # Computed once: an array of one, of which a function makes both values.
+        return F.element_at(F.transform(F.array(ordered), lambda w: F.struct(F.size(w).alias("n"), F.when(F.size(w) >= min_words, prefix(w)).alias("words"))), 1)
 
     raw = docs.select(F.col(_ID).alias("id"), F.posexplode(F.split(_TEXT, "\n")).alias("line", "text")).filter("text <> ''")
     raw = raw.select(F.struct("id", "line").alias("at"), "text", F.xxhash64("text").alias("h1"), F.hash("text", F.length("text")).alias("h2"))
-    described = raw.select("at", "h1", "h2", ranked(F.col("text")).alias("words"))
-    described = described.select("at", "h1", "h2", F.size("words").alias("n"), "words").filter(F.col("n") >= min_words)
-    prefix = F.expr(f"slice(words, 1, n - ({percent} * n + 99) div 100 + 1)")
-    lines = written(described.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first(prefix).alias("words")), "line-classes")
+    described = raw.select("at", "h1", "h2", ranked(F.col("text")).alias("set"))
+    grouped = described.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count("*").alias("copies"), F.first("set").alias("set"))
+    lines = written(grouped.select("h1", "h2", "at", "copies", "set.n", "set.words").filter(F.col("n") >= min_words), "line-classes")
 
     repeated = lines.filter("copies > 1").select("h1", "h2", F.col("at").alias("earliest"))
     equal = raw.select("at", "h1", "h2").join(repeated, ["h1", "h2"]).filter("at > earliest").select("at")
 
     rows = lines.select("at", "n", F.posexplode("words").alias("pos", "word")).withColumn("small", F.expr(f"pos <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent}"))
-    full = rows.groupBy("word").agg(F.count("*").alias("c"), F.max("small").alias("any_small"), F.min(F.struct("at", "n", "pos")).alias("first")).filter("c > 1 and any_small")
-    buckets = written(rows.join(full.select("word", "first"), "word"), "line-buckets")
-    stars = buckets.filter("at > first.at").filter(_fits(percent, "n", "pos", "first.n", "first.pos")).select(F.col("at").alias("x"), F.col("first.at").alias("y"))
+    full = rows.groupBy("word").agg(F.count("*").alias("c"), F.max("small").alias("any_small")).filter("c > 1 and any_small").select("word")
+    buckets = written(rows.join(full, "word", "left_semi"), "line-buckets")
+    first = buckets.groupBy("word").agg(F.min(F.struct("at", "n", "pos")).alias("first"))
+    later = buckets.join(first, "word").filter("at > first.at")
+    stars = later.filter(_fits(percent, "n", "pos", "first.n", "first.pos")).select(F.col("at").alias("x"), F.col("first.at").alias("y"))
     gone = written(_similar(stars, docs, percent, id_bits), "line-stars")
 
-    x = buckets.filter("at > first.at").join(gone.select(F.col("x").alias("at")), "at", "left_anti").select("word", F.col("at").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
-    y = buckets.filter("at > first.at").select("word", F.col("at").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
+    x = later.join(gone.select(F.col("x").alias("at")), "at", "left_anti").select("word", F.col("at").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
+    y = later.select("word", F.col("at").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
     rest = x.join(y, "word").filter("y < x").filter(_fits(percent, "nx", "px", "ny", "py")).select("x", "y")
     late = _similar(rest, docs, percent, id_bits)
     return written(equal.unionByName(gone.select(F.col("x").alias("at"))).unionByName(late.select(F.col("x").alias("at"))).distinct().select("at.id", "at.line"), "lines-gone")
