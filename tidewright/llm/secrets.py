@@ -99,7 +99,8 @@ def default_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seeds = spark.range(n_random).select("id", F.sha2(F.concat(F.lit("seed"), F.col("id").cast("string")), 256).alias("h"))
     random = seeds.select(F.when(F.col("id") % 3 == 0, F.col("h")).when(F.col("id") % 3 == 1, F.base64(F.unhex("h"))).otherwise(F.upper(F.translate(F.base64(F.unhex("h")), "+/=", "xyz"))).alias("text"), F.lit(1).alias("label"))
     numbers = seeds.filter("id % 10 = 0").select(F.regexp_replace(F.format_string("%020d", F.abs(F.xxhash64("id"))), "^", "20").alias("text"), F.lit(0).alias("label"))
-    some = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("t")).orderBy("h").limit(sample_docs)
+    ids = [r["id"] for r in docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).filter("id is not null").orderBy("h", "id").limit(sample_docs).collect()]
+    some = docs.filter(F.col(id_col).isin(ids)).select(F.col(text_col).cast("string").alias("t")) if ids else docs.select(F.lit(None).cast("string").alias("t")).limit(0)
     words = some.select(F.explode(F.regexp_extract_all("t", F.lit(r"\b[A-Za-z]{2,19}\b"), F.lit(0))).alias("w")).select(F.lower("w").alias("w"), F.initcap("w").alias("c"), F.upper("w").alias("u"), F.pmod(F.xxhash64("w"), F.lit(4)).alias("k"))
     shaped = words.select(F.when(F.col("k") == 0, F.concat_ws("_", "w", "w")).when(F.col("k") == 1, F.concat("w", "c")).when(F.col("k") == 2, F.concat_ws("_", "u", "u")).otherwise(F.concat_ws("-", "w", "w")).alias("text"), F.lit(0).alias("label"))
     plain = words.select(F.concat("w", "w").alias("text"), F.lit(0).alias("label"))
