@@ -172,7 +172,7 @@ def _kept(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n_words long, n_removed long, kept binary")
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, k: int = 8, cells_per_print: int = 8, max_bits: int = 27, flush: int = 1_500_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, k: int = 8, cells_per_print: int = 8, max_bits: int = 27, flush: int = 750_000) -> DataFrame:
     """Per document: id, n_words, n_removed, kept (UTF-8 of the kept words, joined by one space).
 
     Words covered by a window of ``window`` words that also starts in a document of smaller id go.
