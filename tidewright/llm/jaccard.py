@@ -6,8 +6,9 @@ within it, by hash. In such an order two similar sets share a token within their
 first shared token enough tokens have to remain on both sides: that is the positional
 filter, and it leaves the smaller set a prefix of about half the length. Candidates are found under the first
 order; they stay if their prefixes also share a token under each further order (other hashes),
-which are compared as 16-bit values, so a coincidence may add a candidate and none is lost. The sets
-of what is left are compared exactly, from the texts.
+which are compared as 16-bit values, so a coincidence may add a candidate and none is lost. Bits of
+parity by part of the tokens bound the difference of two sets from below and drop pairs a little
+below the threshold where buckets are joined. The sets of what is left are compared exactly, from the texts.
 
 Components need no link between documents already connected. So each token's bucket first links its
 members to one member, chosen by hash; only members that then still lie in different components are
@@ -36,6 +37,10 @@ from tidewright.llm.components import components
 from tidewright.llm.tables import written
 
 
+#: A set's tokens are dealt into 2**PARITY_BITS parts; a bit says whether a part has an odd number of them.
+PARITY_BITS = 9
+
+
 def ceil_div(x, y):
     return -(-x // y)
 
@@ -105,7 +110,7 @@ def _described(docs: DataFrame, classes, n: int, percent: int, bits: int, orders
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sizes, s1, s2, tokens, others = [], [], [], [], []
+                sizes, s1, s2, tokens, others, parity = [], [], [], [], [], []
                 for _, own in _sets(part.column(1), n):
                     sizes.append(len(own))
                     s1.append(np.int64(W.mix(own).sum(dtype=np.uint64).astype(np.int64)))
@@ -113,17 +118,19 @@ def _described(docs: DataFrame, classes, n: int, percent: int, bits: int, orders
                     prefix = len(own) - ceil_div(percent * len(own), 100) + 1 if len(own) else 0
                     rank = table[_cell(own, bits)] if len(own) else own
                     tokens.append(own[np.lexsort((own, rank))[:prefix]].view(np.int64))
+                    odd = np.bincount((W.mix(own ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - PARITY_BITS)).astype(np.int64), minlength=1 << PARITY_BITS) & 1
+                    parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                     rest = []
                     for k in range(1, orders):
                         other = W.mix(own + np.uint64(k * 7919))
                         rest.append(np.unique((other[np.lexsort((other, rank))[:prefix]] & np.uint64(0xFFFF)).astype(np.uint16)).astype(np.int32))
                     others.append(rest)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.list_(pa.int32())))],
-                    ["id", "n", "s1", "s2", "tokens", "others"],
+                    [part.column(0), pa.array(sizes, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.list_(pa.int32()))), pa.array(parity, pa.list_(pa.int64()))],
+                    ["id", "n", "s1", "s2", "tokens", "others", "parity"],
                 )
 
-    return docs.mapInArrow(run, "id long, n int, s1 long, s2 long, tokens array<long>, others array<array<int>>")
+    return docs.mapInArrow(run, "id long, n int, s1 long, s2 long, tokens array<long>, others array<array<int>>, parity array<long>")
 
 
 def _overlap(n1: Column, n2: Column, percent: int) -> Column:
@@ -164,7 +171,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = spark.sparkContext.broadcast(_rarity(left, n, bits))
     described = written(_described(left, classes, n, percent, bits, orders), "sets")
     known = described.filter("id is not null and n > 0")
-    reps = known.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("others").alias("others"))
+    reps = known.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("others").alias("others"), F.first("parity").alias("parity"))
     reps = written(reps, "classes")
 
     # Buckets of two or more, one of which at least can be the smaller of a pair there.
@@ -176,13 +183,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         need = _overlap(n1, n2, percent)
         return (F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2})")) & (F.expr(f"{n1} - {p1}") >= need) & (F.expr(f"{n2} - {p2}") >= need)
 
+    def even(n1: str, x: str, n2: str, y: str) -> Column:
+        """Each part of odd parity in one set only holds a token that the other lacks; similar sets have few of these."""
+        differ = " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(max(1, (1 << PARITY_BITS) // 64)))
+        return F.expr(differ) <= F.expr(f"{n1} + {n2}") - 2 * _overlap(n1, n2, percent)
+
     def filtered(pairs: DataFrame) -> DataFrame:
-        """Pairs whose prefixes also share a token under each further order."""
+        """Pairs whose prefixes also share a token under each further order, and whose parities agree well enough."""
         pairs = pairs.distinct()
-        if orders == 1:
-            return pairs
-        side = reps.select("rep", "others")
-        pairs = pairs.join(side.select(F.col("rep").alias("a"), F.col("others").alias("others_a")), "a").join(side.select(F.col("rep").alias("b"), F.col("others").alias("others_b")), "b")
+        for x in "ab":
+            pairs = pairs.join(reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("others").alias(f"others_{x}"), F.col("parity").alias(f"parity_{x}")), x)
+        pairs = pairs.filter(even("n_a", "parity_a", "n_b", "parity_b"))
         shared = F.forall(F.arrays_zip("others_a", "others_b"), lambda z: F.arrays_overlap(z["others_a"], z["others_b"]))
         return pairs.filter(shared).select("a", "b").distinct()
 
@@ -193,10 +204,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     member = buckets.drop("pivot").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_ = member.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
-    member = written(member.join(open_, "token", "left_semi"), "open")
-    x = member.filter("small").select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
-    y = member.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
-    rest = x.join(y, "token").filter("ca <> cb and (na < nb or na = nb and a < b)").filter(fits("na", "pa", "nb", "pb")).select("a", "b")
+    member = written(member.join(open_, "token", "left_semi").join(reps.select("rep", "parity"), "rep"), "open")
+    x = member.filter("small").select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"), F.col("parity").alias("qa"))
+    y = member.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"), F.col("parity").alias("qb"))
+    rest = x.join(y, "token").filter("ca <> cb and (na < nb or na = nb and a < b)").filter(fits("na", "pa", "nb", "pb")).filter(even("na", "qa", "nb", "qb")).select("a", "b")
     more = _verified(filtered(rest), texts, n, percent)
     final = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
