@@ -11,8 +11,9 @@ parity by part of the tokens bound the difference of two sets from below and dro
 below the threshold where buckets are joined. The sets of what is left are compared exactly, from the texts.
 
 Components need no link between documents already connected. So each token's bucket first links its
-members to one member, chosen by hash; only members that then still lie in different components are
-compared with each other. A large group of near copies costs its size there, not its square.
+members to its least id, then, for ``rounds`` rounds, those of other components to a member chosen by
+hash; only members that then still lie in different components are compared with each other. A large
+group of near copies costs its size a round, not its square.
 
 Scale: texts are read for counting, for sets, and for the pairs left. Buckets are joined by
 shuffles that Spark splits when hot; the table of counts has a bounded size. Links and components stay in
@@ -152,15 +153,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
                 kept = part.filter(pa.array(good, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
 
-    first = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = first.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    pairs = written(pairs, "pairs")
+    sides = pairs
+    for x in "ab":  # only texts of documents that stand in a pair are shuffled
+        own = texts.join(pairs.select(F.col(x).alias("id")).distinct(), "id", "left_semi")
+        sides = sides.join(own.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")), x)
+    both = sides.select("a", "b", "text_a", "text_b")
     return both.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90, orders: int = 3, max_bits: int = 24) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90, orders: int = 3, max_bits: int = 24, rounds: int = 2) -> DataFrame:
     """Per document: id, n_shingles, component_id (the least id reachable by links of Jaccard similarity percent / 100 or more).
 
-    n: words of a shingle; orders: global token orders; max_bits: 2**max_bits cells of the rarity table at most (a byte each in every worker).
+    n: words of a shingle; orders: global token orders; max_bits: 2**max_bits cells of the rarity table at most (a byte each in every worker); rounds: of links to one member a bucket before members are compared with each other.
     """
     if not 0 < percent <= 100 or orders < 1:
         raise ValueError("percent has to lie in 1..100 and orders be 1 or more")
@@ -176,7 +181,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # Buckets of two or more, one of which at least can be the smaller of a pair there.
     rows = reps.select("rep", "n", F.posexplode("tokens").alias("pos", "token")).withColumn("small", F.expr(f"pos <= n - ({2 * percent} * n + {100 + percent} - 1) div {100 + percent}"))
-    full = rows.groupBy("token").agg(F.count("*").alias("c"), F.max("small").alias("any_small"), F.min(F.struct(F.xxhash64("token", "rep").alias("h"), "rep", "n", "pos")).alias("pivot")).filter("c > 1 and any_small")
+    full = rows.groupBy("token").agg(F.count("*").alias("c"), F.max("small").alias("any_small"), F.min(F.struct("rep", "n", "pos")).alias("pivot")).filter("c > 1 and any_small")
     buckets = written(rows.join(full.select("token", "pivot"), "token"), "buckets")
 
     def fits(n1: str, p1: str, n2: str, p2: str) -> Column:
@@ -202,9 +207,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = written(_verified(filtered(stars.select(F.col("rep").alias("a"), F.col("pivot.rep").alias("b"))), texts, n, percent), "links")
     found = components(links)
 
-    member = buckets.drop("pivot").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = member.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
-    member = written(member.join(open_, "token", "left_semi").join(reps.select("rep", "parity"), "rep"), "open")
+    member = buckets.drop("pivot")
+    for k in range(rounds + 1):
+        placed = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        pivot = F.min(F.struct(F.xxhash64(F.lit(k), "token", "rep").alias("h"), "rep", "n", "pos", "component")).alias("pivot")
+        open_ = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), pivot).filter("low <> high").select("token", "pivot")
+        placed = written(placed.join(open_, "token"), "open")
+        member = placed.drop("component", "pivot")
+        if k == rounds:
+            break
+        stars = placed.filter("component <> pivot.component").filter(fits("n", "pos", "pivot.n", "pivot.pos"))
+        links = written(_verified(filtered(stars.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b"))), texts, n, percent), "links")
+        found = written(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)), "components")
+    member = placed.drop("pivot").join(reps.select("rep", "parity"), "rep")
     x = member.filter("small").select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"), F.col("parity").alias("qa"))
     y = member.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"), F.col("parity").alias("qb"))
     rest = x.join(y, "token").filter("ca <> cb and (na < nb or na = nb and a < b)").filter(fits("na", "pa", "nb", "pb")).filter(even("na", "qa", "nb", "qb")).select("a", "b")
