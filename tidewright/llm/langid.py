@@ -120,7 +120,6 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        place = names.index(text_col)
         for batch in batches:
             langs, scores = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
             column = batch.column(place)
@@ -134,12 +133,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 for i, b, v, t in zip(some, best, values.max(axis=1), total):
                     langs[at + i] = own.languages[b]
                     scores[at + i] = float(v / t) if t > 0 else 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs), pa.array(scores)], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs), pa.array(scores)], [*(f"c{i}" for i in range(len(batch.columns))), "lang_pred", "score"])
 
-    schema = docs.drop("lang_pred", "score").schema
-    docs = docs.select(*[F.col(f"`{f.name}`") for f in schema])
-    names = docs.columns
-    return docs.mapInArrow(run, schema.add("lang_pred", StringType()).add("score", DoubleType()))
+    named = docs.drop("lang_pred", "score")
+    place = named.columns.index(text_col)
+    plain = named.toDF(*[f"c{i}" for i in range(len(named.columns))])  # names with dots can't be mapped
+    found = plain.mapInArrow(run, plain.schema.add("lang_pred", StringType()).add("score", DoubleType()))
+    return found.toDF(*named.columns, "lang_pred", "score")
 
 
 def op10_language(spark, sf_dir: str) -> DataFrame:
