@@ -9,8 +9,8 @@ Equal lines are one class, and all but its first go. Of each class words are ord
 class of their count in ``2**bits`` hashed cells, then by hash. Similar sets share a word in their
 prefixes, with enough words left behind it on both sides (positional filter) and sizes alike
 (length filter). In each word's bucket all lines are first compared with the earliest one; only
-those that stay are compared with other earlier lines of the bucket. What passes is verified on the words
-themselves.
+those that stay are compared with other earlier lines of the bucket. Bits of parity by part of the words
+bound the difference of two sets from below and drop pairs; what passes is verified on the words themselves.
 
 Scale: equal lines are pre-aggregated; buckets are joined by shuffles that Spark splits when hot.
 Texts are shuffled only of documents that take part: bitmaps of a fixed size, as literals, tell them
@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 from tidewright.llm.tables import written
 
 _ID, _TEXT = "__id", "__text"
+#: Distinct words that a line needs to be judged.
+MIN_WORDS = 5
 
 
-def _words(text: Column) -> Column:
+def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"\s+"), "")
 
 
@@ -41,24 +43,31 @@ def _literal_at(table: bytes, place: Column) -> Column:
     return F.ascii(F.substring(F.lit(bytearray(table)), place + 1, F.lit(1)).cast("string"))
 
 
+def _gathered(rows: DataFrame, place: str, value: str, size: int, empty: int) -> np.ndarray:
+    """A table of size bytes from rows of (place, value); 1024 places reach the driver as one text."""
+    blocks = rows.groupBy(F.shiftright(place, 10).alias("block")).agg(F.array_join(F.collect_list(F.concat_ws(":", F.col(place).cast("string"), F.col(value).cast("string"))), ",").alias("text"))
+    out = np.full(size, empty, np.uint8)
+    for row in blocks.collect():  # size / 1024 rows
+        for entry in row["text"].split(","):
+            at, v = entry.split(":")
+            out[int(at)] = int(v)
+    return out
+
+
 def _classes(docs: DataFrame, bits: int) -> bytes:
     """Of each cell a letter that grows with its count; below twice the mean it is A."""
     cell = F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).cast("int")
-    counts = written(docs.select(F.explode(_words(F.col(_TEXT))).alias("w")).select(cell.alias("cell")).groupBy("cell").count(), "words")
+    counts = written(docs.select(F.explode(words(F.col(_TEXT))).alias("w")).select(cell.alias("cell")).groupBy("cell").count(), "words")
     mean = (counts.agg(F.sum("count")).first()[0] or 0) / (1 << bits)
-    rows = counts.filter(F.col("count") >= max(2, 2 * mean)).toArrow()  # at most half the cells
-    out = np.full(1 << bits, 65, np.uint8)
-    out[rows["cell"].to_numpy()] = 65 + np.log2(np.maximum(rows["count"].to_numpy(), 1)).astype(np.uint8)
-    return out.tobytes()
+    often = counts.filter(F.col("count") >= max(2, 2 * mean))  # at most half the cells
+    return _gathered(often.withColumn("letter", 65 + F.floor(F.log2("count")).cast("int")), "cell", "letter", 1 << bits, 65).tobytes()
 
 
 def _member_test(ids: DataFrame, bits: int):
     """A test on keys that all of the given ones pass, and few others: a bitmap with four bits a byte."""
     place = lambda *c: F.shiftrightunsigned(F.xxhash64(*c), 64 - bits)
-    rows = ids.select(place(*ids.columns).alias("p")).groupBy(F.shiftright("p", 2).alias("w")).agg(F.expr("bit_or(shiftleft(1, cast(p & 3 as int)))").alias("v")).toArrow()
-    table = np.full(1 << (bits - 2), 64, np.uint8)
-    table[rows["w"].to_numpy()] |= rows["v"].to_numpy().astype(np.uint8)
-    table = table.tobytes()
+    words = ids.select(place(*ids.columns).alias("p")).groupBy(F.shiftright("p", 2).alias("w")).agg(F.expr("64 | bit_or(shiftleft(1, cast(p & 3 as int)))").alias("v"))
+    table = _gathered(words, "w", "v", 1 << (bits - 2), 64).tobytes()
     return lambda *c: F.coalesce(F.getbit(_literal_at(table, F.shiftright(place(*c), 2).cast("int")), (place(*c) % 4).cast("int")) == 1, F.lit(False))
 
 
@@ -67,19 +76,30 @@ def _fits(percent: int, n1: str, p1: str, n2: str, p2: str) -> Column:
     return F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) and {n1} - {p1} >= {need} and {n2} - {p2} >= {need}")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, percent: int, bits: int) -> DataFrame:
-    """Lines x of pairs (x, y: structs of id, line) that are similar to their y."""
-    pairs = written(pairs.distinct(), "line-pairs")
+def _parity(hashes: Column, half: int) -> Column:
+    """Of 64 of 128 parts of a set a bit each: whether the part has an odd number of words. half: 0 or 1."""
+    own = lambda h: F.shiftright(h, 6).bitwiseAND(1).bitwiseXOR(F.lit(1 - half).cast("long"))
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(F.call_function("shiftleft", own(h), h.bitwiseAND(63).cast("int"))))
+
+
+def _similar(pairs: DataFrame, lines: DataFrame, docs: DataFrame, percent: int, bits: int) -> DataFrame:
+    """Lines x of pairs (x, y: structs of id, line) that are similar to their y; lines: at, n, p1, p2 of each."""
+    pairs = pairs.distinct()
+    for c in "xy":
+        pairs = pairs.join(lines.select(F.col("at").alias(c), F.col("n").alias(f"n{c}"), F.col("p1").alias(f"p{c}"), F.col("p2").alias(f"q{c}")), c)
+    # Each part of odd parity in one set only holds a word that the other lacks.
+    differ = f"bit_count(px ^ py) + bit_count(qx ^ qy) <= nx + ny - 2 * (({percent} * (nx + ny) + {99 + percent}) div {100 + percent})"
+    pairs = written(pairs.filter(differ).select("x", "y"), "line-pairs")
     needed = pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct().select("at.id", "at.line")
     test = _member_test(needed, bits)
     found = docs.select(F.col(_ID).alias("id"), F.posexplode(F.split(_TEXT, "\n")).alias("line", "text")).filter(test("id", "line")).join(needed, ["id", "line"], "left_semi")
-    sets = written(found.select(F.struct("id", "line").alias("at"), F.array_distinct(_words(F.col("text"))).alias("words")), "line-sets")
+    sets = written(found.select(F.struct("id", "line").alias("at"), F.array_distinct(words(F.col("text"))).alias("words")), "line-sets")
     both = pairs.join(sets.select(F.col("at").alias("x"), F.col("words").alias("wx")), "x").join(sets.select(F.col("at").alias("y"), F.col("words").alias("wy")), "y")
     shared = F.size(F.array_intersect("wx", "wy"))
     return both.filter(100 * shared >= percent * (F.size("wx") + F.size("wy") - shared)).select("x").distinct()
 
 
-def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 5, max_bits: int = 22) -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS, max_bits: int = 22) -> DataFrame:
     """(id, line) of the lines that go; docs: __id, __text without null ids."""
     size = docs.agg(F.sum(F.octet_length(_TEXT))).first()[0] or 0
     bits = min(max_bits, max(10, int(size / 7 / 16).bit_length()))
@@ -88,38 +108,37 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 5, max_bi
 
     def ranked(line: Column) -> Column:
         """Size of the line's set and its prefix, rarest words first."""
-        hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+        hashes = F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
         rank = lambda h: _literal_at(table, F.shiftrightunsigned(h, 64 - bits).cast("int")) - 65
         ordered = F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rank(h).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
         prefix = lambda w: F.slice(w, F.lit(1), F.size(w) - F.ceil(F.size(w) * percent / 100.0 - 1e-9).cast("int") + 1)
         # Computed once: an array of one, of which a function makes both values.
-        return F.element_at(F.transform(F.array(ordered), lambda w: F.struct(F.size(w).alias("n"), F.when(F.size(w) >= min_words, prefix(w)).alias("words"))), 1)
+        return F.element_at(F.transform(F.array(ordered), lambda w: F.struct(F.size(w).alias("n"), _parity(w, 0).alias("p1"), _parity(w, 1).alias("p2"), F.when(F.size(w) >= min_words, prefix(w)).alias("words"))), 1)
 
     raw = docs.select(F.col(_ID).alias("id"), F.posexplode(F.split(_TEXT, "\n")).alias("line", "text")).filter("text <> ''")
     raw = raw.select(F.struct("id", "line").alias("at"), "text", F.xxhash64("text").alias("h1"), F.hash("text", F.length("text")).alias("h2"))
     described = raw.select("at", "h1", "h2", ranked(F.col("text")).alias("set"))
     grouped = described.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count("*").alias("copies"), F.first("set").alias("set"))
-    lines = written(grouped.select("h1", "h2", "at", "copies", "set.n", "set.words").filter(F.col("n") >= min_words), "line-classes")
+    lines = written(grouped.select("h1", "h2", "at", "copies", "set.*").filter(F.col("n") >= min_words), "line-classes")
 
     repeated = lines.filter("copies > 1").select("h1", "h2", F.col("at").alias("earliest"))
     equal = raw.select("at", "h1", "h2").join(repeated, ["h1", "h2"]).filter("at > earliest").select("at")
 
     rows = lines.select("at", "n", F.posexplode("words").alias("pos", "word")).withColumn("small", F.expr(f"pos <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent}"))
-    full = rows.groupBy("word").agg(F.count("*").alias("c"), F.max("small").alias("any_small")).filter("c > 1 and any_small").select("word")
-    buckets = written(rows.join(full, "word", "left_semi"), "line-buckets")
-    first = buckets.groupBy("word").agg(F.min(F.struct("at", "n", "pos")).alias("first"))
-    later = buckets.join(first, "word").filter("at > first.at")
+    full = rows.groupBy("word").agg(F.count("*").alias("c"), F.max("small").alias("any_small"), F.min(F.struct("at", "n", "pos")).alias("first")).filter("c > 1 and any_small")
+    later = written(rows.join(full.select("word", "c", "first"), "word").filter("at > first.at"), "line-buckets")
     stars = later.filter(_fits(percent, "n", "pos", "first.n", "first.pos")).select(F.col("at").alias("x"), F.col("first.at").alias("y"))
-    gone = written(_similar(stars, docs, percent, id_bits), "line-stars")
+    gone = written(_similar(stars, lines, docs, percent, id_bits), "line-stars")
 
-    x = later.join(gone.select(F.col("x").alias("at")), "at", "left_anti").select("word", F.col("at").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
-    y = later.select("word", F.col("at").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
+    more = later.filter("c > 2")  # buckets with lines to compare besides the first
+    x = more.join(gone.select(F.col("x").alias("at")), "at", "left_anti").select("word", F.col("at").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
+    y = more.select("word", F.col("at").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
     rest = x.join(y, "word").filter("y < x").filter(_fits(percent, "nx", "px", "ny", "py")).select("x", "y")
-    late = _similar(rest, docs, percent, id_bits)
+    late = _similar(rest, lines, docs, percent, id_bits)
     return written(equal.unionByName(gone.select(F.col("x").alias("at"))).unionByName(late.select(F.col("x").alias("at"))).distinct().select("at.id", "at.line"), "lines-gone")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_words: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the lines that go taken out of the text, and n_lines, n_removed (columns of these names are replaced)."""
     named = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")])
     pure = named.select(F.col(id_col).alias(_ID), F.col(text_col).cast("string").alias(_TEXT)).filter(f"{_ID} is not null")
