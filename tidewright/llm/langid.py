@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 UNDETERMINED = "und"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -138,7 +138,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     named = docs.drop("lang_pred", "score")
     place = named.columns.index(text_col)
     plain = named.toDF(*[f"c{i}" for i in range(len(named.columns))])  # names with dots can't be mapped
-    found = plain.mapInArrow(run, plain.schema.add("lang_pred", StringType()).add("score", DoubleType()))
+    found = plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
     return found.toDF(*named.columns, "lang_pred", "score")
 
 
