@@ -46,7 +46,7 @@ def presence(text: str, n_max: int, bits: int) -> np.ndarray:
         out.append((((h ^ h >> np.uint64(29)) * _STEP) >> np.uint64(64 - bits)).astype(np.uint32))
     seen = np.zeros(1 << bits, bool)
     seen[np.concatenate(out)] = True
-    return np.flatnonzero(seen)
+    return np.flatnonzero(seen).astype(np.int32)
 
 
 @dataclass(frozen=True)
@@ -67,7 +67,7 @@ class Model:
         return sums / np.sqrt(sizes)[:, None]
 
 
-def fit(texts: list[str], langs: list[str], landmarks: int = 256, ridge: float = 1e-2, n_max: int = 4, bits: int = 18) -> Model:
+def fit(texts: list[str], langs: list[str], landmarks: int = 256, ridge: float = 1e-2, n_max: int = 4, bits: int = 16) -> Model:
     """A model of some labelled texts; every len(texts) / landmarks-th is a landmark."""
     languages = sorted(set(langs))
     if not languages:
