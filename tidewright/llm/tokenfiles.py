@@ -157,7 +157,7 @@ def _tokenised(docs: DataFrame, path: str, end: int, block_ids: int, cache_words
         for batch in batches:
             texts = batch.column(1).fill_null("")
             size = np.maximum(1, np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]))
-            group = np.cumsum(size) // (1 << 24)  # about 16 MB of text at a time
+            group = np.cumsum(size) // (1 << 22)  # about 4 MB of text at a time
             for g in np.unique(group):
                 at = np.flatnonzero(group == g)
                 own, n = words.encode(texts.slice(at[0], len(at)), end)
@@ -196,7 +196,7 @@ def _frequencies(blocks: DataFrame) -> np.ndarray:
     return out
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 2_000_000, cache_words: int = 600_000) -> None:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1_000_000, cache_words: int = 300_000) -> None:
     """Writes folder/blocks and folder/ranks in ascending order of document ids.
 
     tokenizer: a file of the tokenizers library; end_id: the id that ends each document.
