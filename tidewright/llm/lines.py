@@ -82,7 +82,7 @@ def _parity(hashes: Column, half: int) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(F.call_function("shiftleft", own(h), h.bitwiseAND(63).cast("int"))))
 
 
-def _similar(pairs: DataFrame, lines: DataFrame, docs: DataFrame, percent: int, bits: int) -> DataFrame:
+def _similar(pairs: DataFrame, lines: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Lines x of pairs (x, y: structs of id, line) that are similar to their y; lines: at, n, p1, p2 of each."""
     pairs = pairs.distinct()
     for c in "xy":
@@ -91,7 +91,7 @@ def _similar(pairs: DataFrame, lines: DataFrame, docs: DataFrame, percent: int,
     differ = f"bit_count(px ^ py) + bit_count(qx ^ qy) <= nx + ny - 2 * (({percent} * (nx + ny) + {99 + percent}) div {100 + percent})"
     pairs = written(pairs.filter(differ).select("x", "y"), "line-pairs")
     needed = pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct().select("at.id", "at.line")
-    test = _member_test(needed, bits)
+    test = _member_test(needed, min(26, max(10, int(8 * needed.count()).bit_length())))
     found = docs.select(F.col(_ID).alias("id"), F.posexplode(F.split(_TEXT, "\n")).alias("line", "text")).filter(test("id", "line")).join(needed, ["id", "line"], "left_semi")
     sets = written(found.select(F.struct("id", "line").alias("at"), F.array_distinct(words(F.col("text"))).alias("words")), "line-sets")
     both = pairs.join(sets.select(F.col("at").alias("x"), F.col("words").alias("wx")), "x").join(sets.select(F.col("at").alias("y"), F.col("words").alias("wy")), "y")
@@ -99,11 +99,10 @@ def _similar(pairs: DataFrame, lines: DataFrame, docs: DataFrame, percent: int,
     return both.filter(100 * shared >= percent * (F.size("wx") + F.size("wy") - shared)).select("x").distinct()
 
 
-def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS, max_bits: int = 22) -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS, max_bits: int = 20) -> DataFrame:
     """(id, line) of the lines that go; docs: __id, __text without null ids."""
     size = docs.agg(F.sum(F.octet_length(_TEXT))).first()[0] or 0
     bits = min(max_bits, max(10, int(size / 7 / 16).bit_length()))
-    id_bits = min(26, max(10, int(size / 100).bit_length()))
     table = _classes(docs, bits)
 
     def ranked(line: Column) -> Column:
@@ -128,13 +127,13 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS
     full = rows.groupBy("word").agg(F.count("*").alias("c"), F.max("small").alias("any_small"), F.min(F.struct("at", "n", "pos")).alias("first")).filter("c > 1 and any_small")
     later = written(rows.join(full.select("word", "c", "first"), "word").filter("at > first.at"), "line-buckets")
     stars = later.filter(_fits(percent, "n", "pos", "first.n", "first.pos")).select(F.col("at").alias("x"), F.col("first.at").alias("y"))
-    gone = written(_similar(stars, lines, docs, percent, id_bits), "line-stars")
+    gone = written(_similar(stars, lines, docs, percent), "line-stars")
 
     more = later.filter("c > 2")  # buckets with lines to compare besides the first
     x = more.join(gone.select(F.col("x").alias("at")), "at", "left_anti").select("word", F.col("at").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
     y = more.select("word", F.col("at").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
     rest = x.join(y, "word").filter("y < x").filter(_fits(percent, "nx", "px", "ny", "py")).select("x", "y")
-    late = _similar(rest, lines, docs, percent, id_bits)
+    late = _similar(rest, lines, docs, percent)
     return written(equal.unionByName(gone.select(F.col("x").alias("at"))).unionByName(late.select(F.col("x").alias("at"))).distinct().select("at.id", "at.line"), "lines-gone")
 
 
