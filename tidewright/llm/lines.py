@@ -1,20 +1,23 @@
-"""Line deduplication as an exact set-similarity join, in SQL functions only.
+"""Line deduplication as an exact set-similarity join.
 
 A line's set is its distinct lower-case words. A line goes if an earlier line (by document id, then
 line number) has a Jaccard similarity of ``percent`` / 100 or more; lines are judged on the input, so
 a line that goes itself still removes later ones. Lines of fewer than ``min_words`` distinct words are too
 short to tell and stay.
 
-Equal lines are one class, and all but its first go. Of each class words are ordered by rarity: by a
-class of their count in ``2**bits`` hashed cells, then by hash. Similar sets share a word in their
-prefixes, with enough words left behind it on both sides (positional filter) and sizes alike
-(length filter). In each word's bucket all lines are first compared with the earliest one; only
-those that stay are compared with other earlier lines of the bucket. Bits of parity by part of the words
-bound the difference of two sets from below and drop pairs; what passes is verified on the words themselves.
+Lines of equal sets are one class, and all but its first go. Of each class words are ordered by rarity: by
+the binary logarithm of their count in ``2**_BITS`` hashed cells, then by hash. Similar sets share a word in
+their prefixes, with enough words left behind it on both sides (positional filter) and sizes alike
+(length filter). Bits of parity by part of the words bound the difference of two sets from below and drop
+more pairs; what passes is verified on the words themselves, for each line the earliest candidate first.
 
-Scale: equal lines are pre-aggregated; buckets are joined by shuffles that Spark splits when hot.
-Texts are shuffled only of documents that take part: bitmaps of a fixed size, as literals, tell them
-apart in the scan. Nothing else is gathered than these bitmaps and the rarity classes.
+Buckets of a word with up to ``_SMALL`` lines are compared within the sorted stream of rows. In larger
+ones all lines are first compared with the earliest; only lines that stay are joined with the others.
+
+Scale: hashing is vectorised over Arrow batches; equal sets are pre-aggregated; rows of a bucket are
+streamed, at most ``_SMALL`` of them held, and the join of large buckets is one that Spark splits. Texts are
+shuffled only of lines in candidate pairs and of documents that lose lines; bitmaps of a bounded size tell
+them apart in the scan. Nothing else is gathered than these bitmaps and the rarity classes.
 
 Cases: null or empty texts have no lines that can go and are returned as they are. Documents with one
 id are compared as one document: equal lines at the same place of both stay. Rows with a null id are returned
@@ -23,118 +26,302 @@ unchanged and remove nothing. Other columns are kept, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from tidewright.llm.tables import written
+from tidewright.llm.words import NON_SPACE, Block, blocks, mix, utf8
 
 _ID, _TEXT = "__id", "__text"
 #: Distinct words that a line needs to be judged.
 MIN_WORDS = 5
+#: Cells of word counts, as a power of two; they are summed in blocks.
+_BITS, _BLOCK_BITS = 22, 14
+#: Lines of a bucket that are compared all with all at once.
+_SMALL = 128
+_LINE = np.uint64(0x632BE59BD9B4E019)
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"\s+"), "")
 
 
-def _literal_at(table: bytes, place: Column) -> Column:
-    """The byte of table at a place (from 0), as a number below 128."""
-    return F.ascii(F.substring(F.lit(bytearray(table)), place + 1, F.lit(1)).cast("string"))
+def _batch(schema: StructType, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema.fieldNames())
 
 
-def _gathered(rows: DataFrame, place: str, value: str, size: int, empty: int) -> np.ndarray:
-    """A table of size bytes from rows of (place, value); 1024 places reach the driver as one text."""
-    blocks = rows.groupBy(F.shiftright(place, 10).alias("block")).agg(F.array_join(F.collect_list(F.concat_ws(":", F.col(place).cast("string"), F.col(value).cast("string"))), ",").alias("text"))
-    out = np.full(size, empty, np.uint8)
-    for row in blocks.collect():  # size / 1024 rows
-        for entry in row["text"].split(","):
-            at, v = entry.split(":")
-            out[int(at)] = int(v)
-    return out
+def _cells(parts: Iterator[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+    """How many hashes of all parts have which leading bits; a row for each block of cells that has some."""
+    total, size = np.zeros(1 << bits, np.uint32), 1 << min(bits, _BLOCK_BITS)
+    for hashes in parts:
+        np.add.at(total, (hashes >> np.uint64(64 - bits)).astype(np.int64), 1)
+    for block in range(len(total) // size):
+        own = total[block * size : (block + 1) * size]
+        at = np.flatnonzero(own)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([at.astype("<u2").tobytes()]), pa.array([own[at].astype("<u4").tobytes()])], ["block", "at", "counts"])
+
 
+def _levels(cells: DataFrame, bits: int) -> np.ndarray:
+    """Of each cell 0 if no hash fell there, 1 for one, else 2 and more by the binary logarithm of their number."""
+    size = 1 << min(bits, _BLOCK_BITS)
 
-def _classes(docs: DataFrame, bits: int) -> bytes:
-    """Of each cell a letter that grows with its count; below twice the mean it is A."""
-    cell = F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).cast("int")
-    counts = written(docs.select(F.explode(words(F.col(_TEXT))).alias("w")).select(cell.alias("cell")).groupBy("cell").count(), "words")
-    mean = (counts.agg(F.sum("count")).first()[0] or 0) / (1 << bits)
-    often = counts.filter(F.col("count") >= max(2, 2 * mean))  # at most half the cells
-    return _gathered(often.withColumn("letter", 65 + F.floor(F.log2("count")).cast("int")), "cell", "letter", 1 << bits, 65).tobytes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, at, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                sums.setdefault(block, np.zeros(size, np.int64))[np.frombuffer(at, "<u2")] += np.frombuffer(counts, "<u4")
+        for block, own in sums.items():
+            level = np.where(own > 0, np.log2(np.maximum(own, 1)).astype(np.uint8) + 1, 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()])], ["block", "levels"])
+
+    out = np.zeros(1 << bits, np.uint8)
+    for row in cells.repartition("block").mapInArrow(run, "block int, levels binary").collect():  # 2 ** bits bytes at most
+        out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["levels"], np.uint8)
+    return out
 
 
 def _member_test(ids: DataFrame, bits: int):
-    """A test on keys that all of the given ones pass, and few others: a bitmap with four bits a byte."""
-    place = lambda *c: F.shiftrightunsigned(F.xxhash64(*c), 64 - bits)
-    words = ids.select(place(*ids.columns).alias("p")).groupBy(F.shiftright("p", 2).alias("w")).agg(F.expr("64 | bit_or(shiftleft(1, cast(p & 3 as int)))").alias("v"))
-    table = _gathered(words, "w", "v", 1 << (bits - 2), 64).tobytes()
-    return lambda *c: F.coalesce(F.getbit(_literal_at(table, F.shiftright(place(*c), 2).cast("int")), (place(*c) % 4).cast("int")) == 1, F.lit(False))
-
-
-def _fits(percent: int, n1: str, p1: str, n2: str, p2: str) -> Column:
-    need = f"(({percent} * ({n1} + {n2}) + {99 + percent}) div {100 + percent})"
-    return F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) and {n1} - {p1} >= {need} and {n2} - {p2} >= {need}")
-
-
-def _parity(hashes: Column, half: int) -> Column:
-    """Of 64 of 128 parts of a set a bit each: whether the part has an odd number of words. half: 0 or 1."""
-    own = lambda h: F.shiftright(h, 6).bitwiseAND(1).bitwiseXOR(F.lit(1 - half).cast("long"))
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(F.call_function("shiftleft", own(h), h.bitwiseAND(63).cast("int"))))
-
-
-def _similar(pairs: DataFrame, lines: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Lines x of pairs (x, y: structs of id, line) that are similar to their y; lines: at, n, p1, p2 of each."""
-    pairs = pairs.distinct()
-    for c in "xy":
-        pairs = pairs.join(lines.select(F.col("at").alias(c), F.col("n").alias(f"n{c}"), F.col("p1").alias(f"p{c}"), F.col("p2").alias(f"q{c}")), c)
-    # Each part of odd parity in one set only holds a word that the other lacks.
-    differ = f"bit_count(px ^ py) + bit_count(qx ^ qy) <= nx + ny - 2 * (({percent} * (nx + ny) + {99 + percent}) div {100 + percent})"
-    pairs = written(pairs.filter(differ).select("x", "y"), "line-pairs")
-    needed = pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct().select("at.id", "at.line")
-    test = _member_test(needed, min(26, max(10, int(8 * needed.count()).bit_length())))
-    found = docs.select(F.col(_ID).alias("id"), F.posexplode(F.split(_TEXT, "\n")).alias("line", "text")).filter(test("id", "line")).join(needed, ["id", "line"], "left_semi")
-    sets = written(found.select(F.struct("id", "line").alias("at"), F.array_distinct(words(F.col("text"))).alias("words")), "line-sets")
-    both = pairs.join(sets.select(F.col("at").alias("x"), F.col("words").alias("wx")), "x").join(sets.select(F.col("at").alias("y"), F.col("words").alias("wy")), "y")
+    """A test, in SQL functions, on an id that all of ids pass and few others: a bitmap with four bits a byte."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _cells((b.column(0).to_numpy().view(np.uint64) for b in batches), bits)
+
+    found = _levels(ids.select(F.xxhash64("id")).mapInArrow(cells, "block int, at binary, counts binary"), bits) > 0
+    table = bytearray((64 | found.reshape(-1, 4) @ np.array([1, 2, 4, 8])).astype(np.uint8).tobytes())
+
+    def test(id: Column) -> Column:
+        place = F.shiftrightunsigned(F.xxhash64(id), 64 - bits).cast("int")
+        byte = F.ascii(F.substring(F.lit(table), F.shiftright(place, 2) + 1, F.lit(1)).cast("string"))
+        return F.coalesce(F.getbit(byte, place % 4) == 1, F.lit(False))
+
+    return test
+
+
+def _word_levels(lowered: DataFrame) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _cells((b.hashes() for batch in batches for b in blocks(batch.column(0), NON_SPACE)), _BITS)
+
+    return _levels(lowered.select("text").mapInArrow(run, "block int, at binary, counts binary"), _BITS)
+
+
+def _line_of_words(block: Block, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word the number of its line in the block, and in its document."""
+    newlines = np.flatnonzero(block.data == 10)
+    before = np.searchsorted(newlines, block.starts)
+    doc = block.docs()
+    return before + doc, before - np.searchsorted(newlines, offsets)[doc]
+
+
+def _offsets(column: pa.Array, rows: range) -> np.ndarray:
+    """Where the texts of rows begin in their block."""
+    return utf8(column.slice(rows.start, len(rows)))[1][:-1]
+
+
+def _need(n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
+    """Words that sets of these sizes have to share."""
+    return (percent * (n1 + n2) + 99 + percent) // (100 + percent)
+
+
+def _described(lowered: DataFrame, levels: np.ndarray, percent: int, min_words: int) -> DataFrame:
+    """Of each line to judge: place, hash of its set, size, parity, and the prefix words that may occur twice."""
+    kind = lowered.schema["id"].dataType
+    word = ArrayType(StructType([StructField("word", LongType()), StructField("pos", IntegerType())]))
+    schema = StructType([StructField("id", kind), StructField("line", IntegerType()), StructField("k1", LongType()), StructField("k2", LongType()), StructField("n", IntegerType()), StructField("p1", LongType()), StructField("p2", LongType()), StructField("words", word)])
+    shared = lowered.sparkSession.sparkContext.broadcast(levels)
+
+    def described(block: Block, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch | None:
+        line, number = _line_of_words(block, _offsets(texts, block.rows))
+        h = block.hashes()
+        if not len(h):
+            return None
+        level = shared.value[(h >> np.uint64(64 - _BITS)).astype(np.int64)]
+        # Sorted by line, level and 38 bits of the hash; equal words are neighbours.
+        key = line.astype(np.uint64) << np.uint64(44) | level.astype(np.uint64) << np.uint64(38) | h >> np.uint64(26)
+        order = np.argsort(key)
+        clash = (key[order[1:]] == key[order[:-1]]) & (h[order[1:]] != h[order[:-1]])
+        if line[-1] >= 1 << 20 or clash.any():
+            order = np.lexsort((h, level, line))
+        h, line = h[order], line[order]
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+        h, line, order = h[fresh], line[fresh], order[fresh]
+        first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+        n = np.diff(np.append(first, len(h)))
+        pos = np.arange(len(h)) - np.repeat(first, n)
+        bit, high = np.uint64(1) << (h & np.uint64(63)), (h & np.uint64(64)) > 0
+        zero = np.uint64(0)
+        sums = [np.add.reduceat(mix(h), first), np.add.reduceat(mix(h ^ _LINE), first), np.bitwise_xor.reduceat(np.where(high, zero, bit), first), np.bitwise_xor.reduceat(np.where(high, bit, zero), first)]
+        judged = n >= min_words
+        prefix = n - (percent * n + 99) // 100 + 1
+        taken = (pos < np.repeat(np.where(judged, prefix, 0), n)) & (level[order] > 1)
+        sizes = np.add.reduceat(taken.astype(np.int64), first)[judged]
+        listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.StructArray.from_arrays([pa.array((h[taken] >> np.uint64(24)).astype(np.int64)), pa.array(pos[taken], pa.int32())], ["word", "pos"]))
+        at = order[first][judged]
+        k1, k2, p1, p2 = (s[judged].view(np.int64) for s in sums)
+        return _batch(schema, ids.take(pa.array(block.docs()[at] + block.rows.start)), pa.array(number[at], pa.int32()), k1, k2, pa.array(n[judged], pa.int32()), p1, p2, listed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(1), NON_SPACE):
+                out = described(block, batch.column(0), batch.column(1))
+                if out is not None and out.num_rows:
+                    yield out
+
+    return lowered.select("id", "text").mapInArrow(run, schema)
+
+
+def _bucket_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """rows, sorted by word: pairs (id, line, id2, line2) of small buckets, and the rows of large ones, of which word isn't null."""
+    kind = rows.schema["id"].dataType
+    fields = [StructField("id", kind), StructField("line", IntegerType()), StructField("id2", kind), StructField("line2", IntegerType())]
+    rest = [StructField("word", LongType()), StructField("n", IntegerType()), StructField("pos", IntegerType()), StructField("p1", LongType()), StructField("p2", LongType())]
+    schema = StructType(fields + rest)
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+
+    def compared(table: pa.Table, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        word, n, pos, p1, p2 = (table[c].to_numpy() for c in ("word", "n", "pos", "p1", "p2"))
+        n, pos, p1, p2 = n.astype(np.int64), pos.astype(np.int64), p1.view(np.uint64), p2.view(np.uint64)
+        left, right = [], []
+        for d in range(1, int(size.max(initial=1))):
+            i = np.flatnonzero((word[d:] == word[:-d]) & (size[d:] > d))
+            j = i + d
+            need = _need(n[i], n[j], percent)
+            fits = (n[i] - pos[i] >= need) & (n[j] - pos[j] >= need) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            i, j, need = i[fits], j[fits], need[fits]
+            near = np.bitwise_count(p1[i] ^ p1[j]).astype(np.int64) + np.bitwise_count(p2[i] ^ p2[j]) <= n[i] + n[j] - 2 * need
+            left.append(i[near])
+            right.append(j[near])
+        return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+
+    def as_rows(table: pa.Table) -> pa.RecordBatch:
+        id, line, *others = (table[c].combine_chunks() for c in ("id", "line", "word", "n", "pos", "p1", "p2"))
+        return _batch(schema, id, line, pa.nulls(len(table), id.type), pa.nulls(len(table), pa.int32()), *others)
+
+    def out(table: pa.Table, large: int | None) -> Iterator[pa.RecordBatch]:
+        """table: whole buckets, but that what it has of the bucket large may be a part."""
+        word = table["word"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        size = np.diff(np.append(first, len(word)))
+        if large is not None:
+            size[word[first] == large] = _SMALL + 1
+        size = np.repeat(size, np.diff(np.append(first, len(word))))
+        i, j = compared(table, np.where(size <= _SMALL, size, 1))
+        if len(i):
+            sides = (table.take(pa.array(i)), table.take(pa.array(j)))
+            yield _batch(schema, *(t[c].combine_chunks() for t in sides for c in ("id", "line")), *(pa.nulls(len(i), k) for k in kinds))
+        if (size > _SMALL).any():
+            yield as_rows(table.filter(pa.array(size > _SMALL)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, large = None, None  # rows of a bucket that may go on; the word of the last large bucket
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            word = table["word"].to_numpy()
+            cut = int(np.searchsorted(word, word[-1]))
+            if cut:
+                yield from out(table.slice(0, cut), large)
+            held = table.slice(cut)
+            if large == word[-1] or len(held) > _SMALL:
+                yield as_rows(held)
+                held, large = None, int(word[-1])
+        if held is not None:
+            yield from out(held, large)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _needed_lines(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(id, line, text) of the needed lines and few others; needed: id, line."""
+    bits = min(26, max(_BLOCK_BITS, int(8 * needed.count()).bit_length()))
+
+    def hashed(ids: np.ndarray, lines: np.ndarray) -> np.ndarray:
+        return mix(ids.astype(np.int64).view(np.uint64) + lines.astype(np.uint64) * _LINE)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _cells((hashed(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches), bits)
+
+    found = _levels(needed.select(F.xxhash64("id"), "line").mapInArrow(cells, "block int, at binary, counts binary"), bits)
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(found > 0))
+    schema = StructType([StructField("id", docs.schema[_ID].dataType), StructField("line", IntegerType()), StructField("text", docs.schema[_TEXT].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            for block in blocks(batch.column(2), NON_SPACE):
+                offsets = _offsets(batch.column(2), block.rows)
+                ends = np.append(offsets[1:], len(block.data))
+                newlines = np.flatnonzero(block.data == 10)
+                # A line starts at each text and behind each newline.
+                doc = np.concatenate([np.arange(len(offsets)), np.searchsorted(offsets, newlines, side="right") - 1])
+                start = np.concatenate([offsets, newlines + 1])
+                order = np.lexsort((start, doc))
+                doc, start = doc[order], start[order]
+                line = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                stop = np.append(start[1:] - 1, len(block.data))
+                last = np.append(doc[1:] != doc[:-1], True)
+                stop[last] = ends[doc[last]]
+                at = (hashed(batch.column(1).to_numpy()[block.rows.start + doc], line) >> np.uint64(64 - bits)).astype(np.int64)
+                hit = np.flatnonzero(table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+                if len(hit):
+                    texts = [block.data[a:b].tobytes().decode() for a, b in zip(start[hit], stop[hit])]
+                    yield _batch(schema, batch.column(0).take(pa.array(doc[hit] + block.rows.start)), pa.array(line[hit], pa.int32()), pa.array(texts, pa.string()))
+
+    return docs.select(_ID, F.xxhash64(_ID), _TEXT).mapInArrow(run, schema)
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Lines x of pairs (x, y: structs of id, line) that are similar to their y."""
+    pairs = written(pairs.distinct(), "line-candidates")
+    needed = pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct().select("at.*")
+    lines = _needed_lines(docs, needed).select(F.struct("id", "line").alias("at"), "text").distinct()
+    sets = written(lines, "line-texts")
+    both = pairs.join(sets.select(F.col("at").alias("x"), F.col("text").alias("tx")), "x").join(sets.select(F.col("at").alias("y"), F.col("text").alias("ty")), "y")
+    both = both.select("x", F.array_distinct(words(F.col("tx"))).alias("wx"), F.array_distinct(words(F.col("ty"))).alias("wy"))
     shared = F.size(F.array_intersect("wx", "wy"))
     return both.filter(100 * shared >= percent * (F.size("wx") + F.size("wy") - shared)).select("x").distinct()
 
 
-def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS, max_bits: int = 20) -> DataFrame:
+def _fits(percent: int) -> Column:
+    need = f"(({percent} * (nx + ny) + {99 + percent}) div {100 + percent})"
+    return F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and nx - px >= {need} and ny - py >= {need} and bit_count(p1x ^ p1y) + bit_count(p2x ^ p2y) <= nx + ny - 2 * {need}")
+
+
+def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, line) of the lines that go; docs: __id, __text without null ids."""
-    size = docs.agg(F.sum(F.octet_length(_TEXT))).first()[0] or 0
-    bits = min(max_bits, max(10, int(size / 7 / 16).bit_length()))
-    table = _classes(docs, bits)
-
-    def ranked(line: Column) -> Column:
-        """Size of the line's set and its prefix, rarest words first."""
-        hashes = F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
-        rank = lambda h: _literal_at(table, F.shiftrightunsigned(h, 64 - bits).cast("int")) - 65
-        ordered = F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rank(h).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
-        prefix = lambda w: F.slice(w, F.lit(1), F.size(w) - F.ceil(F.size(w) * percent / 100.0 - 1e-9).cast("int") + 1)
-        # Computed once: an array of one, of which a function makes both values.
-        return F.element_at(F.transform(F.array(ordered), lambda w: F.struct(F.size(w).alias("n"), _parity(w, 0).alias("p1"), _parity(w, 1).alias("p2"), F.when(F.size(w) >= min_words, prefix(w)).alias("words"))), 1)
-
-    raw = docs.select(F.col(_ID).alias("id"), F.posexplode(F.split(_TEXT, "\n")).alias("line", "text")).filter("text <> ''")
-    raw = raw.select(F.struct("id", "line").alias("at"), "text", F.xxhash64("text").alias("h1"), F.hash("text", F.length("text")).alias("h2"))
-    described = raw.select("at", "h1", "h2", ranked(F.col("text")).alias("set"))
-    grouped = described.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count("*").alias("copies"), F.first("set").alias("set"))
-    lines = written(grouped.select("h1", "h2", "at", "copies", "set.*").filter(F.col("n") >= min_words), "line-classes")
-
-    repeated = lines.filter("copies > 1").select("h1", "h2", F.col("at").alias("earliest"))
-    equal = raw.select("at", "h1", "h2").join(repeated, ["h1", "h2"]).filter("at > earliest").select("at")
-
-    rows = lines.select("at", "n", F.posexplode("words").alias("pos", "word")).withColumn("small", F.expr(f"pos <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent}"))
-    full = rows.groupBy("word").agg(F.count("*").alias("c"), F.max("small").alias("any_small"), F.min(F.struct("at", "n", "pos")).alias("first")).filter("c > 1 and any_small")
-    later = written(rows.join(full.select("word", "c", "first"), "word").filter("at > first.at"), "line-buckets")
-    stars = later.filter(_fits(percent, "n", "pos", "first.n", "first.pos")).select(F.col("at").alias("x"), F.col("first.at").alias("y"))
-    gone = written(_similar(stars, lines, docs, percent), "line-stars")
-
-    more = later.filter("c > 2")  # buckets with lines to compare besides the first
-    x = more.join(gone.select(F.col("x").alias("at")), "at", "left_anti").select("word", F.col("at").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
-    y = more.select("word", F.col("at").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
-    rest = x.join(y, "word").filter("y < x").filter(_fits(percent, "nx", "px", "ny", "py")).select("x", "y")
-    late = _similar(rest, lines, docs, percent)
-    return written(equal.unionByName(gone.select(F.col("x").alias("at"))).unionByName(late.select(F.col("x").alias("at"))).distinct().select("at.id", "at.line"), "lines-gone")
+    lowered = docs.select(F.col(_ID).alias("id"), F.lower(_TEXT).alias("text"))
+    described = written(_described(lowered, _word_levels(lowered), percent, min_words), "line-sets")
+    at = F.struct("id", "line")
+    classes = described.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "p1", "p2", "words")])
+    firsts = described.groupBy("k1", "k2").agg(F.min(at).alias("earliest"), F.count("*").alias("copies")).filter("copies > 1")
+    equal = described.select("k1", "k2", at.alias("at")).join(firsts, ["k1", "k2"]).filter("at > earliest").select("at")
+
+    rows = classes.select("at.id", "at.line", "n", "p1", "p2", F.inline("words")).repartition("word").sortWithinPartitions("word")
+    found = written(_bucket_pairs(rows, percent), "line-pairs")
+    one, two = F.struct("id", "line"), F.struct(F.col("id2").alias("id"), F.col("line2").alias("line"))
+    pairs = found.filter("word is null").select(F.greatest(one, two).alias("x"), F.least(one, two).alias("y")).distinct()
+
+    hot = found.filter("word is not null").select("word", at.alias("at"), "n", "pos", "p1", "p2")
+    names = {"at": "", "n": "n", "pos": "p", "p1": "p1", "p2": "p2"}
+    x = hot.select("word", *[F.col(c).alias(f"{names[c]}x") for c in names])
+    y = hot.select("word", *[F.col(c).alias(f"{names[c]}y") for c in names])
+    earliest = hot.groupBy("word").agg(F.min(F.struct(*names)).alias("y")).select("word", *[F.col(f"y.{c}").alias(f"{names[c]}y") for c in names])
+    stars = x.join(earliest, "word").filter("y < x").filter(_fits(percent)).select("x", "y")
+
+    tried = written(pairs.groupBy("x").agg(F.min("y").alias("y")).unionByName(stars), "line-first-pairs")
+    gone = written(_similar(tried, docs, percent), "lines-gone-first")
+    late = x.join(gone, "x", "left_anti").join(y, "word").filter("y < x").filter(_fits(percent)).select("x", "y")
+    left = pairs.join(gone, "x", "left_anti").unionByName(late).join(tried, ["x", "y"], "left_anti")
+    more = _similar(left, docs, percent)
+    return written(equal.unionByName(gone.select(F.col("x").alias("at"))).unionByName(more.select(F.col("x").alias("at"))).distinct().select("at.id", "at.line"), "lines-gone")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_words: int = MIN_WORDS) -> DataFrame:
@@ -143,16 +330,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pure = named.select(F.col(id_col).alias(_ID), F.col(text_col).cast("string").alias(_TEXT)).filter(f"{_ID} is not null")
     gone = removed_lines(pure, percent, min_words)
     by_doc = gone.groupBy("id").agg(F.collect_set("line").alias("__gone"))
-    size = gone.select("id").distinct().count()
-    test = _member_test(gone.select("id").distinct(), min(26, max(10, int(8 * size).bit_length())))
     lines = F.split(F.col(text_col).cast("string"), "\n")
-    count = F.coalesce(F.size(F.when(F.col(text_col).isNotNull(), lines)), F.lit(0)).cast("long")
-    count = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(count).cast("long")
-    touched = named.filter(test(F.col(id_col))).join(by_doc, F.col(id_col) == by_doc["id"], "left").drop(by_doc["id"]).withColumn("n_lines", count)
-    kept = F.filter(lines, lambda _, i: ~F.coalesce(F.array_contains("__gone", i), F.lit(False)))
-    touched = touched.withColumn("n_removed", F.coalesce(F.size(F.when(F.col("__gone").isNotNull(), F.col("__gone"))), F.lit(0)).cast("long")).withColumn("n_removed", F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.col("n_removed")).cast("long"))
+    kept = F.filter(lines, lambda _, i: ~F.array_contains("__gone", i))
+    count = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
+    ids = gone.select("id").distinct()
+    may = _member_test(ids, min(20, max(_BLOCK_BITS, int(8 * ids.count()).bit_length())))(F.col(id_col))
+    joined = named.filter(may).join(by_doc, F.col(id_col) == by_doc["id"], "left").drop(by_doc["id"])
+    touched = joined.withColumn("n_lines", count).withColumn("n_removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"))
     touched = touched.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).drop("__gone")
-    return touched.unionByName(named.filter(~test(F.col(id_col))).withColumn("n_lines", count).withColumn("n_removed", F.lit(0).cast("long")))
+    return touched.unionByName(named.filter(~may).withColumn("n_lines", count).withColumn("n_removed", F.lit(0).cast("long")))
 
 
 def op5_lines(spark, sf_dir: str) -> DataFrame:
