@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 from tests.llm.conftest import ALNUM, WORD, lower
-from tidewright.llm import queries
+from tidewright.llm import lines, queries
 from tidewright.llm.components import components
 from tidewright.llm.decontaminate import decontaminate
 from tidewright.llm.jaccard import jaccard_components
@@ -114,20 +114,23 @@ def _lines(rng, vocabulary):
     base = [[rng.choice(vocabulary) for _ in range(rng.randrange(3, 30))] for _ in range(25)]
     rows = [(0, None), (1, ""), (2, "\n\n"), (3, "a b c"), (4, "a b c")]
     for doc in range(5, 45):
-        lines = []
+        own = []
         for _ in range(rng.randrange(1, 8)):
             words = list(rng.choice(base))
             for _ in range(rng.randrange(0, 4)):
                 words[rng.randrange(len(words))] = rng.choice(vocabulary)
             if rng.random() < 0.3:
                 words = [rng.choice(vocabulary) for _ in range(12)]
-            lines.append(("  " if rng.random() < 0.2 else " ").join(words))
-        rows.append((doc, "\n".join(lines)))
+            own.append(("  " if rng.random() < 0.2 else " ").join(words))
+        rows.append((doc, "\n".join(own)))
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_lines(table, clash, seed):
+@pytest.mark.parametrize("seed, small, dense", [(1, 2048, 16), (2, 2048, 1), (3, 3, 16)])
+def test_lines(table, clash, monkeypatch, seed, small, dense):
+    """Buckets compared in the stream, and those that are joined as they are large or many of their pairs pass."""
+    monkeypatch.setattr(lines, "_SMALL", small)
+    monkeypatch.setattr(lines, "_DENSE", dense)
     rng = random.Random(seed)
     rows = _lines(rng, [f"v{i}" for i in range(80)] + ["Ärger", "THE", "the"])
     docs = clash(table(rows))

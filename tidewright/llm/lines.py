@@ -12,7 +12,7 @@ their prefixes, with enough words left behind it on both sides (positional filte
 more pairs; what passes is verified on the words themselves, for each line the earliest candidate first.
 
 Buckets of a word with up to ``_SMALL`` lines are compared within the sorted stream of rows. In larger
-ones all lines are first compared with the earliest; only lines that stay are joined with the others.
+ones, and where many of the pairs pass, all lines are first compared with the earliest; only lines that stay are joined with the others.
 
 Scale: hashing is vectorised over Arrow batches; equal sets are pre-aggregated; rows of a bucket are
 streamed, at most ``_SMALL`` of them held, and the join of large buckets is one that Spark splits. Texts are
@@ -42,8 +42,8 @@ _ID, _TEXT = "__id", "__text"
 MIN_WORDS = 5
 #: Cells of word counts, as a power of two; they are summed in blocks.
 _BITS, _BLOCK_BITS = 22, 14
-#: Lines of a bucket that are compared all with all at once.
-_SMALL = 128
+#: Lines of a bucket that are compared all with all at once, if at most _DENSE pairs a line come of it; pairs at a time.
+_SMALL, _DENSE, _PAIRS = 2048, 16, 1 << 18
 _LINE = np.uint64(0x632BE59BD9B4E019)
 
 
@@ -177,27 +177,31 @@ def _described(lowered: DataFrame, levels: np.ndarray, percent: int, min_words:
 
 
 def _bucket_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """rows, sorted by word: pairs (id, line, id2, line2) of small buckets, and the rows of large ones, of which word isn't null."""
+    """rows, sorted by word: pairs (id, line, id2, line2) of small buckets, and the rows of large or dense ones, of which word isn't null."""
     kind = rows.schema["id"].dataType
     fields = [StructField("id", kind), StructField("line", IntegerType()), StructField("id2", kind), StructField("line2", IntegerType())]
     rest = [StructField("word", LongType()), StructField("n", IntegerType()), StructField("pos", IntegerType()), StructField("p1", LongType()), StructField("p2", LongType())]
     schema = StructType(fields + rest)
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
-    def compared(table: pa.Table, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        word, n, pos, p1, p2 = (table[c].to_numpy() for c in ("word", "n", "pos", "p1", "p2"))
-        n, pos, p1, p2 = n.astype(np.int64), pos.astype(np.int64), p1.view(np.uint64), p2.view(np.uint64)
-        left, right = [], []
-        for d in range(1, int(size.max(initial=1))):
-            i = np.flatnonzero((word[d:] == word[:-d]) & (size[d:] > d))
-            j = i + d
+    def compared(table: pa.Table, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows that may be similar, each row with as many before it as its rank in its bucket."""
+        n, pos, p1, p2 = (table[c].to_numpy() for c in ("n", "pos", "p1", "p2"))
+        n, behind, p1, p2 = n.astype(np.int64), n.astype(np.int64) - pos, p1.view(np.uint64), p2.view(np.uint64)
+        ends = np.cumsum(rank)
+        edges = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], _PAIRS)), len(rank)))
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for low, high in zip(edges[:-1], edges[1:]):
+            own = rank[low:high]
+            j = np.repeat(np.arange(low, high), own)
+            i = j - 1 - (np.arange(len(j)) - np.repeat(np.cumsum(own) - own, own))
             need = _need(n[i], n[j], percent)
-            fits = (n[i] - pos[i] >= need) & (n[j] - pos[j] >= need) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            fits = (np.minimum(behind[i], behind[j]) >= need) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             i, j, need = i[fits], j[fits], need[fits]
             near = np.bitwise_count(p1[i] ^ p1[j]).astype(np.int64) + np.bitwise_count(p2[i] ^ p2[j]) <= n[i] + n[j] - 2 * need
             left.append(i[near])
             right.append(j[near])
-        return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+        return np.concatenate(left), np.concatenate(right)
 
     def as_rows(table: pa.Table) -> pa.RecordBatch:
         id, line, *others = (table[c].combine_chunks() for c in ("id", "line", "word", "n", "pos", "p1", "p2"))
@@ -208,15 +212,16 @@ def _bucket_pairs(rows: DataFrame, percent: int) -> DataFrame:
         word = table["word"].to_numpy()
         first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         size = np.diff(np.append(first, len(word)))
-        if large is not None:
-            size[word[first] == large] = _SMALL + 1
-        size = np.repeat(size, np.diff(np.append(first, len(word))))
-        i, j = compared(table, np.where(size <= _SMALL, size, 1))
-        if len(i):
-            sides = (table.take(pa.array(i)), table.take(pa.array(j)))
-            yield _batch(schema, *(t[c].combine_chunks() for t in sides for c in ("id", "line")), *(pa.nulls(len(i), k) for k in kinds))
-        if (size > _SMALL).any():
-            yield as_rows(table.filter(pa.array(size > _SMALL)))
+        bucket = np.repeat(np.arange(len(first)), size)
+        rows = size > _SMALL if large is None else (size > _SMALL) | (word[first] == large)
+        i, j = compared(table, np.where(rows[bucket], 0, np.arange(len(word)) - first[bucket]))
+        rows |= np.bincount(bucket[i], minlength=len(first)) > _DENSE * size
+        kept = ~rows[bucket[i]]
+        if kept.any():
+            sides = (table.take(pa.array(i[kept])), table.take(pa.array(j[kept])))
+            yield _batch(schema, *(t[c].combine_chunks() for t in sides for c in ("id", "line")), *(pa.nulls(int(kept.sum()), k) for k in kinds))
+        if rows.any():
+            yield as_rows(table.filter(pa.array(rows[bucket])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, large = None, None  # rows of a bucket that may go on; the word of the last large bucket
