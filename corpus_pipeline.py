@@ -27,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(docs)
+    out = lines.dedup_lines(docs, min_words=1)
     judged = F.exists(F.split("text", "\n"), lambda line: F.size(F.array_distinct(lines.words(line))) >= lines.MIN_WORDS)
     left = out.filter((F.col("n_removed") == 0) | judged)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)

@@ -152,6 +152,30 @@ def test_lines(table, clash, monkeypatch, seed, small, dense):
     assert sum(r[1] for r in got.values()) > 20
 
 
+def _short_lines(rng):
+    base = [[f"s{rng.randrange(9)}" for _ in range(rng.randrange(1, 7))] for _ in range(30)] + [["日本語の行"], ["a", "a", "a"], ["x", "y", "z", "u"], ["x", "y", "z", "u", "v"]]
+    rows = [(0, None), (1, ""), (2, " \n\t\n"), (3, "Of."), (4, "of.\n\nOF.  of.")]
+    return rows + [(doc, "\n".join(" ".join(rng.choice(base)) for _ in range(rng.randrange(1, 6)))) for doc in range(5, 45)]
+
+
+def test_query_judges_short_lines(table, tmp_path, spark):
+    rows = _short_lines(random.Random(4))
+    table(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text_sha256"]) for r in queries.QUERIES["op5_lines"](spark, str(tmp_path)).collect()}
+    earlier, want = [], {}
+    for doc, text in rows:
+        kept, removed = [], 0
+        for line in (text or "").split("\n"):
+            words = set(line.lower().split())
+            again = bool(words) and any(100 * len(words & e) >= 80 * len(words | e) for e in earlier)
+            earlier += [words] if words else []
+            removed += again
+            kept += [] if again else [line]
+        want[doc] = (0 if text is None else text.count("\n") + 1, removed, hashlib.sha256("\n".join(kept).encode()).hexdigest())
+    assert got == want
+    assert sum(r[1] for r in got.values()) > 50
+
+
 def test_lines_with_null_and_repeated_ids(table):
     line = "one two three four five six"
     rows = [(None, line), (1, line), (1, line), (2, line + "\nrest"), (None, line)]

@@ -2,8 +2,8 @@
 
 A line's set is its distinct lower-case words. A line goes if an earlier line (by document id, then
 line number) has a Jaccard similarity of ``percent`` / 100 or more; lines are judged on the input, so
-a line that goes itself still removes later ones. Lines of fewer than ``min_words`` distinct words are too
-short to tell and stay.
+a line that goes itself still removes later ones. Lines of fewer than ``min_words`` distinct words stay; with 1, as
+the query and the pipeline have it, every line that has a word is judged.
 
 Lines of equal sets are one class, and all but its first go. Of each class words are ordered by rarity: by
 the binary logarithm of their count in ``2**_BITS`` hashed cells, then by hash. Similar sets share a word in
@@ -38,7 +38,7 @@ from tidewright.llm.tables import written
 from tidewright.llm.words import NON_SPACE, Block, blocks, mix, utf8
 
 _ID, _TEXT = "__id", "__text"
-#: Distinct words that a line needs to be judged.
+#: Distinct words that a line needs to be judged, unless said otherwise.
 MIN_WORDS = 5
 #: Cells of word counts, as a power of two; they are summed in blocks.
 _BITS, _BLOCK_BITS = 22, 14
@@ -347,5 +347,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op5_lines(spark, sf_dir: str) -> DataFrame:
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), min_words=1)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
