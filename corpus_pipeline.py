@@ -1,7 +1,7 @@
 """A corpus pipeline of five operators; each stage reads what the one before has written.
 
 language_id    documents whose language can't be told (null, empty or without a letter) go.
-line_dedup     lines similar to an earlier line go; a document of which only lines too short to judge are left goes.
+line_dedup     lines similar to an earlier line go; a document of which all lines with a word have gone goes.
 ngram_jaccard  of documents linked by five-word shingles at 0.8 or more the one of smallest id stays.
 decontaminate  documents that share a passage with the benchmark go.
 byte_bpe       texts become ids; the last stage returns doc_id, n_tokens, ids and whether they decode to the text.
@@ -28,8 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(docs, min_words=1)
-    judged = F.exists(F.split("text", "\n"), lambda line: F.size(F.array_distinct(lines.words(line))) >= lines.MIN_WORDS)
-    left = out.filter((F.col("n_removed") == 0) | judged)
+    left = out.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -39,6 +39,14 @@ def test_stages(spark, tmp_path):
         assert r["decoded_sha256"] == hashlib.sha256((before[i]["text"] or "").encode()).hexdigest()
 
 
+def test_documents_stay_while_text_is_left(spark):
+    footer = "all rights reserved by the same owner"
+    texts = [footer, f"roses are red\nviolets are blue\n{footer}", f"\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\n{footer}", f"{footer}\n\n  \nroses are red", " \n", "own"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()}
+    assert got == {0: footer, 1: "roses are red\nviolets are blue", 2: "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0", 4: " \n", 5: "own"}
+
+
 def test_near_copies_go(spark):
     text = " ".join(f"word{i}" for i in range(100))
     rows = [(i, text.replace(f"word{40 + i}", "other"), "en", "s", 1) for i in range(5)] + [(9, "nothing alike here in these words", "en", "s", 1)]
