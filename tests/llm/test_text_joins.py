@@ -57,6 +57,21 @@ def test_decontamination(table, clash, passages):
     assert len(got) == len(passages) and got[6][1] >= 12
 
 
+def test_decontamination_by_items_without_id(table, tmp_path, spark):
+    passage = " ".join(f"p{i}" for i in range(12))
+    table([(1, f"a {passage} b"), (2, "a b c"), (3, "short One"), (4, f"{passage} seven")]).write.parquet(str(tmp_path / "documents.parquet"))
+    table([(None, passage), (None, "one"), ("7", "seven"), ("8", "never")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    read = {r["doc_id"]: (r["n_hit"], r["items"], r["contaminated"]) for r in decontaminate(*(spark.read.parquet(str(tmp_path / f"{t}.parquet")) for t in ("documents", "benchmark"))).collect()}
+    assert read == {1: (12, [], True), 2: (0, [], False), 3: (1, [], True), 4: (13, ["7"], True)}
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        duck.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = duck.execute(queries.SQL["op1_decontamination"])
+    names = [d[0] for d in want.description]
+    got = queries.QUERIES["op1_decontamination"](spark, str(tmp_path))
+    assert Counter(map(tuple, got.select(*names).collect())) == Counter(want.fetchall())
+
+
 def test_substrings(table, clash, passages):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in dedup_substrings(clash(table(passages)), flush=500).collect()}
     texts = {i: WORD.findall(t or "") for i, t in passages}
