@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from tidewright.functions import text as T
 
@@ -34,18 +37,69 @@ def compatibility(frames: dict[str, DataFrame]) -> dict[str, list[str]]:
     return {"all": every, "common": [c for c in every if all(c in f.columns for f in frames.values())]} | {f"missing in {n}": [c for c in every if c not in f.columns] for n, f in frames.items()}
 
 
-def link(master: DataFrame, other: DataFrame, master_id: str, other_id: str, email: str, phone: str, name: str, city: str, state: str, company: str) -> DataFrame:
-    """Each row of other with its first match in master by three exact tiers: e-mail; phone and name; company, city, state and name.
+def _ratio(a: str, b: str) -> int:
+    """Percent of the letters of both that a longest common subsequence covers, rounded."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full = left = (1 << len(a)) - 1
+    for c in b:
+        own = left & places.get(c, 0)
+        left = (left + own | left - own) & full
+    return round(200 * (len(a) - left.bit_count()) / (len(a) + len(b)))
 
-    Each tier is an equi-join on the least id of a key, so no key fans out and blank keys stay out.
+
+@F.pandas_udf(IntegerType())
+def _ratios(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in pairs:
+        yield pd.Series([_ratio(x, y) for x, y in zip(a, b)], dtype="int32")
+
+
+def _near(a: str, b: str, percent: int):
+    """A test that all pairs with a ratio of percent or more pass: the edit distance is at most what the ratio leaves."""
+    return F.expr(f"2 * levenshtein({a}, {b}) * 100 <= (200 - {2 * percent - 1}) * (length({a}) + length({b}))")
+
+
+def _both(keys: list):
+    return reduce(lambda a, b: a & b, [k.isNotNull() for k in keys])
+
+
+def link(master: DataFrame, other: DataFrame, master_id: str, other_id: str, email: str, phone: str, name: str, city: str, state: str, company: str, mode: str = "exact") -> DataFrame:
+    """Each row of other with its first match in master by three tiers: e-mail; phone and name; company, city, state and name.
+
+    mode 'exact': all are equal. 'fuzzy': names of ratio 85 on equal phones; companies of 85 and names of 75 on equal
+    city and state. Exact tiers are equi-joins on the least id of a key, so no key fans out. Fuzzy ones join the
+    distinct values of what the tiers before have left on the equal columns, so they grow with the pairs of values
+    in a block. Blank keys stay out.
     """
+    if mode not in ("exact", "fuzzy"):
+        raise ValueError("mode has to be exact or fuzzy")
     norm = lambda c: F.nullif(F.lower(T.squeezed(T.column(c))), F.lit(""))
     digits = F.nullif(T.phone_digits(T.column(phone)), F.lit(""))
     tiers = [[norm(email)], [digits, norm(name)], [norm(company), norm(city), norm(state), norm(name)]]
-    out = other.select("*", *[F.when(reduce(lambda a, b: a & b, [c.isNotNull() for c in k]), F.concat_ws("\x1f", *k)).alias(f"__k{i}") for i, k in enumerate(tiers)])
-    for i, k in enumerate(tiers):
-        key = F.when(reduce(lambda a, b: a & b, [c.isNotNull() for c in k]), F.concat_ws("\x1f", *k))
-        found = master.select(key.alias(f"__k{i}"), F.col(master_id).alias("m")).filter(f"__k{i} is not null").groupBy(f"__k{i}").agg(F.min("m").alias(f"__m{i}"))
+    #: Of each tier how many of its keys are compared by ratio, and the least ratios; these keys come last.
+    ratios = [[], [], []]
+    if mode == "fuzzy":
+        tiers[2] = [norm(city), norm(state), norm(company), norm(name)]
+        ratios = [[], [85], [85, 75]]
+    key = lambda k: F.when(_both(k), F.concat_ws("\x1f", *k))
+    out = other.select("*", *[key(k).alias(f"__k{i}") for i, k in enumerate(tiers)])
+    for i, (k, least) in enumerate(zip(tiers, ratios)):
+        if least:
+            equal = len(k) - len(least)
+            parts = lambda df, side, extra: df.filter(_both(k)).select(key(k[:equal]).alias("__block"), *[c.alias(f"{side}{j}") for j, c in enumerate(k[equal:])], *extra)  # noqa: B023, E731
+            left = out.filter(reduce(lambda a, b: a & b, [F.col(f"__m{j}").isNull() for j in range(i)]))
+            wanted = parts(left, "__b", [F.col(f"__k{i}")]).distinct()
+            held = parts(master, "__a", [F.col(master_id).alias("m")])
+            held = held.groupBy("__block", *[f"__a{j}" for j in range(len(least))]).agg(F.min("m").alias("m"))
+            pairs = wanted.join(held, "__block")
+            for j, percent in enumerate(least):
+                pairs = pairs.filter(_near(f"__a{j}", f"__b{j}", percent))
+            for j, percent in enumerate(least):
+                pairs = pairs.filter(_ratios(f"__a{j}", f"__b{j}") >= percent)
+            found = pairs.groupBy(f"__k{i}").agg(F.min("m").alias(f"__m{i}"))
+        else:
+            found = master.select(key(k).alias(f"__k{i}"), F.col(master_id).alias("m")).filter(f"__k{i} is not null").groupBy(f"__k{i}").agg(F.min("m").alias(f"__m{i}"))
         out = out.join(found, f"__k{i}", "left")
     tier = F.when(F.col("__m0").isNotNull(), 1).when(F.col("__m1").isNotNull(), 2).when(F.col("__m2").isNotNull(), 3)
     return out.withColumns({"Overlap_Tier": tier, "Matched_With_Index": F.coalesce("__m0", "__m1", "__m2")}).drop(*[f"__{x}{i}" for i in range(3) for x in "km"])

@@ -21,6 +21,16 @@ CONTACTS = """select c_custkey as contact_id, '  ' || replace(c_name, '#', ' ')
  c_acctbal as amount from customer"""
 
 
+#: Contacts with a company and a town, of all customers and of all suppliers.
+PLACED = f"select *, 'Clinic of ' || title as company, 'Town ' || cast(contact_id % 500 as varchar(20)) as city from ({CONTACTS}) c"
+SUPPLIERS = """select s_suppkey as contact_id, ' ' || replace(s_name, 'Supplier#', 'CUSTOMER  ') || case when s_suppkey % 4 = 0 then ' Jr' when s_suppkey % 4 = 1 then ' of the North' else '' end as full_name,
+ case when s_suppkey % 5 = 1 then 'Building_' || cast(s_suppkey % 400 as varchar(20)) || '@Example.com' end as email,
+ case when s_suppkey % 2 = 0 then lpad(cast(200 + s_suppkey % 700 as varchar(20)), 3, '0') || lpad(cast(s_suppkey % 1000 as varchar(20)), 3, '0') || lpad(cast(s_suppkey % 50 as varchar(20)), 4, '0') end as phone,
+ case s_suppkey % 3 when 0 then 'clinic  of ' when 1 then 'Clinics of ' else 'Labs for ' end || case s_nationkey % 3 when 0 then 'CEO' when 1 then 'Charge Nurse' else 'RN' end as company,
+ 'town ' || cast(s_suppkey % 500 as varchar(20)) as city,
+ case s_nationkey % 5 when 0 then 'ohio' when 1 then 'NY' when 2 then 'ak' when 3 then 'Puerto Rico' else 'Calif.' end as state from supplier"""
+
+
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("customer")
     return spark.sql(CONTACTS)
@@ -75,6 +85,16 @@ def link_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(master, other, "contact_id", "contact_id", "email", "phone", "title", "street", "state", "company").select("contact_id", "Overlap_Tier", "Matched_With_Index")
 
 
+def _link_tables(mode: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for table in ("customer", "supplier"):
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        found = link(spark.sql(PLACED), spark.sql(SUPPLIERS), "contact_id", "contact_id", "email", "phone", "full_name", "city", "state", "company", mode)
+        return found.select("contact_id", "Overlap_Tier", "Matched_With_Index")
+
+    return run
+
+
 _C = f"with contacts as ({CONTACTS}) "
 _TRIM = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 _NUMBER = "regexp_replace({0}, '[^0-9]', '', 'g')"
@@ -134,7 +154,16 @@ PAIRS = {
         " left join (select phone, title, min(contact_id) as m from contacts where contact_id % 3 = 0 group by 1, 2) b on b.phone = o.phone and b.title = o.title"
         " left join (select street, state, title, min(contact_id) as m from contacts where contact_id % 3 = 0 group by 1, 2, 3) c on c.street = o.street and c.state = o.state and c.title = o.title where o.contact_id % 3 = 1",
     ),
+    "link_tables": (
+        _link_tables("exact"),
+        f"with m as (select contact_id as id, lower(email) as email, {_NUMBER.format('phone')} as phone, lower({_TRIM.format('full_name')}) as name, lower({_TRIM.format('company')}) as company, lower(city) as city, lower(state) as state from ({PLACED})),"
+        f" o as (select contact_id as id, lower(email) as email, {_NUMBER.format('phone')} as phone, lower({_TRIM.format('full_name')}) as name, lower({_TRIM.format('company')}) as company, lower(city) as city, lower(state) as state from ({SUPPLIERS})),"
+        " f as (select o.id, (select min(id) from m where m.email = o.email) as a, (select min(id) from m where m.phone = o.phone and m.name = o.name) as b,"
+        " (select min(id) from m where m.company = o.company and m.city = o.city and m.state = o.state and m.name = o.name) as c from o)"
+        " select id as contact_id, case when a is not null then 1 when b is not null then 2 when c is not null then 3 end as \"Overlap_Tier\", coalesce(a, b, c) as \"Matched_With_Index\" from f",
+    ),
 }
 
-QUERIES = {name: pair[0] for name, pair in PAIRS.items()}
+#: DuckDB has no ratio by common subsequences, so link_fuzzy has no SQL.
+QUERIES = {name: pair[0] for name, pair in PAIRS.items()} | {"link_fuzzy": _link_tables("fuzzy")}
 SQL = {name: pair[1] for name, pair in PAIRS.items()}
