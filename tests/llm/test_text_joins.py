@@ -141,10 +141,10 @@ def _lines(rng, vocabulary):
     return rows
 
 
-@pytest.mark.parametrize("seed, small, dense", [(1, 2048, 16), (2, 2048, 1), (3, 3, 16)])
-def test_lines(table, clash, monkeypatch, seed, small, dense):
-    """Buckets compared in the stream, and those that are joined as they are large or many of their pairs pass."""
-    monkeypatch.setattr(lines, "_SMALL", small)
+@pytest.mark.parametrize("seed, large, dense", [(1, 256, 16), (2, 4, 1)])
+def test_lines(table, clash, monkeypatch, seed, large, dense):
+    """Buckets joined at once, and large ones in many rounds or few."""
+    monkeypatch.setattr(lines, "_LARGE", large)
     monkeypatch.setattr(lines, "_DENSE", dense)
     rng = random.Random(seed)
     rows = _lines(rng, [f"v{i}" for i in range(80)] + ["Ärger", "THE", "the"])

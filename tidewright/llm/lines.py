@@ -1,332 +1,213 @@
-"""Line deduplication as an exact set-similarity join.
+"""Line deduplication as an exact set-similarity join, in SQL functions only.
 
 A line's set is its distinct lower-case words. A line goes if an earlier line (by document id, then
 line number) has a Jaccard similarity of ``percent`` / 100 or more; lines are judged on the input, so
 a line that goes itself still removes later ones. Lines of fewer than ``min_words`` distinct words stay; with 1, as
 the query and the pipeline have it, every line that has a word is judged.
 
-Lines of equal sets are one class, and all but its first go. Of each class words are ordered by rarity: by
-the binary logarithm of their count in ``2**_BITS`` hashed cells, then by hash. Similar sets share a word in
-their prefixes, with enough words left behind it on both sides (positional filter) and sizes alike
-(length filter). Bits of parity by part of the words bound the difference of two sets from below and drop
-more pairs; what passes is verified on the words themselves, for each line the earliest candidate first.
+Lines of equal sets are one class (by 128 bits of the SHA-256 of the sorted words), and all but its first go.
+Of each class words are ordered by rarity: by classes of their count in ``2**bits`` hashed cells, then by hash.
+Similar sets share a word in their prefixes, with enough words left behind it on both sides (positional
+filter) and sizes alike (length filter). Bits of parity by part of the words bound the difference of two sets
+from below and drop more pairs; what passes is verified on the words themselves, for each line the earliest
+candidate first.
 
-Buckets of a word with up to ``_SMALL`` lines are compared within the sorted stream of rows. In larger
-ones, and where many of the pairs pass, all lines are first compared with the earliest; only lines that stay are joined with the others.
+Buckets of a word with up to ``_LARGE`` classes are joined at once. In larger ones all lines that haven't gone are
+compared with one line, the earliest of them, in a number of rounds; only lines that then still stay are joined with
+the others, by the same filters, in a join that Spark splits where it is skewed.
 
-Scale: hashing is vectorised over Arrow batches; equal sets are pre-aggregated; rows of a bucket are
-streamed, at most ``_SMALL`` of them held, and the join of large buckets is one that Spark splits. Texts are
-shuffled only of lines in candidate pairs and of documents that lose lines; bitmaps of a bounded size tell
-them apart in the scan. Nothing else is gathered than these bitmaps and the rarity classes.
+Scale: texts are read for word counts, for sets, and for the lines in candidate pairs, which a bitmap of a
+bounded size tells apart in the scan (above it more lines than needed are joined). The rarity classes take 2**bits / 2
+bytes. Nothing else is gathered. Tables between jobs lie in the shared folder.
 
 Cases: null or empty texts have no lines that can go and are returned as they are. Documents with one
 id are compared as one document: equal lines at the same place of both stay. Rows with a null id are returned
-unchanged and remove nothing. Other columns are kept, whatever their names.
+unchanged and remove nothing. An empty table gives an empty one. Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from tidewright.llm.tables import written
-from tidewright.llm.words import NON_SPACE, Block, blocks, mix, utf8
+from tidewright.llm.tables import removed, written
 
 _ID, _TEXT = "__id", "__text"
 #: Distinct words that a line needs to be judged, unless said otherwise.
 MIN_WORDS = 5
-#: Cells of word counts, as a power of two; they are summed in blocks.
-_BITS, _BLOCK_BITS = 22, 14
-#: Lines of a bucket that are compared all with all at once, if at most _DENSE pairs a line come of it; pairs at a time.
-_SMALL, _DENSE, _PAIRS = 2048, 16, 1 << 18
-_LINE = np.uint64(0x632BE59BD9B4E019)
+#: Cells of word counts and of bitmaps at most, as powers of two, and characters of a table that are put together at a time.
+_WORD_BITS, _BITMAP_BITS, _PART = 21, 24, 4096
+#: Least counts of the rarity classes from 1 on. A word of class 0 stands in one line only.
+_CLASSES = [2, 4, 8, 16, 64, 256, 4096]
+#: Classes in a bucket that are compared all with all; at most so many rounds of comparisons with one, and pairs a line that end them early, as a round that removes none does.
+_LARGE, _ROUNDS, _DENSE = 256, 6, 16
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), r"\s+"), "")
+    """The distinct words of a lower-case text."""
+    return F.array_distinct(F.array_remove(F.split(text, r"\s+"), ""))
+
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-def _batch(schema: StructType, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema.fieldNames())
 
+def _filled(entries: Column, gap: str, size: int) -> Column:
+    """Texts of structs (at, text), sorted, each at its place, with gap at every place without one; size: characters in all."""
+    pieces = lambda e: F.transform(e, lambda x, i: F.concat(F.repeat(F.lit(gap), x["at"] - F.coalesce(F.get(e, i - 1)["at"], F.lit(-1)) - 1), x["text"]))
+    return F.rpad(F.array_join(let(entries, pieces), ""), size, "@")
 
-def _cells(parts: Iterator[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
-    """How many hashes of all parts have which leading bits; a row for each block of cells that has some."""
-    total, size = np.zeros(1 << bits, np.uint32), 1 << min(bits, _BLOCK_BITS)
-    for hashes in parts:
-        np.add.at(total, (hashes >> np.uint64(64 - bits)).astype(np.int64), 1)
-    for block in range(len(total) // size):
-        own = total[block * size : (block + 1) * size]
-        at = np.flatnonzero(own)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([at.astype("<u2").tobytes()]), pa.array([own[at].astype("<u4").tobytes()])], ["block", "at", "counts"])
 
+def _table(cells: DataFrame, size: int) -> DataFrame:
+    """One row, one binary column: of each place 64 + value (0 to 63) as a byte; cells: place (distinct), value; places without one have 0."""
+    entry = lambda at, text: F.array_sort(F.collect_list(F.struct(F.col(at).cast("int").alias("at"), text.alias("text"))))
+    part = min(size, _PART)
+    named = cells.select(F.expr(f"place div {part}").alias("part"), (F.col("place") % part).alias("at"), F.chr(F.col("value") + 64).alias("c"))
+    parts = named.groupBy("part").agg(entry("at", F.col("c")).alias("e")).select("part", _filled(F.col("e"), "@", part).alias("t"))
+    return parts.agg(entry("part", F.col("t")).alias("e")).select(_filled(F.col("e"), "@" * part, size).cast("binary").alias("table"))
 
-def _levels(cells: DataFrame, bits: int) -> np.ndarray:
-    """Of each cell 0 if no hash fell there, 1 for one, else 2 and more by the binary logarithm of their number."""
-    size = 1 << min(bits, _BLOCK_BITS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, at, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                sums.setdefault(block, np.zeros(size, np.int64))[np.frombuffer(at, "<u2")] += np.frombuffer(counts, "<u4")
-        for block, own in sums.items():
-            level = np.where(own > 0, np.log2(np.maximum(own, 1)).astype(np.uint8) + 1, 0).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()])], ["block", "levels"])
+def _byte(table: Column, place: Column) -> Column:
+    return F.ascii(F.substring(table, place.cast("int") + 1, F.lit(1)).cast("string"))
 
-    out = np.zeros(1 << bits, np.uint8)
-    for row in cells.repartition("block").mapInArrow(run, "block int, levels binary").collect():  # 2 ** bits bytes at most
-        out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["levels"], np.uint8)
-    return out
 
+def _member_test(hashes: DataFrame, most: int = _BITMAP_BITS):
+    """A test on a hash that all of hashes (one column, h) pass and few others: a bitmap with four bits a byte."""
+    hashes = written(hashes.distinct(), "line-members")
+    bits = min(most, max(10, int(8 * hashes.count()).bit_length()))
+    cell = F.shiftrightunsigned("h", 64 - bits)
+    bit = F.when(cell % 4 == 0, 1).when(cell % 4 == 1, 2).when(cell % 4 == 2, 4).otherwise(8)
+    cells = hashes.groupBy(F.shiftright(cell, 2).alias("place")).agg(F.bit_or(bit).alias("value"))
+    table = written(_table(cells, 1 << bits - 2), "line-bitmap")
 
-def _member_test(ids: DataFrame, bits: int):
-    """A test, in SQL functions, on an id that all of ids pass and few others: a bitmap with four bits a byte."""
+    def test(h: Column) -> Column:
+        cell = F.shiftrightunsigned(h, 64 - bits)
+        return F.coalesce(F.getbit(_byte(table.scalar(), F.shiftright(cell, 2)), (cell % 4).cast("int")) == 1, F.lit(False))
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _cells((b.column(0).to_numpy().view(np.uint64) for b in batches), bits)
+    return test
 
-    found = _levels(ids.select(F.xxhash64("id")).mapInArrow(cells, "block int, at binary, counts binary"), bits) > 0
-    table = bytearray((64 | found.reshape(-1, 4) @ np.array([1, 2, 4, 8])).astype(np.uint8).tobytes())
 
-    def test(id: Column) -> Column:
-        place = F.shiftrightunsigned(F.xxhash64(id), 64 - bits).cast("int")
-        byte = F.ascii(F.substring(F.lit(table), F.shiftright(place, 2) + 1, F.lit(1)).cast("string"))
-        return F.coalesce(F.getbit(byte, place % 4) == 1, F.lit(False))
+def _word_classes(lowered: DataFrame, bits: int) -> bytes:
+    """Rarity classes of the cells of words, two a byte."""
+    seen = lowered.select(F.explode(F.split("text", r"\s+")).alias("w")).filter("w <> ''")
+    counts = seen.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).cast("int").alias("cell")).agg(F.count("*").alias("n")).filter(f"n >= {_CLASSES[0]}")
+    level = sum((F.col("n") >= c).cast("int") for c in _CLASSES)
+    cells = counts.groupBy(F.shiftright("cell", 1).alias("place")).agg(F.sum(F.when(F.col("cell") % 2 == 0, level).otherwise(8 * level)).cast("int").alias("value"))
+    return bytes(written(_table(cells, 1 << bits - 1), "line-words").first()["table"])  # 2 ** (bits - 1) bytes
 
-    return test
+
+def _described(lowered: DataFrame, table: bytes, bits: int, percent: int) -> DataFrame:
+    """Of each line: place, key of its set, size, parity, and those prefix words that may occur elsewhere, with the position of the first."""
+    lines = lowered.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    sets = lines.select("id", "line", words(F.col("text")).alias("w"))
+    hashed = sets.select("id", "line", F.size("w").alias("n"), F.substring(F.unhex(F.sha2(F.array_join(F.sort_array("w"), " "), 256)), 1, 16).alias("key"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
+    cell = lambda h: F.shiftrightunsigned(h, 64 - bits).cast("int")
+    rarity = lambda h: F.call_function("shiftright", _byte(F.lit(bytearray(table)), F.shiftright(cell(h), 1)), cell(h).bitwiseAND(1) * 3).bitwiseAND(7)
+    token = lambda h: F.shiftleft(rarity(h).cast("long"), 60).bitwiseOR(F.shiftrightunsigned(h, 4))
+    # Bit 6 of a hash says in which of two words its parity goes, the six bits below it where.
+    high = lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(1)
+    odd = lambda flip: F.aggregate("h", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", high(h).bitwiseXOR(flip), h.bitwiseAND(63).cast("int"))))
+    tokens = hashed.select("id", "line", "n", "key", F.sort_array(F.transform("h", token)).alias("t"), odd(1).alias("p1"), odd(0).alias("p2"))
+    prefix = F.expr(f"slice(t, 1, n - ({percent} * n + 99) div 100 + 1)")
+    shared = tokens.select("id", "line", "n", "key", "p1", "p2", F.when(F.col("n") > 0, prefix).alias("t"))
+    known = shared.withColumn("words", F.filter("t", lambda t: t >= 1 << 60))
+    return known.select("id", "line", "n", "key", "p1", "p2", (F.size("t") - F.size("words")).alias("skip"), "words")
+
+
+_ROW = ["n", "pos", "p1", "p2"]
 
 
-def _word_levels(lowered: DataFrame) -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _cells((b.hashes() for batch in batches for b in blocks(batch.column(0), NON_SPACE)), _BITS)
-
-    return _levels(lowered.select("text").mapInArrow(run, "block int, at binary, counts binary"), _BITS)
-
-
-def _line_of_words(block: Block, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each word the number of its line in the block, and in its document."""
-    newlines = np.flatnonzero(block.data == 10)
-    before = np.searchsorted(newlines, block.starts)
-    doc = block.docs()
-    return before + doc, before - np.searchsorted(newlines, offsets)[doc]
-
-
-def _offsets(column: pa.Array, rows: range) -> np.ndarray:
-    """Where the texts of rows begin in their block."""
-    return utf8(column.slice(rows.start, len(rows)))[1][:-1]
-
-
-def _need(n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
-    """Words that sets of these sizes have to share."""
-    return (percent * (n1 + n2) + 99 + percent) // (100 + percent)
-
-
-def _described(lowered: DataFrame, levels: np.ndarray, percent: int, min_words: int) -> DataFrame:
-    """Of each line to judge: place, hash of its set, size, parity, and the prefix words that may occur twice."""
-    kind = lowered.schema["id"].dataType
-    word = ArrayType(StructType([StructField("word", LongType()), StructField("pos", IntegerType())]))
-    schema = StructType([StructField("id", kind), StructField("line", IntegerType()), StructField("k1", LongType()), StructField("k2", LongType()), StructField("n", IntegerType()), StructField("p1", LongType()), StructField("p2", LongType()), StructField("words", word)])
-    shared = lowered.sparkSession.sparkContext.broadcast(levels)
-
-    def described(block: Block, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch | None:
-        line, number = _line_of_words(block, _offsets(texts, block.rows))
-        h = block.hashes()
-        if not len(h):
-            return None
-        level = shared.value[(h >> np.uint64(64 - _BITS)).astype(np.int64)]
-        # Sorted by line, level and 38 bits of the hash; equal words are neighbours.
-        key = line.astype(np.uint64) << np.uint64(44) | level.astype(np.uint64) << np.uint64(38) | h >> np.uint64(26)
-        order = np.argsort(key)
-        clash = (key[order[1:]] == key[order[:-1]]) & (h[order[1:]] != h[order[:-1]])
-        if line[-1] >= 1 << 20 or clash.any():
-            order = np.lexsort((h, level, line))
-        h, line = h[order], line[order]
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-        h, line, order = h[fresh], line[fresh], order[fresh]
-        first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-        n = np.diff(np.append(first, len(h)))
-        pos = np.arange(len(h)) - np.repeat(first, n)
-        bit, high = np.uint64(1) << (h & np.uint64(63)), (h & np.uint64(64)) > 0
-        zero = np.uint64(0)
-        sums = [np.add.reduceat(mix(h), first), np.add.reduceat(mix(h ^ _LINE), first), np.bitwise_xor.reduceat(np.where(high, zero, bit), first), np.bitwise_xor.reduceat(np.where(high, bit, zero), first)]
-        judged = n >= min_words
-        prefix = n - (percent * n + 99) // 100 + 1
-        taken = (pos < np.repeat(np.where(judged, prefix, 0), n)) & (level[order] > 1)
-        sizes = np.add.reduceat(taken.astype(np.int64), first)[judged]
-        listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.StructArray.from_arrays([pa.array((h[taken] >> np.uint64(24)).astype(np.int64)), pa.array(pos[taken], pa.int32())], ["word", "pos"]))
-        at = order[first][judged]
-        k1, k2, p1, p2 = (s[judged].view(np.int64) for s in sums)
-        return _batch(schema, ids.take(pa.array(block.docs()[at] + block.rows.start)), pa.array(number[at], pa.int32()), k1, k2, pa.array(n[judged], pa.int32()), p1, p2, listed)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks(batch.column(1), NON_SPACE):
-                out = described(block, batch.column(0), batch.column(1))
-                if out is not None and out.num_rows:
-                    yield out
-
-    return lowered.select("id", "text").mapInArrow(run, schema)
-
-
-def _bucket_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """rows, sorted by word: pairs (id, line, id2, line2) of small buckets, and the rows of large or dense ones, of which word isn't null."""
-    kind = rows.schema["id"].dataType
-    fields = [StructField("id", kind), StructField("line", IntegerType()), StructField("id2", kind), StructField("line2", IntegerType())]
-    rest = [StructField("word", LongType()), StructField("n", IntegerType()), StructField("pos", IntegerType()), StructField("p1", LongType()), StructField("p2", LongType())]
-    schema = StructType(fields + rest)
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-
-    def compared(table: pa.Table, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of rows that may be similar, each row with as many before it as its rank in its bucket."""
-        n, pos, p1, p2 = (table[c].to_numpy() for c in ("n", "pos", "p1", "p2"))
-        n, behind, p1, p2 = n.astype(np.int64), n.astype(np.int64) - pos, p1.view(np.uint64), p2.view(np.uint64)
-        ends = np.cumsum(rank)
-        edges = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], _PAIRS)), len(rank)))
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for low, high in zip(edges[:-1], edges[1:]):
-            own = rank[low:high]
-            j = np.repeat(np.arange(low, high), own)
-            i = j - 1 - (np.arange(len(j)) - np.repeat(np.cumsum(own) - own, own))
-            need = _need(n[i], n[j], percent)
-            fits = (np.minimum(behind[i], behind[j]) >= need) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-            i, j, need = i[fits], j[fits], need[fits]
-            near = np.bitwise_count(p1[i] ^ p1[j]).astype(np.int64) + np.bitwise_count(p2[i] ^ p2[j]) <= n[i] + n[j] - 2 * need
-            left.append(i[near])
-            right.append(j[near])
-        return np.concatenate(left), np.concatenate(right)
-
-    def as_rows(table: pa.Table) -> pa.RecordBatch:
-        id, line, *others = (table[c].combine_chunks() for c in ("id", "line", "word", "n", "pos", "p1", "p2"))
-        return _batch(schema, id, line, pa.nulls(len(table), id.type), pa.nulls(len(table), pa.int32()), *others)
-
-    def out(table: pa.Table, large: int | None) -> Iterator[pa.RecordBatch]:
-        """table: whole buckets, but that what it has of the bucket large may be a part."""
-        word = table["word"].to_numpy()
-        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        size = np.diff(np.append(first, len(word)))
-        bucket = np.repeat(np.arange(len(first)), size)
-        rows = size > _SMALL if large is None else (size > _SMALL) | (word[first] == large)
-        i, j = compared(table, np.where(rows[bucket], 0, np.arange(len(word)) - first[bucket]))
-        rows |= np.bincount(bucket[i], minlength=len(first)) > _DENSE * size
-        kept = ~rows[bucket[i]]
-        if kept.any():
-            sides = (table.take(pa.array(i[kept])), table.take(pa.array(j[kept])))
-            yield _batch(schema, *(t[c].combine_chunks() for t in sides for c in ("id", "line")), *(pa.nulls(int(kept.sum()), k) for k in kinds))
-        if rows.any():
-            yield as_rows(table.filter(pa.array(rows[bucket])))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, large = None, None  # rows of a bucket that may go on; the word of the last large bucket
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            word = table["word"].to_numpy()
-            cut = int(np.searchsorted(word, word[-1]))
-            if cut:
-                yield from out(table.slice(0, cut), large)
-            held = table.slice(cut)
-            if large == word[-1] or len(held) > _SMALL:
-                yield as_rows(held)
-                held, large = None, int(word[-1])
-        if held is not None:
-            yield from out(held, large)
-
-    return rows.mapInArrow(run, schema)
-
-
-def _needed_lines(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(id, line, text) of the needed lines and few others; needed: id, line."""
-    bits = min(26, max(_BLOCK_BITS, int(8 * needed.count()).bit_length()))
-
-    def hashed(ids: np.ndarray, lines: np.ndarray) -> np.ndarray:
-        return mix(ids.astype(np.int64).view(np.uint64) + lines.astype(np.uint64) * _LINE)
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _cells((hashed(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches), bits)
-
-    found = _levels(needed.select(F.xxhash64("id"), "line").mapInArrow(cells, "block int, at binary, counts binary"), bits)
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(found > 0))
-    schema = StructType([StructField("id", docs.schema[_ID].dataType), StructField("line", IntegerType()), StructField("text", docs.schema[_TEXT].dataType)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in batches:
-            for block in blocks(batch.column(2), NON_SPACE):
-                offsets = _offsets(batch.column(2), block.rows)
-                ends = np.append(offsets[1:], len(block.data))
-                newlines = np.flatnonzero(block.data == 10)
-                # A line starts at each text and behind each newline.
-                doc = np.concatenate([np.arange(len(offsets)), np.searchsorted(offsets, newlines, side="right") - 1])
-                start = np.concatenate([offsets, newlines + 1])
-                order = np.lexsort((start, doc))
-                doc, start = doc[order], start[order]
-                line = np.arange(len(doc)) - np.searchsorted(doc, doc)
-                stop = np.append(start[1:] - 1, len(block.data))
-                last = np.append(doc[1:] != doc[:-1], True)
-                stop[last] = ends[doc[last]]
-                at = (hashed(batch.column(1).to_numpy()[block.rows.start + doc], line) >> np.uint64(64 - bits)).astype(np.int64)
-                hit = np.flatnonzero(table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
-                if len(hit):
-                    texts = [block.data[a:b].tobytes().decode() for a, b in zip(start[hit], stop[hit])]
-                    yield _batch(schema, batch.column(0).take(pa.array(doc[hit] + block.rows.start)), pa.array(line[hit], pa.int32()), pa.array(texts, pa.string()))
-
-    return docs.select(_ID, F.xxhash64(_ID), _TEXT).mapInArrow(run, schema)
-
-
-def _similar(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Lines x of pairs (x, y: structs of id, line) that are similar to their y."""
-    pairs = written(pairs.distinct(), "line-candidates")
-    needed = pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct().select("at.*")
-    lines = _needed_lines(docs, needed).select(F.struct("id", "line").alias("at"), "text").distinct()
-    sets = written(lines, "line-texts")
-    both = pairs.join(sets.select(F.col("at").alias("x"), F.col("text").alias("tx")), "x").join(sets.select(F.col("at").alias("y"), F.col("text").alias("ty")), "y")
-    both = both.select("x", F.array_distinct(words(F.col("tx"))).alias("wx"), F.array_distinct(words(F.col("ty"))).alias("wy"))
-    shared = F.size(F.array_intersect("wx", "wy"))
-    return both.filter(100 * shared >= percent * (F.size("wx") + F.size("wy") - shared)).select("x").distinct()
+def _side(rows: DataFrame, name: str) -> DataFrame:
+    """Rows as one side of a join: word, name (id, line), and the rest with name behind."""
+    return rows.select("word", F.struct("id", "line").alias(name), *[F.col(c).alias(c + name) for c in _ROW])
 
 
 def _fits(percent: int) -> Column:
+    """Whether the sets of x and y, y being earlier, may be similar."""
     need = f"(({percent} * (nx + ny) + {99 + percent}) div {100 + percent})"
-    return F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and nx - px >= {need} and ny - py >= {need} and bit_count(p1x ^ p1y) + bit_count(p2x ^ p2y) <= nx + ny - 2 * {need}")
+    return F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and least(nx - posx, ny - posy) >= {need} and bit_count(p1x ^ p1y) + bit_count(p2x ^ p2y) <= nx + ny - 2 * {need} and y < x")
+
+
+class _Judge:
+    """Lines of candidate pairs, read once, and the verification of pairs (x, y: structs of id, line)."""
+
+    def __init__(self, docs: DataFrame, needed: DataFrame, percent: int):
+        place = lambda: F.xxhash64("id", "line")
+        test = _member_test(needed.select(place().alias("h")))
+        lines = docs.select(F.col(_ID).alias("id"), F.posexplode(F.split(F.lower(_TEXT), "\n")).alias("line", "text")).filter(test(place()))
+        self.sets = written(lines.select(F.struct("id", "line").alias("at"), words(F.col("text")).alias("w")), "line-texts")
+        self.percent = percent
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """Those x that are similar to their y; a line stands once."""
+        both = pairs.join(self.sets.select(F.col("at").alias("x"), F.col("w").alias("wx")), "x").join(self.sets.select(F.col("at").alias("y"), F.col("w").alias("wy")), "y")
+        sized = both.select("x", F.size(F.array_intersect("wx", "wy")).alias("s"), (F.size("wx") + F.size("wy")).alias("n"))
+        return written(sized.filter(f"100 * s >= {self.percent} * (n - s)").select("x").distinct(), "lines-similar")
+
+
+def _hot_rounds(hot: DataFrame, judge: _Judge, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Lines of large buckets that have gone after rounds of comparisons with one line of each bucket, and the pairs still to be judged."""
+    total, gone, tried = hot.count(), None, None
+    state = hot
+    for _ in range(_ROUNDS):
+        pivots = state.groupBy("word").agg(F.min(F.struct("id", "line", *_ROW)).alias("p")).select("word", "p.*")
+        pairs = written(_side(state, "x").join(_side(pivots, "y"), "word").filter(_fits(percent)).select("x", "y").distinct(), "line-stars")
+        found = judge.similar(pairs)
+        gone = found if gone is None else gone.unionByName(found)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        rest = state.join(pivots.select("word", "id", "line"), ["word", "id", "line"], "left_anti").join(found.select("x.*"), ["id", "line"], "left_anti")
+        state = written(rest, "line-open")
+        work = state.groupBy("word").count().join(hot.groupBy("word").agg(F.count("*").alias("c")), "word").agg(F.sum(F.col("count") * F.col("c"))).first()[0] or 0
+        if work <= _DENSE * total or found.isEmpty():
+            break
+    stay = hot.join(gone.select("x.*").distinct(), ["id", "line"], "left_anti")
+    late = _side(stay, "x").join(_side(hot, "y"), "word").filter(_fits(percent)).select("x", "y").distinct()
+    return gone, late.join(tried, ["x", "y"], "left_anti")
 
 
 def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, line) of the lines that go; docs: __id, __text without null ids."""
     lowered = docs.select(F.col(_ID).alias("id"), F.lower(_TEXT).alias("text"))
-    described = written(_described(lowered, _word_levels(lowered), percent, min_words), "line-sets")
+    size = docs.agg(F.sum(F.octet_length(_TEXT))).first()[0] or 0
+    bits = min(_WORD_BITS, max(10, int(size / 7).bit_length()))
+    described = written(_described(lowered, _word_classes(lowered, bits), bits, percent), "line-sets")
     at = F.struct("id", "line")
-    classes = described.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "p1", "p2", "words")])
-    firsts = described.groupBy("k1", "k2").agg(F.min(at).alias("earliest"), F.count("*").alias("copies")).filter("copies > 1")
-    equal = described.select("k1", "k2", at.alias("at")).join(firsts, ["k1", "k2"]).filter("at > earliest").select("at")
-
-    rows = classes.select("at.id", "at.line", "n", "p1", "p2", F.inline("words")).repartition("word").sortWithinPartitions("word")
-    found = written(_bucket_pairs(rows, percent), "line-pairs")
-    one, two = F.struct("id", "line"), F.struct(F.col("id2").alias("id"), F.col("line2").alias("line"))
-    pairs = found.filter("word is null").select(F.greatest(one, two).alias("x"), F.least(one, two).alias("y")).distinct()
-
-    hot = found.filter("word is not null").select("word", at.alias("at"), "n", "pos", "p1", "p2")
-    names = {"at": "", "n": "n", "pos": "p", "p1": "p1", "p2": "p2"}
-    x = hot.select("word", *[F.col(c).alias(f"{names[c]}x") for c in names])
-    y = hot.select("word", *[F.col(c).alias(f"{names[c]}y") for c in names])
-    earliest = hot.groupBy("word").agg(F.min(F.struct(*names)).alias("y")).select("word", *[F.col(f"y.{c}").alias(f"{names[c]}y") for c in names])
-    stars = x.join(earliest, "word").filter("y < x").filter(_fits(percent)).select("x", "y")
-
-    tried = written(pairs.groupBy("x").agg(F.min("y").alias("y")).unionByName(stars), "line-first-pairs")
-    gone = written(_similar(tried, docs, percent), "lines-gone-first")
-    late = x.join(gone, "x", "left_anti").join(y, "word").filter("y < x").filter(_fits(percent)).select("x", "y")
-    left = pairs.join(gone, "x", "left_anti").unionByName(late).join(tried, ["x", "y"], "left_anti")
-    more = _similar(left, docs, percent)
-    return written(equal.unionByName(gone.select(F.col("x").alias("at"))).unionByName(more.select(F.col("x").alias("at"))).distinct().select("at.id", "at.line"), "lines-gone")
+    firsts = described.filter(F.col("n") >= min_words).groupBy("key").agg(F.min(at).alias("first"))
+    placed = written(described.join(firsts, "key").select("id", "line", "n", "p1", "p2", "skip", F.when(at == F.col("first"), F.col("words")).alias("words"), (at > F.col("first")).alias("equal")), "line-classes")
+    removed(described)
+
+    rows = placed.filter("not equal").select("id", "line", "n", "p1", "p2", "skip", F.posexplode("words").alias("i", "word")).select("word", "id", "line", "n", (F.col("skip") + F.col("i")).alias("pos"), "p1", "p2")
+    often = F.col("word") >= (_CLASSES.index(_LARGE) + 1 if _LARGE in _CLASSES else 0) << 60
+    large = written(rows.filter(often).groupBy("word").count().filter(F.col("count") > _LARGE).select("word"), "line-large")
+    any_large = not large.isEmpty()
+    small = (rows.join(large, "word", "left_anti") if any_large else rows).repartition("word")
+    pairs = written(_side(small, "x").join(_side(small, "y"), "word").filter(_fits(percent)).select("x", "y").distinct(), "line-pairs")
+
+    needed = pairs.select(F.explode(F.array("x", "y")).alias("at")).select("at.*")
+    hot = None
+    if any_large:
+        hot = written(rows.join(large, "word", "left_semi"), "line-hot")
+        needed = needed.unionByName(hot.select("id", "line"))
+    judge = _Judge(docs, needed, percent)
+    if hot is not None:
+        gone, late = _hot_rounds(hot, judge, percent)
+        pairs = pairs.join(gone.select("x").distinct(), "x", "left_anti").unionByName(late)
+        pairs = written(pairs.distinct(), "line-pairs")
+    first = pairs.groupBy("x").agg(F.min("y").alias("y"))
+    sure = judge.similar(first)
+    more = judge.similar(pairs.join(sure, "x", "left_anti").join(first, ["x", "y"], "left_anti"))
+    out = placed.filter("equal").select("id", "line").unionByName(sure.select("x.*")).unionByName(more.select("x.*"))
+    if hot is not None:
+        out = out.unionByName(gone.select("x.*"))
+    return written(out.distinct(), "lines-gone")
+
+
+def _without(lines: Column, gone: Column) -> Column:
+    """Lines but for those at the places gone, which are sorted: the pieces between them, put together."""
+    piece = lambda g, i: F.coalesce(F.get(g, i - 1), F.lit(-1)) + 1
+    both = F.struct(lines.alias("l"), gone.alias("g"))
+    return let(both, lambda z: F.flatten(F.transform(F.sequence(F.lit(0), F.size(z["g"])), lambda i: F.slice(z["l"], piece(z["g"], i) + 1, F.coalesce(F.get(z["g"], i), F.size(z["l"])) - piece(z["g"], i)))))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_words: int = MIN_WORDS) -> DataFrame:
@@ -334,18 +215,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")])
     pure = named.select(F.col(id_col).alias(_ID), F.col(text_col).cast("string").alias(_TEXT)).filter(f"{_ID} is not null")
     gone = removed_lines(pure, percent, min_words)
-    by_doc = gone.groupBy("id").agg(F.collect_set("line").alias("__gone"))
+    by_doc = gone.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("__gone"))
     lines = F.split(F.col(text_col).cast("string"), "\n")
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("__gone", i))
     count = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    ids = gone.select("id").distinct()
-    may = _member_test(ids, min(20, max(_BLOCK_BITS, int(8 * ids.count()).bit_length())))(F.col(id_col))
+    may = F.coalesce(_member_test(gone.select(F.xxhash64("id").alias("h")))(F.xxhash64(id_col)) & F.col(id_col).isNotNull(), F.lit(False))
     joined = named.filter(may).join(by_doc, F.col(id_col) == by_doc["id"], "left").drop(by_doc["id"])
     touched = joined.withColumn("n_lines", count).withColumn("n_removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"))
-    touched = touched.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).drop("__gone")
+    touched = touched.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(_without(lines, F.col("__gone")), "\n"))).drop("__gone")
     return touched.unionByName(named.filter(~may).withColumn("n_lines", count).withColumn("n_removed", F.lit(0).cast("long")))
 
 
-def op5_lines(spark, sf_dir: str) -> DataFrame:
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), min_words=1)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

@@ -1,4 +1,4 @@
-"""Tables written between jobs, in the folder that the cluster names for checkpoints."""
+"""Tables written between jobs, in the folder that the cluster names for checkpoints, and bounded Arrow batches."""
 
 from __future__ import annotations
 
@@ -7,20 +7,53 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests on one machine), a temporary folder."""
+    """spark.checkpoint.dir of the session.
+
+    Where it is unset, a temporary folder if Spark runs on this machine alone; on a cluster, whose machines
+    share no such folder, a ValueError.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidewright-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and no lost executor can undo it."""
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of the session hold ``BATCH`` bytes at most (or one row), not 64 MB and 10,000 rows, however long texts are."""
+    if int(spark.conf.get(_BATCH_BYTES, "67108864b").rstrip("b")) > BATCH:
+        spark.conf.set(_BATCH_BYTES, str(BATCH))
+
+
+def written(df: DataFrame, name: str, cleanup: bool = True) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, and no lost executor can undo it.
+
+    With the table written, the shuffles that led to it have no further use and are removed with the job.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, str(cleanup).lower())
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables of written() that no later job reads."""
+    for df in tables:
+        spark, path = df.sparkSession, df.written_to
+        jvm = spark.sparkContext._jvm
+        jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm.org.apache.hadoop.fs.Path(path), True)
