@@ -17,7 +17,7 @@ compared with one line, the earliest of them, in a number of rounds; only lines
 the others, by the same filters, in a join that Spark splits where it is skewed.
 
 Scale: texts are read for word counts, for sets, and for the lines in candidate pairs, which a bitmap of a
-bounded size tells apart in the scan (above it more lines than needed are joined). The rarity classes take 2**bits / 2
+bounded size tells apart in the scan (above it more lines than needed are joined). The rarity classes take 2**bits
 bytes. Nothing else is gathered. Tables between jobs lie in the shared folder.
 
 Cases: null or empty texts have no lines that can go and are returned as they are. Documents with one
@@ -37,15 +37,18 @@ _ID, _TEXT = "__id", "__text"
 MIN_WORDS = 5
 #: Cells of word counts and of bitmaps at most, as powers of two, and characters of a table that are put together at a time.
 _WORD_BITS, _BITMAP_BITS, _PART = 21, 24, 4096
-#: Least counts of the rarity classes from 1 on. A word of class 0 stands in one line only.
-_CLASSES = [2, 4, 8, 16, 64, 256, 4096]
 #: Classes in a bucket that are compared all with all; at most so many rounds of comparisons with one, and pairs a line that end them early, as a round that removes none does.
-_LARGE, _ROUNDS, _DENSE = 256, 6, 16
+_LARGE, _ROUNDS, _DENSE = 1 << 8, 6, 16
+
+
+def _parts(text: Column) -> Column:
+    """Words of a text, and empty ones; white space other than blanks and newlines is rare and takes the slower way."""
+    return F.when(text.rlike(r"[\t\x0B\f\r]"), F.split(text, r"\s+")).otherwise(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "))
 
 
 def words(text: Column) -> Column:
     """The distinct words of a lower-case text."""
-    return F.array_distinct(F.array_remove(F.split(text, r"\s+"), ""))
+    return F.array_distinct(F.array_remove(_parts(text), ""))
 
 
 def let(value: Column, body) -> Column:
@@ -89,12 +92,10 @@ def _member_test(hashes: DataFrame, most: int = _BITMAP_BITS):
 
 
 def _word_classes(lowered: DataFrame, bits: int) -> bytes:
-    """Rarity classes of the cells of words, two a byte."""
-    seen = lowered.select(F.explode(F.split("text", r"\s+")).alias("w")).filter("w <> ''")
-    counts = seen.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).cast("int").alias("cell")).agg(F.count("*").alias("n")).filter(f"n >= {_CLASSES[0]}")
-    level = sum((F.col("n") >= c).cast("int") for c in _CLASSES)
-    cells = counts.groupBy(F.shiftright("cell", 1).alias("place")).agg(F.sum(F.when(F.col("cell") % 2 == 0, level).otherwise(8 * level)).cast("int").alias("value"))
-    return bytes(written(_table(cells, 1 << bits - 1), "line-words").first()["table"])  # 2 ** (bits - 1) bytes
+    """Rarity classes of the cells of words: binary logarithms of counts, one a byte. A word of class 0 stands in one line only."""
+    seen = lowered.select(F.explode(_parts(F.col("text"))).alias("w")).filter("w <> ''")
+    counts = seen.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).cast("int").alias("place")).agg(F.count("*").alias("n")).filter("n > 1")
+    return bytes(written(_table(counts.select("place", (F.length(F.bin("n")) - 1).alias("value")), 1 << bits), "line-words").first()["table"])  # 2 ** bits bytes
 
 
 def _described(lowered: DataFrame, table: bytes, bits: int, percent: int) -> DataFrame:
@@ -102,19 +103,23 @@ def _described(lowered: DataFrame, table: bytes, bits: int, percent: int) -> Dat
     lines = lowered.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     sets = lines.select("id", "line", words(F.col("text")).alias("w"))
     hashed = sets.select("id", "line", F.size("w").alias("n"), F.substring(F.unhex(F.sha2(F.array_join(F.sort_array("w"), " "), 256)), 1, 16).alias("key"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
-    cell = lambda h: F.shiftrightunsigned(h, 64 - bits).cast("int")
-    rarity = lambda h: F.call_function("shiftright", _byte(F.lit(bytearray(table)), F.shiftright(cell(h), 1)), cell(h).bitwiseAND(1) * 3).bitwiseAND(7)
-    token = lambda h: F.shiftleft(rarity(h).cast("long"), 60).bitwiseOR(F.shiftrightunsigned(h, 4))
-    # Bit 6 of a hash says in which of two words its parity goes, the six bits below it where.
-    high = lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(1)
-    odd = lambda flip: F.aggregate("h", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", high(h).bitwiseXOR(flip), h.bitwiseAND(63).cast("int"))))
-    tokens = hashed.select("id", "line", "n", "key", F.sort_array(F.transform("h", token)).alias("t"), odd(1).alias("p1"), odd(0).alias("p2"))
+    # These lambdas run once a word: class and hash in one number that sorts by rarity, and parities of all words and of those with bit 6 of the hash.
+    rarity = lambda h: _byte(F.lit(bytearray(table)), F.shiftrightunsigned(h, 64 - bits)).cast("long")
+    token = lambda h: F.shiftleft(rarity(h), 57).bitwiseXOR(F.shiftrightunsigned(h, 7))
+    odd = lambda bit: F.aggregate("h", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", bit(h), h.bitwiseAND(63).cast("int"))))
+    all_, some = odd(lambda h: F.lit(1).cast("long")), odd(lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(1))
+    tokens = hashed.select("id", "line", "n", "key", F.sort_array(F.transform("h", token)).alias("t"), all_.alias("p1"), some.alias("p2"))
     prefix = F.expr(f"slice(t, 1, n - ({percent} * n + 99) div 100 + 1)")
     shared = tokens.select("id", "line", "n", "key", "p1", "p2", F.when(F.col("n") > 0, prefix).alias("t"))
-    known = shared.withColumn("words", F.filter("t", lambda t: t >= 1 << 60))
+    known = shared.withColumn("words", F.filter("t", lambda t: t >= _token(1)))
     return known.select("id", "line", "n", "key", "p1", "p2", (F.size("t") - F.size("words")).alias("skip"), "words")
 
 
+def _token(rarity: int) -> int:
+    """The least token of a rarity class; bytes of the table begin at 64, so that tokens are negative."""
+    return (rarity + 64 << 57) - (1 << 64)
+
+
 _ROW = ["n", "pos", "p1", "p2"]
 
 
@@ -126,7 +131,7 @@ def _side(rows: DataFrame, name: str) -> DataFrame:
 def _fits(percent: int) -> Column:
     """Whether the sets of x and y, y being earlier, may be similar."""
     need = f"(({percent} * (nx + ny) + {99 + percent}) div {100 + percent})"
-    return F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and least(nx - posx, ny - posy) >= {need} and bit_count(p1x ^ p1y) + bit_count(p2x ^ p2y) <= nx + ny - 2 * {need} and y < x")
+    return F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and least(nx - posx, ny - posy) >= {need} and bit_count(p1x ^ p1y ^ p2x ^ p2y) + bit_count(p2x ^ p2y) <= nx + ny - 2 * {need} and y < x")
 
 
 class _Judge:
@@ -178,7 +183,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS
     removed(described)
 
     rows = placed.filter("not equal").select("id", "line", "n", "p1", "p2", "skip", F.posexplode("words").alias("i", "word")).select("word", "id", "line", "n", (F.col("skip") + F.col("i")).alias("pos"), "p1", "p2")
-    often = F.col("word") >= (_CLASSES.index(_LARGE) + 1 if _LARGE in _CLASSES else 0) << 60
+    often = F.col("word") >= _token(_LARGE.bit_length() - 1)
     large = written(rows.filter(often).groupBy("word").count().filter(F.col("count") > _LARGE).select("word"), "line-large")
     any_large = not large.isEmpty()
     small = (rows.join(large, "word", "left_anti") if any_large else rows).repartition("word")
