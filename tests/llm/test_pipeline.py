@@ -54,6 +54,19 @@ def test_near_copies_go(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.ngram_jaccard(spark, docs, SF).collect()) == [0, 9]
 
 
+def test_rows_without_ids_and_repeated_ones(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    passage = next(r["text"] for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist() if r["text"] and len(r["text"].split()) >= 20)
+    rows = [(None, passage, "en", None, None), (None, "own words here", None, "s", 1), (1, passage, "en", "s", 1), (2, "quite other words", "en", "s", 1), (2, "quite other words", "en", "s", 1), (2, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    kept = corpus_pipeline.decontamination(spark, docs, SF).collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept) == [("2", ""), ("2", "quite other words"), ("2", "quite other words"), ("None", "own words here")]
+    assert len([r for r in corpus_pipeline.ngram_jaccard(spark, docs, SF).collect() if r["doc_id"] == 2]) == 1
+    none = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).collect() == []
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "n_tokens", "ids"} <= set(out.columns)

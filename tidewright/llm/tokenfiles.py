@@ -8,26 +8,29 @@ control byte in a table of 256 rows and gathers the data bytes column by column.
 
 Jobs: texts are ranged and sorted by document id and tokenised once into blocks; ids are
 counted over all blocks; blocks are rewritten with ranks. Blocks are rows of Parquet tables,
-the only files that Spark can write to any store. A block knows how many ids its range holds before
+which Spark writes to any store. A block knows how many ids its range holds before
 it, and the reader adds the totals of the ranges before, one number a range.
 
 Scale: a task holds a block of ``block_ids`` ids and one document; what reaches the driver is one
-count an id of the vocabulary and one total a range. A word is tokenised once a worker as long as
-the cache of ``cache_words`` words has room: no merge crosses white space, or goes from an
-ASCII letter to ASCII punctuation other than an apostrophe. Texts with "<|", where the tokenizer
-looks for special tokens, are tokenised whole.
+count an id of the vocabulary and one total a range. If the tokenizer's own rules are those of ``_RULES``, no
+merge crosses white space or goes from a letter to ASCII punctuation other than an apostrophe, and case
+doesn't count: then a word is tokenised once a worker as long as the cache of ``cache_words`` words has room.
+Texts that hold the name of an added token, and all texts under other rules, are tokenised whole.
 
 Cases: null or empty text has only the end id. A null document id sorts first. Rows that share an id are
-ordered by a hash of the text and returned one by one. Other columns are ignored. An empty table gives
+ordered by a hash of the text and returned one by one; they may lie in several ranges, so no id is too frequent
+for a task. Ids may have any type that can be sorted. Other columns are ignored. An empty table gives
 empty files.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +39,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.tables import shared_folder
+from tidewright.llm.tables import bounded_batches, shared_folder
 
 MAGIC = b"TWRANK01"
 #: Of each control byte the lengths of its four ids.
 _LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.int64)
 _LOADED: dict[str, "Words"] = {}
+# The normaliser and the pre-tokeniser under which words can be tokenised one by one.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 class Words:
@@ -52,6 +66,10 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), cache_words
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        self.by_words = all(rules.get(k) == v for k, v in _RULES.items())
+        self.added = [t["content"] for t in rules.get("added_tokens") or []]
         self.clear()
 
     def clear(self) -> None:
@@ -62,29 +80,37 @@ class Words:
         return array if len(array) >= size else np.concatenate([array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)])
 
     def places(self, words: list[str]) -> np.ndarray:
-        words = [w.lower() if w.isascii() else w for w in words]
-        if len(self.place) + len(words) > self.limit:
-            new = {w for w in words if w not in self.place}
-            if len(self.place) + len(new) > self.limit:
-                self.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.place]
+        """Where the ids of these words, which are distinct, stand in the cache."""
+        found = [self.place.get(w, -1) for w in words]
+        new = [w for w, p in zip(words, found) if p < 0]
+        if not new:
+            return np.array(found, np.int64)
+        if len(self.place) + len(new) > self.limit:
+            self.clear()
+            found, new = [-1] * len(words), words
+        fresh = len(self.place)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            n, sizes = len(self.place), np.array([len(x) for x in ids])
-            self.flat = self._grown(self.flat, self.used + int(sizes.sum()))
+            n, sizes = len(self.place), np.fromiter(map(len, ids), np.int64, len(ids))
+            held = self.used + int(sizes.sum())
+            self.flat = self._grown(self.flat, held)
             self.starts = self._grown(self.starts, n + len(part) + 1)
-            self.flat[self.used : self.used + int(sizes.sum())] = [i for x in ids for i in x]
+            self.flat[self.used : held] = np.fromiter(chain.from_iterable(ids), np.uint32, held - self.used)
             self.starts[n : n + len(part) + 1] = self.used + np.concatenate([[0], np.cumsum(sizes)])
-            self.used += int(sizes.sum())
+            self.used = held
             self.place.update(zip(part, range(n, n + len(part))))
-        return np.array([self.place[w] for w in words], np.int64)
+        where = np.array(found, np.int64)
+        where[where < 0] = np.arange(fresh, fresh + len(new))
+        return where
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each text's with end behind, and how many each has."""
-        special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
-        plain = pc.if_else(pa.array(special), "", texts) if special.any() else texts
-        plain = pc.replace_substring_regex(plain, r"([A-Za-z])([!-&(-/:-@\[-`{-~])", r"\1 \2")
+        whole = np.full(len(texts), not self.by_words)
+        for name in self.added:
+            whole |= pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(whole), "", texts) if whole.any() else texts
+        plain = pc.ascii_lower(pc.replace_substring_regex(plain, r"(\pL)([!-&(-/:-@\[-`{-~])", r"\1 \2"))
         lists = pc.ascii_split_whitespace(plain)
         coded = lists.flatten().dictionary_encode()
         where = self.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
@@ -93,8 +119,8 @@ class Words:
         ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[where] - (ends - sizes), sizes)]
         edges = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         counts = np.diff(edges)
-        if special.any():
-            parts = [np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32) if special[i] else ids[edges[i] : edges[i + 1]] for i in range(len(texts))]
+        if whole.any():
+            parts = [np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32) if whole[i] else ids[edges[i] : edges[i + 1]] for i in range(len(texts))]
             ids, counts = np.concatenate(parts), np.array([len(p) for p in parts])
         out = np.full(len(ids) + len(counts), end, np.uint32)
         last = np.cumsum(counts + 1) - 1
@@ -150,8 +176,10 @@ def _tokenised(docs: DataFrame, path: str, end: int, block_ids: int, cache_words
         keys, ids, counts, held = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            row = [[part], [before], [pa.concat_arrays(keys).to_pylist()], [np.concatenate(counts).astype("<u4").tobytes()], [np.concatenate(ids).astype("<u4" if wide else "<u2").tobytes()]]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()))], ["part", "before", "docs", "counts", "ids"])
+            own = pa.concat_arrays(keys)
+            docs = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
+            coded = [pa.array([x], pa.binary()) for x in (np.concatenate(counts).astype("<u4").tobytes(), np.concatenate(ids).astype("<u4" if wide else "<u2").tobytes())]
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), docs, *coded], ["part", "before", "docs", "counts", "ids"])
 
         wide = words.tokenizer.get_vocab_size() > 1 << 16 or end >= 1 << 16
         for batch in batches:
@@ -171,7 +199,7 @@ def _tokenised(docs: DataFrame, path: str, end: int, block_ids: int, cache_words
         if keys:
             yield out()
 
-    return docs.mapInArrow(run, "part int, before long, docs array<long>, counts binary, ids binary")
+    return docs.select("id", "text").mapInArrow(run, f"part int, before long, docs array<{docs.schema['id'].dataType.simpleString()}>, counts binary, ids binary")
 
 
 def _ids(row_ids: bytes, row_counts: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -196,14 +224,15 @@ def _frequencies(blocks: DataFrame) -> np.ndarray:
     return out
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1_000_000, cache_words: int = 300_000) -> None:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1_000_000, cache_words: int = 600_000) -> None:
     """Writes folder/blocks and folder/ranks in ascending order of document ids.
 
     tokenizer: a file of the tokenizers library; end_id: the id that ends each document.
     """
     spark = docs.sparkSession
-    left = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ranged = left.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
+    bounded_batches(spark)
+    left = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    ranged = left.repartitionByRange("id", "h").sortWithinPartitions("id", "h")
     raw = f"{folder}/raw"
     _tokenised(ranged, tokenizer, end_id, block_ids, cache_words).write.parquet(raw)
     raw_blocks = spark.read.parquet(raw)
@@ -220,7 +249,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
                 block = pack(shared.value[own], n)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, 1) for k in range(3)), pa.array([len(own)], pa.int64()), pa.array([block], pa.binary())], ["part", "before", "docs", "n_ids", "block"])
 
-    raw_blocks.select("part", "before", "docs", "counts", "ids").mapInArrow(run, "part int, before long, docs array<long>, n_ids long, block binary").write.parquet(f"{folder}/blocks")
+    raw_blocks.select("part", "before", "docs", "counts", "ids").mapInArrow(run, f"part int, before long, docs {raw_blocks.schema['docs'].dataType.simpleString()}, n_ids long, block binary").write.parquet(f"{folder}/blocks")
     spark.createDataFrame([(order.astype("<u4").tobytes(),)], "ids binary").coalesce(1).write.parquet(f"{folder}/ranks")
 
 
@@ -243,7 +272,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 first = starts[batch.column(0)[i].as_py()] + batch.column(1)[i].as_py()
                 yield pa.RecordBatch.from_arrays([batch.column(2)[i].values, pa.array(first + edges[:-1]), pa.array([ids[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())], ["doc_id", "start", "ids"])
 
-    return blocks.select("part", "before", "docs", "block").mapInArrow(run, "doc_id long, start long, ids binary")
+    return blocks.select("part", "before", "docs", "block").mapInArrow(run, f"doc_id {blocks.schema['docs'].dataType.elementType.simpleString()}, start long, ids binary")
 
 
 def op6_token_files(spark, sf_dir: str) -> DataFrame:
