@@ -1,10 +1,14 @@
 """A corpus pipeline of five operators; each stage reads what the one before has written.
 
-language_id    documents whose language can't be told (null, empty or without a letter) go.
+language_id    documents whose language can't be told go: null, empty or without a letter, or no language has a positive value.
 line_dedup     lines similar to an earlier line go; a document of which all lines with a word have gone goes.
 ngram_jaccard  of documents linked by five-word shingles at 0.8 or more the one of smallest id stays.
 decontaminate  documents that share a passage with the benchmark go.
-byte_bpe       texts become ids; the last stage returns doc_id, n_tokens, ids and whether they decode to the text.
+byte_bpe       texts become ids; the last stage returns doc_id, n_tokens, ids and a hash of the bytes they decode to.
+
+Cases, in every stage: a null text is an empty one. Of rows that share an id line_dedup judges each, ngram_jaccard lets one
+stay. Rows without an id are judged by language_id, decontaminate and byte_bpe one by one; line_dedup and ngram_jaccard, which order
+documents by id, let them pass. An empty table stays empty. Columns other than those of documents are dropped by the first stage.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = langid.identify(docs, langid.train(docs))
-    return found.filter(F.col("lang_pred") != langid.UNDETERMINED).select(*COLUMNS)
+    return found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") > 0)).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +39,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard.jaccard_components(docs, n=5, percent=80)
     others = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    kept = docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    return kept.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.filter("contaminated").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    # Rows are told apart by id and text, so that those without an id are judged one by one.
+    keyed = docs.withColumn("__key", F.concat_ws(":", F.xxhash64("text"), "doc_id"))
+    found = decontaminate.decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__key")
+    return keyed.join(found.filter("contaminated").select("__key"), "__key", "left_anti").select(*COLUMNS)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
