@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.tables import written
+from tidewright.llm.tables import removed, written
 
 
 def _star(pairs: DataFrame, keep) -> DataFrame:
@@ -25,11 +25,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
     for _ in range(max_rounds):
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before or not state[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out.written_to = edges.written_to
+            return out
         before = tuple(state)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, "v > u").distinct()
         # Small star: edges point from the larger to the smaller node; the node itself joins its least neighbour.
         small = _star(large.unionByName(large.select("u", F.col("u").alias("v"))), "true").distinct()
-        edges = written(small, "edges")
+        edges, last = written(small, "edges"), edges
+        removed(last)
     raise RuntimeError("components didn't settle")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm import words as W
 from tidewright.llm.components import components
-from tidewright.llm.tables import written
+from tidewright.llm.tables import bounded_batches, removed, written
 
 
 #: A set's tokens are dealt into 2**PARITY_BITS parts; a bit says whether a part has an odd number of them.
@@ -97,6 +97,7 @@ def _rarity(docs: DataFrame, n: int, bits: int) -> np.ndarray:
     total = sums.agg(F.sum("count")).first()[0] or 0
     mean = total / (1 << bits)
     rows = sums.groupBy("cell").agg(F.sum("count").alias("count")).filter(F.col("count") >= max(2, 2 * mean)).toArrow()  # at most half the cells
+    removed(sums)
     classes = np.zeros(1 << bits, np.uint8)
     counts = rows["count"].to_numpy()
     classes[rows["cell"].to_numpy()] = np.log2(np.maximum(counts, 2)).astype(np.uint8)
@@ -140,7 +141,7 @@ def _overlap(n1: Column, n2: Column, percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets, made from the texts, are similar."""
+    """Those of pairs (a, b) whose sets, made from the texts, are similar, as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +160,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
         own = texts.join(pairs.select(F.col(x).alias("id")).distinct(), "id", "left_semi")
         sides = sides.join(own.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")), x)
     both = sides.select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a long, b long")
+    links = written(both.mapInArrow(run, "a long, b long"), "links")
+    removed(pairs)
+    return links
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90, orders: int = 3, max_bits: int = 24, rounds: int = 2) -> DataFrame:
@@ -170,6 +173,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not 0 < percent <= 100 or orders < 1:
         raise ValueError("percent has to lie in 1..100 and orders be 1 or more")
     spark = docs.sparkSession
+    bounded_batches(spark)
     left = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = left.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max_bits, max(10, int(size / 7 / 12).bit_length()))
@@ -177,7 +181,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     described = written(_described(left, classes, n, percent, bits, orders), "sets")
     known = described.filter("id is not null and n > 0")
     reps = known.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("others").alias("others"), F.first("parity").alias("parity"))
-    reps = written(reps, "classes")
+    reps, sets = written(reps, "classes"), described
+    described = written(sets.select("id", "n", "s1", "s2"), "set-keys")
+    removed(sets)
 
     # Buckets of two or more, one of which at least can be the smaller of a pair there.
     rows = reps.select("rep", "n", F.posexplode("tokens").alias("pos", "token")).withColumn("small", F.expr(f"pos <= n - ({2 * percent} * n + {100 + percent} - 1) div {100 + percent}"))
@@ -204,21 +210,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     texts = left.filter("id is not null")
     stars = buckets.filter("rep <> pivot.rep").filter(fits("n", "pos", "pivot.n", "pivot.pos"))
-    links = written(_verified(filtered(stars.select(F.col("rep").alias("a"), F.col("pivot.rep").alias("b"))), texts, n, percent), "links")
+    links = _verified(filtered(stars.select(F.col("rep").alias("a"), F.col("pivot.rep").alias("b"))), texts, n, percent)
     found = components(links)
+    removed(links)
 
-    member = buckets.drop("pivot")
+    member, table = buckets.drop("pivot"), buckets
     for k in range(rounds + 1):
         placed = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         pivot = F.min(F.struct(F.xxhash64(F.lit(k), "token", "rep").alias("h"), "rep", "n", "pos", "component")).alias("pivot")
         open_ = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), pivot).filter("low <> high").select("token", "pivot")
         placed = written(placed.join(open_, "token"), "open")
-        member = placed.drop("component", "pivot")
+        removed(table)
+        member, table = placed.drop("component", "pivot"), placed
         if k == rounds:
             break
         stars = placed.filter("component <> pivot.component").filter(fits("n", "pos", "pivot.n", "pivot.pos"))
-        links = written(_verified(filtered(stars.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b"))), texts, n, percent), "links")
-        found = written(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)), "components")
+        links = _verified(filtered(stars.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b"))), texts, n, percent)
+        before, found = found, components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+        removed(links, before)
     member = placed.drop("pivot").join(reps.select("rep", "parity"), "rep")
     x = member.filter("small").select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"), F.col("parity").alias("qa"))
     y = member.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"), F.col("parity").alias("qb"))
@@ -226,7 +235,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more = _verified(filtered(rest), texts, n, percent)
     final = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
-    classes_of = reps.select("s1", "s2", "rep").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
+    classes_of = written(reps.select("s1", "s2", "rep").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component")), "set-components")
+    removed(reps, table, found, more, final)
     # Keys of empty sets and null ids are their own, so that they don't meet in one task.
     out = described.select("id", "n", F.when(F.col("n") > 0, F.col("s1")).otherwise(F.xxhash64("id")).alias("s1"), F.when(F.col("n") > 0, F.col("s2")).alias("s2"))
     out = out.join(classes_of, ["s1", "s2"], "left")

@@ -98,15 +98,17 @@ def fit(texts: list[str], langs: list[str], landmarks: int = 256, ridge: float =
     languages = sorted(set(langs))
     if not languages:
         return Model([], Places(np.zeros(0, np.uint64)), np.zeros((1, 0), np.float32), n_max)
-    sets = [presence(t, n_max) for t in texts]
-    sizes = np.sqrt([len(s) for s in sets])
     picked = np.unique(np.linspace(0, len(texts) - 1, min(landmarks, len(texts))).astype(int))
-    keys = np.unique(np.concatenate([sets[i] for i in picked]))
+    keys = np.unique(np.concatenate([presence(texts[i], n_max) for i in picked]))
     places = Places(keys)
-    known = [places.of(s) for s in sets]
+    known, sizes = [], np.zeros(len(texts))
+    for k, text in enumerate(texts):  # of each text only what the landmarks have is held
+        own = presence(text, n_max)
+        known.append(places.of(own))
+        sizes[k] = len(own) ** 0.5
     kernel = np.zeros((len(texts), len(picked)))
-    for low in range(0, len(picked), 32):  # landmarks by landmarks, so that memory stays with 32 columns of n-grams
-        part = picked[low : low + 32]
+    for low in range(0, len(picked), 16):  # some landmarks at a time, so that memory stays with 16 columns of n-grams
+        part = picked[low : low + 16]
         marks = np.zeros((len(keys), len(part)), np.float32)
         for j, i in enumerate(part):
             marks[known[i], j] = 1 / sizes[i]

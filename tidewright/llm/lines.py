@@ -83,6 +83,7 @@ def _member_test(hashes: DataFrame, most: int = _BITMAP_BITS):
     bit = F.when(cell % 4 == 0, 1).when(cell % 4 == 1, 2).when(cell % 4 == 2, 4).otherwise(8)
     cells = hashes.groupBy(F.shiftright(cell, 2).alias("place")).agg(F.bit_or(bit).alias("value"))
     table = written(_table(cells, 1 << bits - 2), "line-bitmap")
+    removed(hashes)
 
     def test(h: Column) -> Column:
         cell = F.shiftrightunsigned(h, 64 - bits)
@@ -142,13 +143,15 @@ class _Judge:
         test = _member_test(needed.select(place().alias("h")))
         lines = docs.select(F.col(_ID).alias("id"), F.posexplode(F.split(F.lower(_TEXT), "\n")).alias("line", "text")).filter(test(place()))
         self.sets = written(lines.select(F.struct("id", "line").alias("at"), words(F.col("text")).alias("w")), "line-texts")
-        self.percent = percent
+        self.percent, self.tables = percent, [self.sets]
 
     def similar(self, pairs: DataFrame) -> DataFrame:
         """Those x that are similar to their y; a line stands once."""
         both = pairs.join(self.sets.select(F.col("at").alias("x"), F.col("w").alias("wx")), "x").join(self.sets.select(F.col("at").alias("y"), F.col("w").alias("wy")), "y")
         sized = both.select("x", F.size(F.array_intersect("wx", "wy")).alias("s"), (F.size("wx") + F.size("wy")).alias("n"))
-        return written(sized.filter(f"100 * s >= {self.percent} * (n - s)").select("x").distinct(), "lines-similar")
+        out = written(sized.filter(f"100 * s >= {self.percent} * (n - s)").select("x").distinct(), "lines-similar")
+        self.tables.append(out)
+        return out
 
 
 def _hot_rounds(hot: DataFrame, judge: _Judge, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -159,10 +162,12 @@ def _hot_rounds(hot: DataFrame, judge: _Judge, percent: int) -> tuple[DataFrame,
         pivots = state.groupBy("word").agg(F.min(F.struct("id", "line", *_ROW)).alias("p")).select("word", "p.*")
         pairs = written(_side(state, "x").join(_side(pivots, "y"), "word").filter(_fits(percent)).select("x", "y").distinct(), "line-stars")
         found = judge.similar(pairs)
+        judge.tables.append(pairs)
         gone = found if gone is None else gone.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         rest = state.join(pivots.select("word", "id", "line"), ["word", "id", "line"], "left_anti").join(found.select("x.*"), ["id", "line"], "left_anti")
         state = written(rest, "line-open")
+        judge.tables.append(state)
         work = state.groupBy("word").count().join(hot.groupBy("word").agg(F.count("*").alias("c")), "word").agg(F.sum(F.col("count") * F.col("c"))).first()[0] or 0
         if work <= _DENSE * total or found.isEmpty():
             break
@@ -195,17 +200,21 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS
         hot = written(rows.join(large, "word", "left_semi"), "line-hot")
         needed = needed.unionByName(hot.select("id", "line"))
     judge = _Judge(docs, needed, percent)
+    judge.tables += [placed, large, pairs, *([] if hot is None else [hot])]
     if hot is not None:
         gone, late = _hot_rounds(hot, judge, percent)
         pairs = pairs.join(gone.select("x").distinct(), "x", "left_anti").unionByName(late)
         pairs = written(pairs.distinct(), "line-pairs")
+        judge.tables.append(pairs)
     first = pairs.groupBy("x").agg(F.min("y").alias("y"))
     sure = judge.similar(first)
     more = judge.similar(pairs.join(sure, "x", "left_anti").join(first, ["x", "y"], "left_anti"))
     out = placed.filter("equal").select("id", "line").unionByName(sure.select("x.*")).unionByName(more.select("x.*"))
     if hot is not None:
         out = out.unionByName(gone.select("x.*"))
-    return written(out.distinct(), "lines-gone")
+    out = written(out.distinct(), "lines-gone")
+    removed(*judge.tables)
+    return out
 
 
 def _without(lines: Column, gone: Column) -> Column:
