@@ -13,14 +13,12 @@ documents by id, let them pass. An empty table stays empty. Columns other than t
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import bpe, decontaminate, jaccard, langid, lines
-from tidewright.llm.tables import shared_folder
+from tidewright.llm.tables import removed, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -62,9 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        out = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            removed(before)
+        docs = before = out
     return docs
