@@ -77,8 +77,9 @@ def phone_digits(c: Column, drop_country: bool = True) -> Column:
 
 
 def address_key(c: Column) -> Column:
+    """An address in capitals with types of streets, directions and units written out."""
     words = F.split(squeezed(F.regexp_replace(F.upper(text(c)), "[,.;]", " ")), " ")
-    return F.array_join(F.transform(words, lambda w: F.coalesce(lookup(w, V.STREET_WORDS), w)), " ")
+    return F.array_join(F.transform(words, lambda w: F.coalesce(lookup(w, V.UNITS | V.DIRECTIONS | V.STREET_TYPES), w)), " ")
 
 
 def text_key(c: Column) -> Column:
@@ -89,7 +90,9 @@ def title_rank(c: Column) -> tuple[Column, Column]:
     own = F.upper(squeezed(c))
     rank, name = F.lit(7), F.lit("Unknown/Other")
     for k in sorted(V.TITLES, reverse=True):
-        hit = own.rlike(r"(?<![A-Z])(" + V.TITLES[k][1] + r")(?![A-Z])")
+        short = "|".join(w for w in V.TITLES[k][1] if w in V.SHORT_TITLES)
+        anywhere = "|".join(re.escape(w) for w in V.TITLES[k][1] if w not in V.SHORT_TITLES)
+        hit = own.rlike(anywhere + (f"|(?<![A-Z])({short})S?(?![A-Z])" if short else ""))
         rank, name = F.when(hit, k).otherwise(rank), F.when(hit, V.TITLES[k][0]).otherwise(name)
     empty = own.isNull() | (own == "")
     return F.when(empty, 7).otherwise(rank), F.when(empty, "Unknown").otherwise(name)

@@ -1,7 +1,7 @@
 """The lists and tables that results depend on."""
 
 # Codes of the 48 contiguous states.
-LOWER_48 = "AL AZ AR CA CO CT DE FL GA ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY".split()
+LOWER_48 = ["AL", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME", "MD", "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ", "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY"]
 # Names of states, the district and territories.
 STATE_NAMES = {
     "ALABAMA": "AL", "ALASKA": "AK", "ARIZONA": "AZ", "ARKANSAS": "AR", "CALIFORNIA": "CA", "COLORADO": "CO", "CONNECTICUT": "CT", "DELAWARE": "DE", "FLORIDA": "FL", "GEORGIA": "GA",
@@ -24,20 +24,27 @@ PO_BOXES = ["PO BOX", "P.O. BOX", "P O BOX", "P.O BOX", "PO. BOX", "POST OFFICE
 EXCLUDED = ["AK", "HI", "PR", "VI", "GU", "AS", "MP", "FM", "MH", "PW", "ALASKA", "HAWAII", "PUERTO RICO", "VIRGIN ISLANDS", "GUAM"]
 MILITARY = ["APO", "FPO", "DPO", "APO AE", "APO AP", "APO AA", "FPO AE", "FPO AP", "FPO AA"]
 PRESETS = {"PO Boxes": PO_BOXES, "Excluded States (AK, HI, PR, VI, GU)": EXCLUDED, "Military Addresses (APO, FPO, DPO)": MILITARY, "PO Boxes + Excluded States + Military": PO_BOXES + EXCLUDED + MILITARY}
-# Title keywords by rank.
+# Title keywords by rank, with the rank's name.
 TITLES = {
-    1: ("Executive", "CHIEF|CEO|CFO|COO|CMO|CNO|CIO|CTO|PRESIDENT|VP|V\\.P\\.|EVP"),
-    2: ("Director", "DIRECTOR|DEPT HEAD|DEPARTMENT HEAD|HEAD OF"),
-    3: ("Manager", "MANAGER|ADMINISTRATOR|COORDINATOR"),
-    4: ("Supervisor", "SUPERVISOR|LEAD|CHARGE"),
-    5: ("Clinical", "NURSE PRACTITIONER|NP|PHYSICIAN ASSISTANT|PA|NURSE|RN|LPN|MEDICAL ASSISTANT|MA|TECHNICIAN|TECH|TECHNOLOGIST|THERAPIST|SPECIALIST"),
-    6: ("Administrative", "ASSISTANT|RECEPTIONIST|RECEPTION|FRONT DESK|PATIENT ACCESS|SECRETARY|CLERK"),
+    1: ("Executive Leadership", ["CHIEF", "CEO", "CFO", "COO", "CMO", "CNO", "CIO", "CTO", "PRESIDENT", "VP", "V.P.", "EVP"]),
+    2: ("Senior Director", ["DIRECTOR", "DEPT HEAD", "DEPARTMENT HEAD", "HEAD OF"]),
+    3: ("Manager/Administrator", ["MANAGER", "ADMINISTRATOR", "COORDINATOR"]),
+    4: ("Supervisor/Lead", ["SUPERVISOR", "LEAD", "CHARGE"]),
+    5: ("Clinical", ["NURSE PRACTITIONER", "NP", "PHYSICIAN ASSISTANT", "PA", "NURSE", "RN", "LPN", "MEDICAL ASSISTANT", "MA", "TECHNICIAN", "TECH", "TECHNOLOGIST", "THERAPIST", "SPECIALIST"]),
+    6: ("Administrative Support", ["ASSISTANT", "RECEPTIONIST", "RECEPTION", "FRONT DESK", "PATIENT ACCESS", "SECRETARY", "CLERK"]),
 }
-# Street words, directions and units that are written out.
-STREET_WORDS = {
-    "ALY": "ALLEY", "AVE": "AVENUE", "BLVD": "BOULEVARD", "BLVRD": "BOULEVARD", "CIR": "CIRCLE", "CRC": "CIRCLE", "CRCL": "CIRCLE", "CRCLE": "CIRCLE", "CRES": "CRESCENT", "CRSNT": "CRESCENT", "CT": "COURT", "DR": "DRIVE", "EXPWY": "EXPRESSWAY", "FRWY": "FREEWAY",
-    "HWY": "HIGHWAY", "LN": "LANE", "PKWY": "PARKWAY", "PL": "PLACE", "RD": "ROAD", "SQ": "SQUARE", "ST": "STREET", "TER": "TERRACE", "TPKE": "TURNPIKE", "TRL": "TRAIL",
-    "N": "NORTH", "S": "SOUTH", "E": "EAST", "W": "WEST", "NE": "NORTHEAST", "NW": "NORTHWEST", "SE": "SOUTHEAST", "SW": "SOUTHWEST", "APT": "APARTMENT", "STE": "SUITE", "BLDG": "BUILDING", "FL": "FLOOR", "RM": "ROOM",
+# Title keywords that count as whole words only, as they stand within others (CTO in DIRECTOR, COO in COORDINATOR, PA in PATIENT).
+SHORT_TITLES = ["CEO", "CFO", "COO", "CMO", "CNO", "CIO", "CTO", "VP", "EVP", "NP", "PA", "RN", "LPN", "MA"]
+# Street types that are written out.
+STREET_TYPES = {
+    "ALY": "ALLEY", "AVE": "AVENUE", "BLVD": "BOULEVARD", "CIR": "CIRCLE", "CT": "COURT", "DR": "DRIVE", "HWY": "HIGHWAY", "LN": "LANE", "PKWY": "PARKWAY", "PL": "PLACE", "RD": "ROAD", "SQ": "SQUARE", "ST": "STREET", "TER": "TERRACE", "TRL": "TRAIL",
+    "BLVRD": "BOULEVARD", "CRC": "CIRCLE", "CRCL": "CIRCLE", "CRCLE": "CIRCLE", "CRES": "CRESCENT", "CRSNT": "CRESCENT", "EXPWY": "EXPRESSWAY", "FRWY": "FREEWAY", "TPKE": "TURNPIKE",
 }
-MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
+# Directions that are written out.
+DIRECTIONS = {"N": "NORTH", "S": "SOUTH", "E": "EAST", "W": "WEST", "NE": "NORTHEAST", "NW": "NORTHWEST", "SE": "SOUTHEAST", "SW": "SOUTHWEST"}
+# Kinds of units that are written out.
+UNITS = {"APT": "APARTMENT", "BLDG": "BUILDING", "FL": "FLOOR", "FLR": "FLOOR", "RM": "ROOM", "STE": "SUITE", "#": "NUMBER"}
+# Kinds of people counted in a survey: a word of the column's name, the name of the output.
+ENTITIES = {"student": "Students", "employee": "Employees", "staff": "Staff"}
+MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
 SUITES = "Ste,Suite,Suites,Unit,Units,Apt,Apartment,Bldg,Building,Floor,Flr,#,Room,Rm"

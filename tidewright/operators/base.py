@@ -105,4 +105,6 @@ def each(df: DataFrame, columns: list[str], f) -> DataFrame:
 
 
 def ordering(order: list[str], last: bool = False) -> list[Column]:
-    return [(F.col(c).desc_nulls_last() if last else F.col(c).asc_nulls_first()) for c in order] or [F.monotonically_increasing_id()]
+    from tidewright.functions.text import column
+
+    return [(column(c).desc_nulls_last() if last else column(c).asc_nulls_first()) for c in order] or [F.monotonically_increasing_id()]

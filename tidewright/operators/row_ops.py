@@ -52,10 +52,12 @@ def _patterns(p):
 
 @operation("remove_rows_containing", "Cleaning", columns=list, patterns="PO BOX, P.O. BOX, P O BOX", preset="Custom (use patterns above)", case_sensitive=False, match_whole_cell=False, remove_blanks=False)
 def remove_containing(df, p, order):
-    """Removes rows with any of some patterns in any of some columns, or with all of them blank."""
+    """Removes rows with any of some patterns in any of some columns, and if asked for those with all of them empty; the preset for blanks has no patterns."""
     cols = [T.column(c) for c in p["columns"]]
-    if p["remove_blanks"] or p["preset"] == "Remove Blanks":
-        return Keep(df, ~reduce(and_, [T.blank(c) for c in cols]))
+    only_blanks = p["preset"] == "Remove Blanks"
+    empty = reduce(and_, [F.coalesce(T.stripped(c), F.lit("")).isin("", "nan", "None", "NaT", "<NA>") for c in cols])
+    if only_blanks or not _patterns(p):
+        return Keep(df, ~empty if only_blanks or p["remove_blanks"] else F.lit(True))
 
     def hit(c, x):
         if not p["match_whole_cell"]:
@@ -63,7 +65,8 @@ def remove_containing(df, p, order):
         own = T.stripped(c)
         return F.coalesce(own == x if p["case_sensitive"] else F.upper(own) == x.upper(), F.lit(False))
 
-    return Keep(df, ~reduce(or_, [hit(c, x) for c in cols for x in _patterns(p)]))
+    stays = ~reduce(or_, [hit(c, x) for c in cols for x in _patterns(p)])
+    return Keep(df, stays & ~empty if p["remove_blanks"] else stays)
 
 
 @operation("flag_rows_containing", "Cleaning", columns=list, patterns="PO BOX, P.O. BOX", preset="Custom (use patterns above)", flag_column="_FLAG_REMOVE", flag_reason=True)
@@ -121,7 +124,7 @@ def flag_contains(df, p, order):
 
 @operation("data_vlookup", "Data Matching", lookup_column=str, lookup_file=object, lookup_file_column=str, return_column=str, new_column=str, first_match=False, null_keys="match")
 def vlookup(df, p, order):
-    """Looks a column's values up in a table (a DataFrame, or the path of a CSV or Parquet table); every match gives a row."""
+    """Looks a column's values up in a table (a DataFrame, or the path of a CSV or Parquet table); every match gives a row, or the table's first."""
     other = p["lookup_file"]
     if isinstance(other, str):
         from tidewright.sources.files import read_table
@@ -129,10 +132,12 @@ def vlookup(df, p, order):
         other = read_table(df.sparkSession, other)
     table = other.select(T.column(p["lookup_file_column"]).alias("__key"), T.column(p["return_column"]).alias("__value"))
     if p["first_match"]:
-        table = table.groupBy("__key").agg(F.min("__value").alias("__value"))
-    key = T.column(p["lookup_column"])
+        table = table.withColumn("__at", F.monotonically_increasing_id()).groupBy("__key").agg(F.min_by("__value", "__at").alias("__value"))
+    key = F.col("__own")
     on = key.eqNullSafe(F.col("__key")) if p["null_keys"] == "match" else key == F.col("__key")
-    return df.drop(p["new_column"]).join(table, on, "left").drop("__key").withColumnRenamed("__value", p["new_column"])
+    # The looked up column may itself be the one that the result replaces.
+    own = df.withColumn("__own", T.column(p["lookup_column"])).drop(p["new_column"])
+    return own.join(table, on, "left").drop("__key", "__own").withColumnRenamed("__value", p["new_column"])
 
 
 @operation("data_remove_duplicates", "Data Matching", multi_level_deduplication=True, columns="", keep="first", smart_matching=False, address_columns="", email_column="Email Address")
@@ -176,7 +181,7 @@ def best_by_value(df, p, order):
     mail, value = T.column(p["email_column"]), T.column(p["value_column"])
     empty = F.coalesce(T.stripped(mail), F.lit("")) == ""
     # Blank e-mails are spread by a hash of the row, so they don't meet in one task.
-    spread = F.when(empty, F.xxhash64(*[F.col(c) for c in (order or df.columns)]))
+    spread = F.when(empty, F.xxhash64(*[T.column(c) for c in (order or df.columns)]))
     rank = F.row_number().over(Window.partitionBy(F.when(~empty, mail), spread).orderBy(T.number(value).desc_nulls_last(), *ordering(order, p["tie_breaker"] == "last")))
     return Keep(df.withColumn("__rank", rank), F.when(empty, F.lit(p["keep_blank_emails"])).otherwise(F.col("__rank") == 1), ("__rank",))
 
@@ -185,16 +190,27 @@ def best_by_value(df, p, order):
 def sort(df, p, order):
     """Sorts; nulls last either way."""
     keys = [T.column(c).asc_nulls_last() if p["ascending"] else T.column(c).desc_nulls_last() for c in p["columns"]]
-    return df.orderBy(*keys, *map(F.col, order))
+    return df.orderBy(*keys, *map(T.column, order))
 
 
 @operation("data_set_header_row", "Transform", needs_data=True, header_row_number=2, remove_above=True)
 def header_row(df, p, order):
-    """Makes a row (1 is the first) the header."""
+    """Makes a row (1 is the first) the header; it and, unless they are to stay, the rows above it go. Rows need an order."""
+    if not order:
+        raise ValueError("data_set_header_row: rows need an order, as Spark's tables have none")
     names = [c for c in df.columns if c not in order]
-    ranked = df.orderBy(*ordering(order)).limit(p["header_row_number"])
-    row = ranked.tail(1)[0]
-    out = df.filter(~reduce(or_, [F.col(c) <= F.lit(row[c]) for c in order[:1]])) if p["remove_above"] and order else df
+    number = int(p["header_row_number"])
+    first = df.orderBy(*ordering(order)).limit(number).collect()  # the rows down to the header
+    if number < 1 or len(first) < number:
+        raise ValueError(f"data_set_header_row: no row {number}")
+    row = first[-1]
+    same = reduce(and_, [T.column(c).eqNullSafe(F.lit(row[c])) for c in order])
+    above, equal = F.lit(False), F.lit(True)
+    for c in order:  # in the order of ordering(): ascending, nulls first
+        less = T.column(c).isNull() if row[c] is None else T.column(c).isNull() | (T.column(c) < F.lit(row[c]))
+        above = above | (equal & less & ~T.column(c).eqNullSafe(F.lit(row[c])))
+        equal = equal & T.column(c).eqNullSafe(F.lit(row[c]))
+    out = df.filter(~F.coalesce(same | above if p["remove_above"] else same, F.lit(False)))
     fresh, used = {}, set(order)
     for i, c in enumerate(names):
         new = str(row[c]) if row[c] is not None else f"Column_{i + 1}"
@@ -255,15 +271,20 @@ def date_format(df, p, order):
 
 
 def _midpoint(c):
-    own = F.regexp_replace(F.upper(T.stripped(c)), r"[$,\s]", "")
-    month = reduce(lambda out, m: F.when(F.regexp_extract(own, r"^([A-Z]{3})-\d+$", 1) == m[1], m[0]).otherwise(out), enumerate(V.MONTHS, 1), F.lit(None).cast("int"))
-    low = F.coalesce(month, F.regexp_extract(own, r"^(\d+)", 1).try_cast("bigint"))
-    high = F.regexp_extract(own, r"-(\d+)$", 1).try_cast("bigint")
-    return F.floor((low + F.coalesce(high, low)) / 2).cast("bigint")
+    """The middle of a range such as 1-50 or $5 - $10, rounded down; 500+ is 500, and Jan-50, as spreadsheets write 1-50, is a range too."""
+    own = T.stripped(c)
+    month = reduce(lambda out, m: F.when(F.upper(F.regexp_extract(own, r"^([A-Za-z]{3})-\d+$", 1)) == m[1], str(m[0])).otherwise(out), enumerate(V.MONTHS, 1), F.lit(None).cast("string"))
+    own = F.when(month.isNotNull(), F.concat_ws("-", month, F.regexp_extract(own, r"-(\d+)$", 1))).otherwise(own)
+    plus = F.regexp_extract(own, r"^\$?\s*(\d+(?:\.\d+)?)\s*\+$", 1).try_cast("double")
+    span = r"^\s*(\d+(?:\.\d+)?)\s*-\s*(\d+(?:\.\d+)?)\s*$"
+    bare = F.regexp_replace(own, r"\$", "")
+    low, high = F.regexp_extract(bare, span, 1).try_cast("double"), F.regexp_extract(bare, span, 2).try_cast("double")
+    return F.floor(F.coalesce(plus, (low + high) / 2)).cast("bigint")
 
 
 @operation("formstack_partial_lead_scoring", "Forms", quantity_column=str, budget_column=str)
 def lead_scoring(df, p, order):
-    """Midpoints of quantity and budget ranges and their product."""
+    """Midpoints of quantity and budget ranges and their product; null where a text is no range."""
+    kind = next((v for k, v in V.ENTITIES.items() if k in p["quantity_column"].lower()), V.ENTITIES["employee"])
     q, b = _midpoint(T.column(p["quantity_column"])), _midpoint(T.column(p["budget_column"]))
-    return df.withColumns({p["quantity_column"] + " Score": q, p["budget_column"] + " Score": b, "Lead Score": q * b})
+    return df.withColumns({f"Average Number of {kind}": q, f"Budget per {kind}": b, "Lead Score": q * b})

@@ -170,8 +170,10 @@ def contact_name(df, p, order):
     """First and last name."""
     own = T.squeezed(T.column(p["column"]))
     if p["name_format"] == "Last, First":
-        parts = F.split(own, r"\s*,\s*", 2)
-        first, last = F.coalesce(F.get(parts, 1), F.lit("")), F.get(parts, 0)
+        parts, bare = F.split(own, r"\s*,\s*", 2), F.split(own, " ", 2)
+        comma = own.contains(",")
+        first = F.when(comma, F.get(parts, 1)).otherwise(F.get(bare, 0))
+        last = F.when(comma, F.get(parts, 0)).otherwise(F.coalesce(F.get(bare, 1), F.lit("")))
     else:
         parts = F.split(own, " ", 2)
         first, last = F.get(parts, 0), F.coalesce(F.get(parts, 1), F.lit(""))
@@ -182,14 +184,18 @@ def contact_name(df, p, order):
 
 
 def _code(c, n):
-    return T.zfill(F.regexp_replace(F.regexp_replace(T.stripped(c), r"\..*$", ""), "[^0-9-]", ""), n)
+    """The digits of a whole number with leading zeros behind its sign; zeros where there is none."""
+    own = F.regexp_replace(T.stripped(c), r"\..*$", "")
+    figures = F.regexp_replace(own, "[^0-9]", "")
+    return F.when(F.coalesce(figures, F.lit("")) == "", "0" * n).otherwise(F.concat(F.when(own.startswith("-"), "-").otherwise(""), T.zfill(figures, n)))
 
 
 @operation("text_standardize_customer_numbers", "Text", customer_number_column=str, segment_column=str, customer_length=8, segment_length=2, blank_segment_value="00")
 def customer_numbers(df, p, order):
-    """Customer and segment numbers with leading zeros."""
+    """Customer and segment numbers with leading zeros; a null customer is all zeros, a blank segment has a value of its own."""
     c, s = T.column(p["customer_number_column"]), T.column(p["segment_column"])
-    return df.withColumns({p["customer_number_column"]: F.when(T.blank(c), T.text(c)).otherwise(_code(c, p["customer_length"])), p["segment_column"]: F.when(T.blank(s), p["blank_segment_value"]).otherwise(_code(s, p["segment_length"]))})
+    empty = F.coalesce(T.stripped(s), F.lit("")) == ""
+    return df.withColumns({p["customer_number_column"]: _code(c, p["customer_length"]), p["segment_column"]: F.when(empty, p["blank_segment_value"]).otherwise(_code(s, p["segment_length"]))})
 
 
 @operation("text_clean_mailing_customer_data", "Text", customer_column=str, customer_length=8, segment_column=None, segment_length=2, handle_non_hyphenated="Pad as-is", blank_segments_to_zero=False)
@@ -202,7 +208,8 @@ def mailing_customers(df, p, order):
     new = {p["customer_column"]: F.when(T.blank(c), T.text(c)).when(own.contains("-"), padded).otherwise(other)}
     if p["segment_column"]:
         s = T.column(p["segment_column"])
-        new[p["segment_column"]] = F.when(T.blank(s), F.lit("0" * p["segment_length"]) if p["blank_segments_to_zero"] else T.text(s)).otherwise(_code(s, p["segment_length"]))
+        figures = F.coalesce(T.digits(s), F.lit(""))
+        new[p["segment_column"]] = F.when(figures == "", "0" * p["segment_length"] if p["blank_segments_to_zero"] else "").otherwise(T.zfill(figures, p["segment_length"]))
     return df.withColumns(new)
 
 

@@ -28,8 +28,12 @@ def combine(frames: list[DataFrame], columns: str = "all", fill: str | None = No
     if columns == "first":
         names = frames[0].columns
         return reduce(DataFrame.union, [f.select(*[T.column(c) if c in f.columns else F.lit(None).alias(c) for c in names]) for f in frames])
-    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return out if fill is None else out.fillna(fill)
+    if fill is None:
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    # Only what a table doesn't have is filled, not its own nulls; such a column is text.
+    names = list(dict.fromkeys(c for f in frames for c in f.columns))
+    partly = {c for c in names if any(c not in f.columns for f in frames)}
+    return reduce(DataFrame.unionByName, [f.select(*[(T.column(c).cast("string") if c in partly else T.column(c)).alias(c) if c in f.columns else F.lit(fill).alias(c) for c in names]) for f in frames])
 
 
 def compatibility(frames: dict[str, DataFrame]) -> dict[str, list[str]]:

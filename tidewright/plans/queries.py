@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.functions import text as T
 from tidewright.plans.combine import combine, link
 from tidewright.plans.workflow import Workflow, apply
 
@@ -32,8 +33,7 @@ SUPPLIERS = """select s_suppkey as contact_id, ' ' || replace(s_name, 'Supplier#
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("customer")
-    return spark.sql(CONTACTS)
+    return spark.sql(CONTACTS.replace("from customer", "from {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
 
 
 def _on_contacts(operation: str, shown: list[str], **parameters):
@@ -95,6 +95,50 @@ def _link_tables(mode: str):
     return run
 
 
+#: People of all customers with the columns that levels of deduplication look at.
+PEOPLE = """select c_custkey as id, 'First ' || cast(c_custkey % 40 as varchar(20)) as "First Name", c_mktsegment as "Last Name",
+ case when c_custkey % 3 = 0 then 'a' || cast(c_custkey % 90 as varchar(20)) || '@example.com' end as "Email Address",
+ case when c_custkey % 4 <> 1 then cast(c_custkey % 20 as varchar(20)) || case when c_custkey % 2 = 0 then ' N. Main St, Apt 5' else ' north main Street Apartment  5' end end as "Person Street",
+ 'Town' as "Person City", 'OH' as "Person State", cast(c_custkey % 30 as varchar(20)) as "Direct Phone Number", cast(floor(c_acctbal) as integer) as amount from customer"""
+#: Survey answers and numbers as people write them.
+ANSWERS = """select o_orderkey as id, case o_orderkey % 6 when 0 then '1-50' when 1 then 'Jan-50' when 2 then '500+' when 3 then '100 - 250' when 4 then 'many' end as staff_count,
+ case o_orderkey % 5 when 0 then '$5-$10' when 1 then '$20 - $30' when 2 then '1.5-2.5' when 3 then '50 people' else '5' end as budget,
+ case o_orderkey % 5 when 0 then '5164.0' when 1 then '-5' when 2 then '12-34' when 3 then null else '123456789' end as number,
+ case o_orderkey % 4 when 0 then ' 7 ' when 1 then 'x' when 2 then '' else '10.0' end as segment from orders"""
+
+
+def _view(spark: SparkSession, sql: str, table: str, sf_dir: str) -> DataFrame:
+    return spark.sql(sql.replace(f"from {table}", f"from {{{table}}}").replace('"', "`"), **{table: spark.read.parquet(f"{sf_dir}/{table}.parquet")})
+
+
+def _on(sql: str, table: str, operation: str, shown: list[str] | None = None, **parameters):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = apply(_view(spark, sql, table, sf_dir), operation, ["id"], **parameters)
+        return out.select(*[T.column(c) for c in shown]) if shown else out
+
+    return run
+
+
+def remove_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flagged = apply(spark.read.parquet(f"{sf_dir}/documents.parquet"), "flag_rows_containing", columns=["text"], patterns="license, password")
+    return apply(flagged, "remove_flagged_rows", flag_column="_FLAG_REMOVE").select("doc_id", "n_chars")
+
+
+def header_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third nation's row becomes the header."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", F.col("n_regionkey").cast("string").alias("n_regionkey"))
+    return apply(nation, "data_set_header_row", ["n_nationkey"], header_row_number=3).toDF("n_nationkey", "a", "b")
+
+
+def _first_of(keys: str) -> str:
+    return f"select id from (select *, row_number() over (partition by {keys} order by id) as r from p) where r = 1"
+
+
+_STREET = "split_part(\"Person Street\", ' ', 1) || ' NORTH MAIN STREET APARTMENT 5'"
+_LEVELS = 'case when "Email Address" is not null then 1 when "Person Street" is not null then 2 else 3 end'
+_BY_LEVEL = _LEVELS + ', case when {0} = 1 then "Email Address" end, case when {0} > 1 then "First Name" end, case when {0} > 1 then "Last Name" end, case when {0} = 2 then {1} end, case when {0} = 3 then "Direct Phone Number" end'
+_CODE = "case when regexp_replace(split_part(trim({0}), '.', 1), '[^0-9]', '', 'g') = '' or {0} is null then repeat('0', {1}) else case when trim({0}) like '-%' then '-' else '' end || case when length(regexp_replace(split_part(trim({0}), '.', 1), '[^0-9]', '', 'g')) >= {1} then regexp_replace(split_part(trim({0}), '.', 1), '[^0-9]', '', 'g') else lpad(regexp_replace(split_part(trim({0}), '.', 1), '[^0-9]', '', 'g'), {1}, '0') end end"
+
 _C = f"with contacts as ({CONTACTS}) "
 _TRIM = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 _NUMBER = "regexp_replace({0}, '[^0-9]', '', 'g')"
@@ -147,6 +191,33 @@ PAIRS = {
     "math_average": (_table("lineitem", "math_average", ["l_orderkey", "l_linenumber", "x"], [], columns=["l_quantity", "l_tax"], new_column="x"), "select l_orderkey, l_linenumber, (0.0::double + l_quantity + l_tax) / 2 as x from lineitem"),
     "date_format": (_table("orders", "date_format", ["o_orderkey", "o_orderdate"], [], column="o_orderdate"), "select o_orderkey, strftime(o_orderdate, '%m/%d/%Y') as o_orderdate from orders"),
     "combine_all": (combine_all, "select c_name as name, c_mktsegment as segment, cast(null as double) as balance from customer union all select s_name, null, s_acctbal from supplier"),
+    "data_remove_duplicates_levels": (_on(PEOPLE, "customer", "data_remove_duplicates", ["id"]), f"with p as ({PEOPLE}) " + _first_of(_BY_LEVEL.format(_LEVELS, '"Person Street"'))),
+    "data_remove_duplicates_smart": (_on(PEOPLE, "customer", "data_remove_duplicates", ["id"], multi_level_deduplication=False, columns="Person Street,Last Name", smart_matching=True), f"with p as ({PEOPLE}) " + _first_of(_STREET + ', "Last Name"')),
+    "clean_keep_columns": (_on(PEOPLE, "customer", "clean_keep_columns", columns_to_keep=["amount", "id"]), f"select id, amount from ({PEOPLE})"),
+    "clean_remove_columns": (_on(ANSWERS, "orders", "clean_remove_columns", columns=["number", "segment"]), f"select id, staff_count, budget from ({ANSWERS})"),
+    "clean_remove_blank_rows": (_on("select o_orderkey as id, case when o_orderkey % 3 > 0 then o_orderstatus end as a, case when o_orderkey % 2 > 0 then o_orderpriority end as b from orders", "orders", "clean_remove_blank_rows"), "select o_orderkey as id, case when o_orderkey % 3 > 0 then o_orderstatus end as a, case when o_orderkey % 2 > 0 then o_orderpriority end as b from orders where o_orderkey % 6 > 0"),
+    "data_add_multiple_columns": (_on(PEOPLE, "customer", "data_add_multiple_columns", ["id", "note", "amount", "amount_1", "Last Name"], columns=[{"name": "note"}, {"name": "amount", "default_type": "value", "value": "7", "on_exists": "rename"}, {"name": "Last Name", "default_type": "value", "value": "x", "on_exists": "overwrite"}, {"name": "id", "default_type": "value", "value": "1"}]), f"select id, '' as note, amount, cast(7 as integer) as amount_1, 'x' as \"Last Name\" from ({PEOPLE})"),
+    "data_reorder_columns": (_on(ANSWERS, "orders", "data_reorder_columns", column_order=["segment", "id"]), f"select segment, id from ({ANSWERS})"),
+    "text_rename_column": (_on(ANSWERS, "orders", "text_rename_column", ["id", "Segment No."], old_name="segment", new_name="Segment No."), f"select id, segment as \"Segment No.\" from ({ANSWERS})"),
+    "text_rename_batch": (_on(ANSWERS, "orders", "text_rename_batch", ["id", "number", "segment"], mappings={"number": "segment", "segment": "number"}), f"select id, segment as number, number as segment from ({ANSWERS})"),
+    "standardize_column_names": (_on(PEOPLE, "customer", "standardize_column_names", ["id", "Email"], mapping="Email Address=Email, Not There=X"), f"select id, \"Email Address\" as \"Email\" from ({PEOPLE})"),
+    "standardize_state": (_on_contacts("standardize_state", ["state"], columns=["state"]), _C + "select contact_id, case state when 'Ohio' then 'OH' when 'NY' then 'NY' when 'ak' then 'AK' when 'Puerto Rico' then 'PR' else 'CALIF.' end as state from contacts"),
+    "formstack_partial_lead_scoring": (
+        _on(ANSWERS, "orders", "formstack_partial_lead_scoring", ["id", "Average Number of Staff", "Budget per Staff", "Lead Score"], quantity_column="staff_count", budget_column="budget"),
+        f"with a as (select id, cast(case staff_count when '1-50' then 25 when 'Jan-50' then 25 when '500+' then 500 when '100 - 250' then 175 end as bigint) as q, cast(case budget when '$5-$10' then 7 when '$20 - $30' then 25 when '1.5-2.5' then 2 end as bigint) as b from ({ANSWERS}))"
+        ' select id, q as "Average Number of Staff", b as "Budget per Staff", q * b as "Lead Score" from a',
+    ),
+    "math_percentage": (_table("orders", "math_percentage", ["o_orderkey", "x"], [], numerator_column="o_custkey", denominator_column="o_orderkey", new_column="x", multiply_by_100=False), "select o_orderkey, round_even(cast(o_custkey as double) / nullif(o_orderkey, 0), 2) as x from orders"),
+    "math_round": (_table("part", "math_round", ["p_partkey", "x"], [], column="p_size", decimals=0, new_column="x"), "select p_partkey, cast(p_size as double) as x from part"),
+    "math_sum": (_table("lineitem", "math_sum", ["l_orderkey", "l_linenumber", "x"], [], columns=["l_quantity", "l_returnflag", "l_linenumber"], new_column="x"), "select l_orderkey, l_linenumber, l_quantity + l_linenumber as x from lineitem"),
+    "remove_flagged_rows": (remove_flagged, "select doc_id, n_chars from documents where not (contains(lower(text), 'license') or contains(lower(text), 'password'))"),
+    "data_set_header_row": (header_row, "select n_nationkey, n_name as a, cast(n_regionkey as varchar) as b from (select *, row_number() over (order by n_nationkey) as r from nation) where r > 3"),
+    "text_standardize_customer_numbers": (_on(ANSWERS, "orders", "text_standardize_customer_numbers", ["id", "number", "segment"], customer_number_column="number", segment_column="segment"), f"select id, {_CODE.format('number', 8)} as number, case when trim(segment) = '' then '00' else {_CODE.format('segment', 2)} end as segment from ({ANSWERS})"),
+    "text_clean_mailing_customer_data": (
+        _on(ANSWERS, "orders", "text_clean_mailing_customer_data", ["id", "number", "segment"], customer_column="number", segment_column="segment"),
+        f"select id, case number when '5164.0' then '00005164' when '-5' then '00000000' when '12-34' then '00000012' else number end as number, case segment when ' 7 ' then '07' when '10.0' then '10' else '' end as segment from ({ANSWERS})",
+    ),
+    "text_standardize_phone_numbers": (_on_contacts("text_standardize_phone_numbers", ["phone"], phone_column="phone"), _C + f"select contact_id, coalesce({_NUMBER.format('phone')}, '') as phone from contacts"),
     "link_exact": (
         link_exact,
         _C + "select o.contact_id, case when a.m is not null then 1 when b.m is not null then 2 when c.m is not null then 3 end as \"Overlap_Tier\", coalesce(a.m, b.m, c.m) as \"Matched_With_Index\" from contacts o"
