@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tidewright.llm import bpe, hosts, langid, queries, secrets, tokenfiles, transport
 
@@ -159,6 +160,28 @@ def test_transport_damage():
     assert transport.demux(b"")["payload"] == b""
 
 
+def test_damaged_streams_are_read_as_far_as_they_go():
+    rng = np.random.default_rng(11)
+    whole = np.frombuffer(transport.mux(bytes(range(256)) * 9, unit=700), np.uint8)
+    for _ in range(3000):
+        own = whole.copy()
+        at = rng.integers(0, len(own), rng.integers(1, 6))
+        own[at] = rng.integers(0, 256, len(at))
+        if rng.random() < 0.5:  # fields that fill their packets
+            p = 188 * int(rng.integers(0, len(own) // 188))
+            own[p + 3] |= 0x20
+            own[p + 4] = rng.integers(170, 256)
+        read = transport.demux(own[: rng.integers(1, len(own) + 1)].tobytes())
+        assert isinstance(read["errors"], int) and read["payload"] is not None
+
+
+def test_domains_and_suffixes(table):
+    rows = [("http://bad.co.uk/", "bad.co.uk", "co.uk"), ("http://u:p@x.Good.org:8080/", "good.org", "org"), ("http://10.0.0.1:80/", "10.0.0.1", "10.0.0.1"), ("http://a.b.example.com", "example.com", "com")]
+    df = table([(i, u) for i, (u, _, _) in enumerate(rows)], "i int, url string").select("i", hosts.host_of(F.col("url")).alias("h"))
+    got = {r["i"]: (r["d"], r["s"]) for r in df.select("i", hosts.domain_of(F.col("h")).alias("d"), hosts.suffix_of(F.col("h")).alias("s")).collect()}
+    assert got == {i: (d, s) for i, (_, d, s) in enumerate(rows)}
+
+
 def test_media(table, clash, spark):
     docs = clash(table(ODD))
     got = transport.demux_column(transport.mux_texts(docs), ["doc_id", "n_bytes"]).collect()

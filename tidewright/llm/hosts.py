@@ -1,10 +1,12 @@
 """URL filter by host reputation with empirical Bayes.
 
-Labelled page outcomes (good or not) are counted by host, by registered domain (the last two
-labels) and by suffix (the last label). At each level a beta-binomial prior is centred on the
+Labelled page outcomes (good or not) are counted by host, by registered domain (the suffix and one
+label more) and by suffix (the last label, or one of ``SUFFIXES``). For these a host has no user or port, and an
+address of numbers is its own domain and suffix. At each level a beta-binomial prior is centred on the
 posterior mean of the level above; how strongly it pulls is estimated from how much the groups
 of that level differ (method of moments). A host is blocked if even the upper
-bound of its posterior share of good pages lies below a threshold, so doubt lets a page pass. Hosts
+bound of its posterior share of good pages (the mean and z standard deviations of the beta posterior, a normal
+approximation) lies below a threshold, so doubt lets a page pass. Hosts
 without labels get their domain's or suffix's posterior. Rules on host and path come before.
 
 Scale: outcomes are counted with partial aggregates; levels have one row a group and are joined on the
@@ -33,12 +35,22 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+# Common suffixes of two labels under which domains are registered.
+SUFFIXES = ["ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "com.br", "com.cn", "co.in", "co.jp", "ne.jp", "or.jp", "co.kr", "com.mx", "co.nz", "com.tr", "co.za"]
+
+
+def _grouped(host: Column, labels: int) -> Column:
+    name = F.regexp_replace(host, r"^.*@|:[0-9]*$", "")
+    two = F.substring_index(name, ".", -2).isin(SUFFIXES)
+    return F.when(name.rlike(r"^[0-9]+([.][0-9]+){3}$|^\["), name).when(two, F.substring_index(name, ".", -labels - 1)).otherwise(F.substring_index(name, ".", -labels))
+
+
 def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+    return _grouped(host, 2)
 
 
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    return _grouped(host, 1)
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:

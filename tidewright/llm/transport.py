@@ -10,7 +10,8 @@ Scale: one pass over the rows, no shuffle; a task holds one stream at a time.
 
 Cases: a null or empty text is a payload of one block of zero bytes. Equal payloads give equal
 streams. Rows that share an id are returned one by one; other columns are ignored. A stream with lost,
-repeated or torn packets is read as far as it goes and says so in its error count.
+repeated or torn packets is read as far as it goes and says so in its error count; no stream makes the reader fail. Tables
+of more than one packet aren't read.
 """
 
 from __future__ import annotations
@@ -108,7 +109,9 @@ def _section(packets: np.ndarray, pid: int, table_id: int) -> bytes | None:
         raw = p[4:].tobytes()
         if p[3] & 0x20:
             raw = raw[1 + raw[0] :]
-        raw = raw[1 + raw[0] :]
+        raw = raw[1 + raw[0] :] if raw else raw
+        if len(raw) < 3:
+            continue
         length = int.from_bytes(raw[1:3], "big") & 0xFFF
         whole = raw[: 3 + length]
         if raw[0] == table_id and len(whole) == 3 + length and crc32_mpeg(whole) == 0:
@@ -160,7 +163,7 @@ def demux(stream: bytes) -> dict:
         else:
             pes = b"".join(own[k, skip[k] :].tobytes() for k in range(i, j))
         length = int.from_bytes(pes[4:6], "big")
-        if pes[:3] != b"\0\0\1" or length and len(pes) < 6 + length:
+        if pes[:3] != b"\0\0\1" or len(pes) < 9 or len(pes) < 9 + pes[8] or pes[7] & 0x80 and pes[8] < 5 or length and len(pes) < 6 + length:
             errors += 1
             continue
         pts = None
@@ -171,7 +174,7 @@ def demux(stream: bytes) -> dict:
         parts.append(data)
         out["units"].append((pts, bool(access[i]), size, size + len(data)))
         size += len(data)
-    return out | {"payload": b"".join(parts), "errors": errors}
+    return out | {"payload": b"".join(parts), "errors": int(errors)}
 
 
 def padded(text: str | None, block: int = 64) -> tuple[int, bytes]:
