@@ -12,9 +12,10 @@ filter) and sizes alike (length filter). Bits of parity by part of the words bou
 from below and drop more pairs; what passes is verified on the words themselves, for each line the earliest
 candidate first.
 
-Buckets of a word with up to ``_LARGE`` classes are joined at once. In larger ones all lines that haven't gone are
-compared with one line, the earliest of them, in a number of rounds; only lines that then still stay are joined with
-the others, by the same filters, in a join that Spark splits where it is skewed.
+In each bucket of a word all lines are compared with its earliest, which takes out most of a group of near copies. Then
+buckets with up to ``_LARGE`` lines that haven't gone are joined, these lines with all others. In larger ones the lines that
+haven't gone are compared with the earliest of them, in a number of rounds; only lines that then still stay are joined
+with the others, by the same filters, in a join that Spark splits where it is skewed.
 
 Scale: texts are read for word counts, for sets, and for the lines in candidate pairs, which a bitmap of a
 bounded size tells apart in the scan (above it more lines than needed are joined). The rarity classes take 2**bits
@@ -37,8 +38,8 @@ _ID, _TEXT = "__id", "__text"
 MIN_WORDS = 5
 #: Cells of word counts and of bitmaps at most, as powers of two, and characters of a table that are put together at a time.
 _WORD_BITS, _BITMAP_BITS, _PART = 20, 24, 4096
-#: Classes in a bucket that are compared all with all; at most so many rounds of comparisons with one, and pairs a line that end them early, as a round that removes none does.
-_LARGE, _ROUNDS, _DENSE = 1 << 12, 6, 16
+#: Classes in a bucket that are compared all with all; at most so many rounds of comparisons with one, and pairs a line that end them early, as a round that removes few does.
+_LARGE, _ROUNDS, _DENSE = 1 << 8, 6, 16
 
 
 def _parts(text: Column) -> Column:
@@ -124,6 +125,12 @@ def _token(rarity: int) -> int:
 _ROW = ["n", "pos", "p1", "p2"]
 
 
+def _exploded(lines: DataFrame) -> DataFrame:
+    """Prefix words of lines, a row each."""
+    rows = lines.select("id", "line", "n", "p1", "p2", "skip", "open", F.posexplode("words").alias("i", "word"))
+    return rows.select("word", "id", "line", "n", (F.col("skip") + F.col("i")).alias("pos"), "p1", "p2", "open")
+
+
 def _side(rows: DataFrame, name: str) -> DataFrame:
     """Rows as one side of a join: word, name (id, line), and the rest with name behind."""
     return rows.select("word", F.struct("id", "line").alias(name), *[F.col(c).alias(c + name) for c in _ROW])
@@ -157,10 +164,10 @@ class _Judge:
 def _hot_rounds(hot: DataFrame, judge: _Judge, percent: int) -> tuple[DataFrame, DataFrame]:
     """Lines of large buckets that have gone after rounds of comparisons with one line of each bucket, and the pairs still to be judged."""
     total, gone, tried = hot.count(), None, None
-    state = hot
+    state = hot.filter("open")
     for _ in range(_ROUNDS):
         pivots = state.groupBy("word").agg(F.min(F.struct("id", "line", *_ROW)).alias("p")).select("word", "p.*")
-        pairs = written(_side(state, "x").join(_side(pivots, "y"), "word").filter(_fits(percent)).select("x", "y").distinct(), "line-stars")
+        pairs = written(_side(state, "x").join(_side(pivots, "y"), "word").filter(_fits(percent)).select("x", "y").distinct(), "line-hot-stars")
         found = judge.similar(pairs)
         judge.tables.append(pairs)
         gone = found if gone is None else gone.unionByName(found)
@@ -169,9 +176,9 @@ def _hot_rounds(hot: DataFrame, judge: _Judge, percent: int) -> tuple[DataFrame,
         state = written(rest, "line-open")
         judge.tables.append(state)
         work = state.groupBy("word").count().join(hot.groupBy("word").agg(F.count("*").alias("c")), "word").agg(F.sum(F.col("count") * F.col("c"))).first()[0] or 0
-        if work <= _DENSE * total or found.isEmpty():
+        if work <= _DENSE * total or found.count() < total >> 8 or found.isEmpty():
             break
-    stay = hot.join(gone.select("x.*").distinct(), ["id", "line"], "left_anti")
+    stay = hot.filter("open").join(gone.select("x.*").distinct(), ["id", "line"], "left_anti")
     late = _side(stay, "x").join(_side(hot, "y"), "word").filter(_fits(percent)).select("x", "y").distinct()
     return gone, late.join(tried, ["x", "y"], "left_anti")
 
@@ -187,32 +194,39 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS
     placed = written(described.join(firsts, "key").select("id", "line", "n", "p1", "p2", "skip", F.when(at == F.col("first"), F.col("words")).alias("words"), (at > F.col("first")).alias("equal")), "line-classes")
     removed(described)
 
-    rows = placed.filter("not equal").select("id", "line", "n", "p1", "p2", "skip", F.posexplode("words").alias("i", "word")).select("word", "id", "line", "n", (F.col("skip") + F.col("i")).alias("pos"), "p1", "p2")
-    often = F.col("word") >= _token(_LARGE.bit_length() - 1)
+    # In a bucket's comparison with its earliest line most lines of a group of near copies go; only the others are compared further.
+    rows = _exploded(placed.filter("not equal").withColumn("open", F.lit(True))).repartition("word")
+    pivots = rows.groupBy("word").agg(F.min(F.struct("id", "line", *_ROW)).alias("p"), F.count("*").alias("c")).filter("c > 1").select("word", "p.*")
+    stars = written(_side(rows, "x").join(_side(pivots, "y"), "word").filter(_fits(percent)).select("x", "y").distinct(), "line-stars")
+    at_first = _Judge(docs, stars.select(F.explode(F.array("x", "y")).alias("at")).select("at.*"), percent)
+    early = at_first.similar(stars)
+
+    gone = early.select("x.*", F.lit(False).alias("open"))
+    marked = placed.filter("not equal").join(gone, ["id", "line"], "left").withColumn("open", F.col("open").isNull())
+    rows = _exploded(marked)
+    often = F.col("open") & (F.col("word") >= _token(_LARGE.bit_length() - 1))
     large = written(rows.filter(often).groupBy("word").count().filter(F.col("count") > _LARGE).select("word"), "line-large")
     any_large = not large.isEmpty()
     small = (rows.join(large, "word", "left_anti") if any_large else rows).repartition("word")
-    pairs = written(_side(small, "x").join(_side(small, "y"), "word").filter(_fits(percent)).select("x", "y").distinct(), "line-pairs")
+    pairs = _side(small.filter("open"), "x").join(_side(small, "y"), "word").filter(_fits(percent)).select("x", "y").distinct()
+    pairs = written(pairs.join(stars, ["x", "y"], "left_anti"), "line-pairs")
 
-    needed = pairs.select(F.explode(F.array("x", "y")).alias("at")).select("at.*")
-    hot = None
+    needed, hot = pairs.select(F.explode(F.array("x", "y")).alias("at")).select("at.*"), None
     if any_large:
         hot = written(rows.join(large, "word", "left_semi"), "line-hot")
         needed = needed.unionByName(hot.select("id", "line"))
     judge = _Judge(docs, needed, percent)
-    judge.tables += [placed, large, pairs, *([] if hot is None else [hot])]
+    judge.tables += [placed, large, stars, pairs, *at_first.tables, *([] if hot is None else [hot])]
+    out = placed.filter("equal").select("id", "line").unionByName(early.select("x.*"))
     if hot is not None:
-        gone, late = _hot_rounds(hot, judge, percent)
-        pairs = pairs.join(gone.select("x").distinct(), "x", "left_anti").unionByName(late)
-        pairs = written(pairs.distinct(), "line-pairs")
+        more, late = _hot_rounds(hot, judge, percent)
+        pairs = written(pairs.join(more.select("x").distinct(), "x", "left_anti").unionByName(late).distinct(), "line-pairs")
         judge.tables.append(pairs)
+        out = out.unionByName(more.select("x.*"))
     first = pairs.groupBy("x").agg(F.min("y").alias("y"))
     sure = judge.similar(first)
-    more = judge.similar(pairs.join(sure, "x", "left_anti").join(first, ["x", "y"], "left_anti"))
-    out = placed.filter("equal").select("id", "line").unionByName(sure.select("x.*")).unionByName(more.select("x.*"))
-    if hot is not None:
-        out = out.unionByName(gone.select("x.*"))
-    out = written(out.distinct(), "lines-gone")
+    rest = judge.similar(pairs.join(sure, "x", "left_anti").join(first, ["x", "y"], "left_anti"))
+    out = written(out.unionByName(sure.select("x.*")).unionByName(rest.select("x.*")).distinct(), "lines-gone")
     removed(*judge.tables)
     return out
 
