@@ -33,7 +33,7 @@ def test_secrets(table, clash, documents):
     texts = dict(rows)
     for doc, base, spans in got:
         text = texts[doc] or ""
-        want = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6] if False else []
+        want = []
         pattern = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
         want += [(m.start(), 0, m.end()) for m in pattern.finditer(text) if len(m[2]) >= 6]
         want += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
