@@ -48,3 +48,33 @@ UNITS = {"APT": "APARTMENT", "BLDG": "BUILDING", "FL": "FLOOR", "FLR": "FLOOR",
 ENTITIES = {"student": "Students", "employee": "Employees", "staff": "Staff"}
 MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
 SUITES = "Ste,Suite,Suites,Unit,Units,Apt,Apartment,Bldg,Building,Floor,Flr,#,Room,Rm"
+# Kinds of columns, by patterns of their names; the first kind that has one counts.
+COLUMN_KINDS = {
+    "customer_id": [r"customer.*id", r"cust.*id", r"account.*id", r"^id$", r"customer.*#", r"cust.*#"],
+    "company": [r"company", r"business", r"organization", r"firm"],
+    "contact_name": [r"^name$", r"contact.*name", r"full.*name", r"person"],
+    "first_name": [r"first.*name", r"fname", r"^first$"],
+    "last_name": [r"last.*name", r"lname", r"surname", r"^last$"],
+    "email": [r"email", r"e-mail", r"mail"],
+    "phone": [r"phone", r"telephone", r"tel", r"mobile", r"cell"],
+    "address1": [r"address.*1", r"^address$", r"street", r"addr1"],
+    "address2": [r"address.*2", r"addr2", r"suite", r"apt"],
+    "city": [r"city", r"town"],
+    "state": [r"state", r"province", r"^st$"],
+    "zip": [r"zip", r"postal", r"postcode"],
+    "country": [r"country", r"nation"],
+}
+# Kinds of columns, by patterns that most of their values have.
+CONTENT_KINDS = {
+    "email": r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
+    "phone": r"\d{3}.*\d{3}.*\d{4}",
+    "zip": r"^\d{5}(-\d{4})?$",
+    "state": r"^[A-Z]{2}$",
+}
+# Words by which values look like streets.
+STREET_HINTS = ["street", "st", "ave", "avenue", "road", "rd", "blvd", "drive", "dr", "lane", "ln"]
+EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
+PO_BOX = r"(?i)\b(p\.?\s*o\.?|post\s*office)\s*box\b"
+# States to which sending costs more.
+COSTLY_STATES = ["AK", "HI", "PR", "GU", "VI", "AS", "MP"]
+GENERIC_CONTACTS = ["ACCOUNTS PAYABLE", "A/P", "ACCOUNTING", "OFFICE", "MANAGER"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import text as T
 from tidewright.plans.combine import combine, link
+from tidewright.plans.quality import city_state_zip, column_kinds, quality, score
 from tidewright.plans.workflow import Workflow, apply
 
 CONTACTS = """select c_custkey as contact_id, '  ' || replace(c_name, '#', ' ') || ' ' as full_name,
@@ -130,6 +131,43 @@ def header_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply(nation, "data_set_header_row", ["n_nationkey"], header_row_number=3).toDF("n_nationkey", "a", "b")
 
 
+#: Contacts with repeated customers, boxes, generic names and numbers and addresses that don't hold.
+MESSY = f"""select contact_id % 1100 as customer_id, case when contact_id % 13 = 0 then 'Office Manager' when contact_id % 17 = 0 then null else full_name end as full_name,
+ case when contact_id % 9 = 0 then 'nobody(at)example.com' else email end as email, case when contact_id % 10 = 0 then '555-01' else phone end as phone,
+ case when contact_id % 8 = 0 then 'P.O. Box ' || zip when contact_id % 19 = 0 then 'Post Office Box 7' else street end as street, upper(title) as company, state, zip,
+ case when contact_id % 3 = 0 then null else email end as note, title, 'Town ' || cast(contact_id % 500 as varchar(20)) as city from ({CONTACTS}) c"""
+_MAIL = "^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+[.][a-zA-Z]{2,}$"
+_FINDINGS = f"""with t as (select * from ({MESSY}) m), f as (
+ select 'duplicates' as finding, 'critical' as severity, 'customer_id' as columns, sum(n) as affected_rows from (select count(*) as n from t group by customer_id) g where n > 1
+ union all select 'sparse_rows', 'recommended', '', count(*) from t where 11 - (case when customer_id is null then 0 else 1 end + case when full_name is null then 0 else 1 end + case when email is null then 0 else 1 end + case when phone is null then 0 else 1 end + case when street is null then 0 else 1 end + case when company is null then 0 else 1 end + case when state is null then 0 else 1 end + case when zip is null then 0 else 1 end + case when note is null then 0 else 1 end + case when title is null then 0 else 1 end + case when city is null then 0 else 1 end) >= 5.5
+ union all select 'po_boxes', 'critical', 'street', count(*) from t where street like 'P.O. Box %' or street like 'Post Office Box %'
+ union all select 'excluded_states', 'critical', 'state', count(*) from t where upper(state) in ('AK', 'HI', 'PR', 'GU', 'VI', 'AS', 'MP')
+ union all select 'generic_contacts', 'recommended', 'full_name', 2 * count(*) from t where full_name = 'Office Manager'
+ union all select 'invalid_emails', 'optional', 'email', count(*) from t where email is not null and not regexp_matches(email, '{_MAIL}')
+ union all select 'invalid_phones', 'optional', 'phone', count(*) from t where phone is not null and length(regexp_replace(phone, '[^0-9]', '', 'g')) <> 10
+ union all select 'whitespace', 'recommended', 'full_name', case when count_if(full_name like ' %' or full_name like '% ') > 0 then count(*) else 0 end from t
+ union all select 'capitalisation', 'recommended', 'full_name,street,city', count(*) from t)
+ select finding, severity, columns, cast(affected_rows as bigint) as affected_rows from f where affected_rows > 0"""
+
+
+def quality_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_view(spark, MESSY, "customer", sf_dir))
+
+
+def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(quality_findings(spark, sf_dir))
+
+
+def column_kinds_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(c, kind, confidence) for c, (kind, confidence) in column_kinds(_view(spark, MESSY, "customer", sf_dir)).items()]
+    return spark.createDataFrame(rows, "name string, kind string, confidence double")
+
+
+def city_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _view(spark, PLACED, "customer", sf_dir)
+    return df.select("contact_id", city_state_zip(F.expr("if(contact_id % 3 = 0, ' ', city)"), F.expr("if(contact_id % 4 = 0, null, state)"), F.expr("if(contact_id % 5 = 0, '', zip)")).alias("line"))
+
+
 def _first_of(keys: str) -> str:
     return f"select id from (select *, row_number() over (partition by {keys} order by id) as r from p) where r = 1"
 
@@ -225,6 +263,21 @@ PAIRS = {
         " left join (select phone, title, min(contact_id) as m from contacts where contact_id % 3 = 0 group by 1, 2) b on b.phone = o.phone and b.title = o.title"
         " left join (select street, state, title, min(contact_id) as m from contacts where contact_id % 3 = 0 group by 1, 2, 3) c on c.street = o.street and c.state = o.state and c.title = o.title where o.contact_id % 3 = 1",
     ),
+    "quality_findings": (quality_findings, _FINDINGS),
+    "quality_score": (
+        quality_score,
+        f"select greatest(0, 100 - 15 * critical - 5 * recommended - 2 * optional)::bigint as score, critical, recommended, optional from (select count_if(severity = 'critical')::bigint as critical, count_if(severity = 'recommended')::bigint as recommended, count_if(severity = 'optional')::bigint as optional from ({_FINDINGS}) x) y",
+    ),
+    "column_kinds": (
+        column_kinds_contacts,
+        "select * from (values ('customer_id', 'customer_id', 0.9::double), ('full_name', 'contact_name', 0.9), ('email', 'email', 0.9), ('phone', 'phone', 0.9), ('street', 'address1', 0.9), ('company', 'company', 0.9),"
+        " ('state', 'state', 0.9), ('zip', 'zip', 0.9), ('note', 'email', 0.8), ('title', 'unknown', 0.0), ('city', 'city', 0.9)) v(name, kind, confidence)",
+    ),
+    "city_line": (
+        city_line,
+        f"with p as (select contact_id, case when contact_id % 3 = 0 then '' else city end as c, case when contact_id % 4 = 0 then '' else state end as s, case when contact_id % 5 = 0 then '' else zip end as z from ({PLACED}) q)"
+        " select contact_id, trim(c || case when c <> '' and s <> '' then ', ' else '' end || s || case when z <> '' then ' ' || z else '' end) as line from p",
+    ),
     "link_tables": (
         _link_tables("exact"),
         f"with m as (select contact_id as id, lower(email) as email, {_NUMBER.format('phone')} as phone, lower({_TRIM.format('full_name')}) as name, lower({_TRIM.format('company')}) as company, lower(city) as city, lower(state) as state from ({PLACED})),"
