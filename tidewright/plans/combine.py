@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from functools import reduce
 
@@ -109,6 +110,62 @@ def link(master: DataFrame, other: DataFrame, master_id: str, other_id: str, ema
     return out.withColumns({"Overlap_Tier": tier, "Matched_With_Index": F.coalesce("__m0", "__m1", "__m2")}).drop(*[f"__{x}{i}" for i in range(3) for x in "km"])
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the folder that all machines share."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
+REASONS = {1: "Exact Email Match", 2: "Phone + Name Match", 3: "Company + Location Match"}
+
+
+def link_files(files: dict[str, DataFrame], id: str, email: str, phone: str, name: str, city: str, state: str, company: str) -> DataFrame:
+    """Rows of all files with their first match in what came before, by the exact tiers of link.
+
+    The first file is the master, which grows by each file's rows without a match, so a file is not compared with
+    itself. Columns Source_File, Overlap_Tier, Match_Reason, Matched_File and Matched_With_Index are added; columns of
+    a file that others lack are null there. Each file's matches are checkpointed, so plans don't double with files.
+    """
+    (first, master), *others = files.items()
+    names, shown = list(files), [id, email, phone, name, city, state, company]
+    place = lambda df, i: df.select(*dict.fromkeys(map(str, shown)), F.struct(F.lit(i).alias("file"), T.column(id).alias("id")).alias("__at"))
+    held = place(master, 0)
+    done = [master.select(F.lit(first).alias("Source_File"), "*", F.lit(None).cast("int").alias("Overlap_Tier"), F.lit(None).cast("string").alias("Match_Reason"), F.lit(None).cast("string").alias("Matched_File"), F.lit(None).cast(master.schema[id].dataType).alias("Matched_With_Index"))]
+    for i, (source, df) in enumerate(others, 1):
+        found = _cut(link(held, df, "__at", id, email, phone, name, city, state, company))
+        at = F.col("Matched_With_Index")
+        done.append(found.select(F.lit(source).alias("Source_File"), *map(T.column, df.columns), "Overlap_Tier", T.lookup(F.col("Overlap_Tier"), REASONS).alias("Match_Reason"), F.get(F.array(*map(F.lit, names)), at["file"]).alias("Matched_File"), at["id"].alias("Matched_With_Index")))
+        held = held.unionByName(place(found.filter("Overlap_Tier is null"), i))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), done)
+
+
+def link_summary(linked: DataFrame) -> DataFrame:
+    """Of each file and of all (Source_File null): rows, matches by tier, rows without a match, and percent of matches.
+
+    linked is what link_files returns.
+    """
+    tier = F.col("Overlap_Tier")
+    counts = [F.count("*").alias("records"), *[F.count_if(tier == k).alias(f"tier{k}_matches") for k in REASONS], F.count_if(tier.isNull()).alias("unique_records")]
+    return linked.rollup("Source_File").agg(*counts, F.round(F.count(tier) * 100 / F.count("*"), 2).alias("overlap_rate"))
+
+
+def with_source(frames: dict[str, DataFrame]) -> DataFrame:
+    """All rows of named tables under their names in Source_File, which comes first; absent columns are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.select(F.lit(n).alias("Source_File"), *[T.column(c) for c in f.columns if c != "Source_File"]) for n, f in frames.items()])
+
+
+def groupable(df: DataFrame, most: int = 100) -> DataFrame:
+    """Columns by which a table may be split: at most so many distinct values, and fewer than half of its rows."""
+    aggs = [F.count("*").alias("rows"), *[F.count_distinct(T.column(c)).alias(f"d{i}") for i, c in enumerate(df.columns)]]
+    parts = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("distinct_values"), F.col("rows")) for i, c in enumerate(df.columns)])
+    return df.agg(*aggs).select(F.inline(parts)).filter((F.col("distinct_values") <= most) & (F.col("distinct_values") * 2 < F.col("rows"))).drop("rows")
+
+
 def first_of_each(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import text as T
-from tidewright.plans.combine import combine, link
+from tidewright.plans.combine import combine, groupable, link, link_files, link_summary, with_source
 from tidewright.plans.quality import city_state_zip, column_kinds, quality, score
 from tidewright.plans.workflow import Workflow, apply
 
@@ -168,6 +168,57 @@ def city_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("contact_id", city_state_zip(F.expr("if(contact_id % 3 = 0, ' ', city)"), F.expr("if(contact_id % 4 = 0, null, state)"), F.expr("if(contact_id % 5 = 0, '', zip)")).alias("line"))
 
 
+#: A third file: the suppliers again, under other ids and without most e-mails.
+AGAIN = f"select contact_id + 5 as contact_id, full_name, case when contact_id % 9 = 0 then email end as email, phone, company, city, state from ({SUPPLIERS}) s"
+_FILES = {"customers": PLACED, "suppliers": SUPPLIERS, "again": AGAIN}
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    for table in ("customer", "supplier"):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+    return link_files({name: spark.sql(sql) for name, sql in _FILES.items()}, "contact_id", "email", "phone", "full_name", "city", "state", "company")
+
+
+def link_three_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked(spark, sf_dir).select("Source_File", "contact_id", "Overlap_Tier", "Match_Reason", "Matched_File", "Matched_With_Index")
+
+
+def link_three_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_summary(_linked(spark, sf_dir))
+
+
+def _keyed(sql: str, file: int) -> str:
+    return f"select {file} * 1000000000 + contact_id as pos, contact_id as id, lower(email) as email, {_NUMBER.format('phone')} as phone, lower({_TRIM.format('full_name')}) as name, lower({_TRIM.format('company')}) as company, lower(city) as city, lower(state) as state from ({sql}) t"
+
+
+def _tiers(other: str, master: str) -> str:
+    return (
+        f"select o.*, (select min(pos) from {master} m where m.email = o.email) as a, (select min(pos) from {master} m where m.phone = o.phone and m.name = o.name) as b,"
+        f" (select min(pos) from {master} m where m.company = o.company and m.city = o.city and m.state = o.state and m.name = o.name) as c from {other} o"
+    )
+
+
+def _three_files() -> str:
+    own = "pos, id, email, phone, name, company, city, state"
+    return (
+        f"with f0 as ({_keyed(PLACED, 0)}), f1 as ({_keyed(SUPPLIERS, 1)}), f2 as ({_keyed(AGAIN, 2)}), t1 as ({_tiers('f1', 'f0')}),"
+        f" m1 as (select {own} from f0 union all select {own} from t1 where coalesce(a, b, c) is null), t2 as ({_tiers('f2', 'm1')}),"
+        " u as (select 'customers' as s, id, cast(null as bigint) as a, cast(null as bigint) as b, cast(null as bigint) as c from f0 union all select 'suppliers', id, a, b, c from t1 union all select 'again', id, a, b, c from t2)"
+        ' select s as "Source_File", id as contact_id, case when a is not null then 1 when b is not null then 2 when c is not null then 3 end as "Overlap_Tier",'
+        " case when a is not null then 'Exact Email Match' when b is not null then 'Phone + Name Match' when c is not null then 'Company + Location Match' end as \"Match_Reason\","
+        " case coalesce(a, b, c) // 1000000000 when 0 then 'customers' when 1 then 'suppliers' end as \"Matched_File\", coalesce(a, b, c) % 1000000000 as \"Matched_With_Index\" from u"
+    )
+
+
+def union_with_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    return with_source({"customer": read("customer").select("c_custkey", "c_name"), "supplier": read("supplier").select("s_suppkey", F.col("s_name").alias("c_name"))})
+
+
+def groupable_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groupable(contacts(spark, sf_dir).select("contact_id", "state", "title", "email"))
+
+
 def _first_of(keys: str) -> str:
     return f"select id from (select *, row_number() over (partition by {keys} order by id) as r from p) where r = 1"
 
@@ -263,6 +314,22 @@ PAIRS = {
         " left join (select phone, title, min(contact_id) as m from contacts where contact_id % 3 = 0 group by 1, 2) b on b.phone = o.phone and b.title = o.title"
         " left join (select street, state, title, min(contact_id) as m from contacts where contact_id % 3 = 0 group by 1, 2, 3) c on c.street = o.street and c.state = o.state and c.title = o.title where o.contact_id % 3 = 1",
     ),
+    "link_files": (link_three_files, _three_files()),
+    "link_files_summary": (
+        link_three_summary,
+        f"select \"Source_File\", count(*) as records, count(*) filter (where \"Overlap_Tier\" = 1) as tier1_matches, count(*) filter (where \"Overlap_Tier\" = 2) as tier2_matches, count(*) filter (where \"Overlap_Tier\" = 3) as tier3_matches,"
+        f" count(*) filter (where \"Overlap_Tier\" is null) as unique_records, round(count(\"Overlap_Tier\") * 100 / count(*), 2) as overlap_rate from ({_three_files()}) x group by rollup(\"Source_File\")",
+    ),
+    "with_source": (
+        union_with_source,
+        "select 'customer' as \"Source_File\", c_custkey, c_name, null::bigint as s_suppkey from customer union all select 'supplier', null, s_name, s_suppkey from supplier",
+    ),
+    "groupable_columns": (
+        groupable_columns,
+        "with d as (select count(*) as n, count(distinct contact_id) as a, count(distinct state) as b, count(distinct title) as c, count(distinct email) as e"
+        f" from ({CONTACTS}) t), u as (select n, 'contact_id' as \"column\", a as v from d union all select n, 'state', b from d union all select n, 'title', c from d union all select n, 'email', e from d)"
+        " select \"column\", v as distinct_values from u where v <= 100 and v * 2 < n",
+    ),
     "quality_findings": (quality_findings, _FINDINGS),
     "quality_score": (
         quality_score,
