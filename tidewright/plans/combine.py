@@ -20,7 +20,8 @@ def combine(frames: list[DataFrame], columns: str = "all", fill: str | None = No
         names = {tuple(c.strip().lower() for c in f.columns) for f in frames}
         if len(names) > 1:
             raise ValueError("headers differ")
-        return reduce(DataFrame.union, frames).dropna("all")
+        out = reduce(DataFrame.union, frames)
+        return out.filter(reduce(lambda a, b: a | b, [T.column(c).isNotNull() for c in out.columns]))
     if columns == "common":
         shared = sorted(set.intersection(*[set(f.columns) for f in frames]))
         if not shared:
