@@ -97,6 +97,20 @@ def by_category(category: str) -> list[Operation]:
     return [o for o in REGISTRY.values() if o.category == category]
 
 
+def categories() -> dict[str, int]:
+    """How many operations each category has."""
+    out: dict[str, int] = {}
+    for o in REGISTRY.values():
+        out[o.category] = out.get(o.category, 0) + 1
+    return dict(sorted(out.items()))
+
+
+def described() -> list[dict[str, Any]]:
+    """Every operation as plain values, by id: what it is and its parameters, with defaults or the types of required ones."""
+    shown = lambda v: {"required": v.__name__} if isinstance(v, type) else {"default": v}
+    return [{"operation_id": o.id, "category": o.category, "description": o.description, "needs_data": o.needs_data, "parameters": {n: shown(v) for n, v in o.params.items()}} for _, o in sorted(REGISTRY.items())]
+
+
 def each(df: DataFrame, columns: list[str], f) -> DataFrame:
     """f of each of the columns, in place, in one projection."""
     from tidewright.functions.text import column
