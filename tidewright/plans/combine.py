@@ -88,8 +88,10 @@ def link(master: DataFrame, other: DataFrame, master_id: str, other_id: str, ema
     if mode == "fuzzy":
         tiers[2] = [norm(city), norm(state), norm(company), norm(name)]
         ratios = [[], [85], [85, 75]]
-    key = lambda k: F.when(_both(k), F.concat_ws("\x1f", *k))
-    out = other.select("*", *[key(k).alias(f"__k{i}") for i, k in enumerate(tiers)])
+    key = lambda k: F.when(_both(k), F.concat_ws("\x1f", F.lit("="), *k))
+    # Rows without a key are dealt by their ids, so that they don't meet in one task; no key of master begins like that.
+    none = F.concat(F.lit("!"), F.coalesce(F.xxhash64(T.column(other_id)).cast("string"), F.lit("")))
+    out = other.select("*", *[F.coalesce(key(k), none).alias(f"__k{i}") for i, k in enumerate(tiers)])
     for i, (k, least) in enumerate(zip(tiers, ratios)):
         if least:
             equal = len(k) - len(least)
