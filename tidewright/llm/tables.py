@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
@@ -57,3 +58,37 @@ def removed(*tables: DataFrame) -> None:
         spark, path = df.sparkSession, df.written_to
         jvm = spark.sparkContext._jvm
         jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+#: Parts into which every key of a salted join falls.
+_SALTS = 16
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, salt: str) -> DataFrame:
+    """rows with the columns of table, which has each key (null too) once; rows of one key are dealt over ``_SALTS`` tasks by the column salt.
+
+    table is repeated as often; if it turns out to be small at run time, Spark broadcasts it instead.
+    """
+    part = F.pmod(F.xxhash64(salt), F.lit(_SALTS)).cast("int")
+    parts = table.withColumnRenamed(key, "__key").withColumn("__part", F.explode(F.array(*map(F.lit, range(_SALTS)))))
+    dealt = rows.withColumn("__salt", part)
+    return dealt.join(parts, dealt[key].eqNullSafe(parts["__key"]) & (dealt["__salt"] == parts["__part"])).drop("__key", "__part", "__salt")
+
+
+def ranked(df: DataFrame, order: list[Column], by: str | None = None, partitions: int | None = None) -> DataFrame:
+    """df, stored, with rank: each row's place from 0 in the given order, over all or within each value of ``by`` (which then leads the order).
+
+    Rows are dealt over tasks by ranges of the order; places within a range are counted there, and the ranges' sizes added up: no task sees all rows, nor all of one value.
+    """
+    keys = [] if by is None else [by]
+    sent = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    # Without a shuffle to write it back, the stored range is the one that the rows were dealt to.
+    held = written(sent.withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = written(held.groupBy("__range", *keys).agg(F.count("*").alias("__n")), "range-sizes")
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__range", *keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = held.withColumn("__at", F.row_number().over(Window.partitionBy("__range", *keys).orderBy(*order)))
+    same = within["__range"] == starts["__range"]
+    for k in keys:
+        same = same & within[k].eqNullSafe(starts[k])
+    return within.join(starts, same).select(*[within[c] for c in df.columns], (F.col("__start") + F.col("__at") - 1).alias("rank"))
