@@ -1,10 +1,16 @@
 """Linkage of two whole tables against brute force."""
 
+import random
 import re
 from collections import Counter
 
-from tidewright.plans import queries
-from tidewright.plans.combine import link
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidewright.plans import fuzzy, queries
+from tidewright.plans.combine import link, link_files
 
 SF = "/root/testdata/sf0.01"
 
@@ -25,7 +31,7 @@ def _plain(r):
 
 def test_link_fuzzy(spark):
     got = {r["contact_id"]: (r["Overlap_Tier"], r["Matched_With_Index"]) for r in queries.QUERIES["link_fuzzy"](spark, SF).collect()}
-    master, other = (sorted((_plain(r) for r in spark.sql(q).collect()), key=lambda r: r["id"]) for q in (queries.PLACED, queries.SUPPLIERS))
+    master, other = (sorted((_plain(r) for r in df.collect()), key=lambda r: r["id"]) for df in queries._two_files(spark, SF))
     want = {}
     for o in other:
         tests = [
@@ -46,3 +52,75 @@ def test_fuzzy_tiers(spark):
     frames = [spark.createDataFrame(rows, schema) for rows in (master, other)]
     found = link(*frames, "id", "id", "email", "phone", "name", "city", "state", "company", mode="fuzzy").collect()
     assert {r["id"]: (r["Overlap_Tier"], r["Matched_With_Index"]) for r in found} == {10: (1, 1), 11: (2, 2), 12: (None, None), 13: (3, 2), 14: (None, None), 15: (None, None)}
+
+
+def test_similar_values_equal_all_pairs(spark):
+    """Values that share long phrases, short ones, other alphabets, edits at both ends; hot keys are refined."""
+    rng = random.Random(4)
+    words = ["Clinic of ", "Saint ", "North", "east", " Labs", "Größe", "日本語", "x", "ab", " Ltd."]
+    values = ["".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) for _ in range(150)]
+    for v in list(values):
+        w = list(v)
+        for _ in range(rng.randrange(1, 5)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randrange(2)] = rng.choice(["", "q", "th", "é"])
+        values.append("".join(w))
+    values = list(dict.fromkeys(v for v in values if v)) + [f"Clinic of Saint {i:03}" for i in range(120)]
+    rows = [(rng.choice(["b1", "b1", "b1", "b2"]), v) for v in values]
+    extra = [(None, "Clinic of "), ("b1", None), ("b1", ""), ("b3", "alone"), ("b1", "Clinic of ")]
+    left, right = (spark.createDataFrame(part + extra, "block string, value string") for part in (rows[::2], rows[1::2]))
+    for percent in (75, 85, 95):
+        got = {(r["block"], r["a"], r["b"]): r["ratio"] for r in fuzzy.similar(left, right, percent).collect()}
+        want = {(p, a, b): s for p, a in rows[::2] + extra for q, b in rows[1::2] + extra if p and p == q and a and b and (s := _score(a, b)) >= percent}
+        assert got == want and len(want) > 100
+    assert fuzzy.similar(left.limit(0), right, 85).collect() == []
+    with pytest.raises(ValueError):
+        fuzzy.similar(left, right, 60)
+
+
+@given(st.text("abc é", min_size=1, max_size=14), st.text("abc é", min_size=1, max_size=14), st.sampled_from([71, 75, 85, 90, 99, 100]))
+@settings(max_examples=400, deadline=None)
+def test_similar_texts_share_keys(a, b, percent):
+    if fuzzy.ratio(a, b) >= percent:
+        for counts in (np.zeros(fuzzy._CELLS, int), np.arange(fuzzy._CELLS) % 7):
+            one, other = fuzzy.keys_of(a, percent, counts), fuzzy.keys_of(b, percent, counts)
+            assert set(one[0]) & set(other[0]) and set(one[1]) & set(other[1])
+
+
+def test_a_large_block(spark):
+    """Values of one block: what meets is a small part of all pairs."""
+    rng = random.Random(5)
+    make = lambda: "".join(rng.choice("etaoinshrdlucmfwypvbgkjqxz"[: rng.randrange(6, 27)]) for _ in range(rng.randrange(12, 24)))
+    values = [make() for _ in range(4000)]
+    near = [v[:3] + v[4:] for v in values[:300]]
+    left = spark.createDataFrame([("b", v) for v in values], "block string, value string")
+    right = spark.createDataFrame([("b", v) for v in near + [make() for _ in range(3700)]], "block string, value string")
+    got = {(r["a"], r["b"]) for r in fuzzy.similar(left, right, 85).collect()}
+    assert {(v, w) for v, w in zip(values, near)} <= got and len(got) < 1000
+
+
+def test_reasons_and_fields(spark):
+    schema = "id long, email string, phone string, name string, city string, state string, company string"
+    master = [(1, None, "555", "Maria Lopez", "Troy", "OH", "Acme Clinic"), (2, None, "555", "Maria Lopes", "Troy", "OH", "Acme Clinics"), (3, "z@x", None, None, None, None, None)]
+    other = [(10, None, "555", "Maria Lopes", None, None, None), (11, None, None, "Maria Lopze", "Troy", "OH", "Acme Clinicc"), (12, "Z@x", "555", "Maria Lopez", None, None, None)]
+    frames = [spark.createDataFrame(rows, schema) for rows in (master, other)]
+    shown = lambda **more: {r["id"]: (r["Overlap_Tier"], r["Matched_With_Index"], r["Match_Reason"]) for r in link(*frames, "id", "id", "email", "phone", "name", "city", "state", "company", **more).collect()}
+    fuzzy_ones = shown(mode="fuzzy")
+    assert fuzzy_ones[10] == (2, 1, "Tier 2: Phone + Name match (Name_Similarity=91%)")
+    assert fuzzy_ones[11] == (3, 1, "Tier 3: Company + Location + Name match (Company_Similarity=96%, Name_Similarity=91%)")
+    assert fuzzy_ones[12] == (1, 3, "Tier 1: Exact email match")
+    assert shown()[10] == (2, 2, "Tier 2: Phone + Name match")
+    assert shown(mode="fuzzy", fields=("email", "company"))[10] == (None, None, None)
+    assert shown(mode="fuzzy", fields=("email", "name", "phone"))[11] == (None, None, None)
+    assert shown(fields=("email",))[12] == (1, 3, "Tier 1: Exact email match")
+
+
+def test_files_are_compared_by_what_a_row_has(spark):
+    """The rules of several files: blank fields of the row don't count, name and one of company, city and state have to be there."""
+    schema = "id long, email string, phone string, name string, city string, state string, company string"
+    master = [(1, None, None, "Ann", "Troy", "OH", "Acme"), (2, None, None, "Ann", "Troy", None, None), (3, None, None, "Bob", None, None, "Acme")]
+    other = [(10, None, None, "ann ", "TROY", None, None), (11, None, None, "Ann", None, "OH", " "), (12, None, None, "Ann", "Troy", None, "Acme"), (13, None, None, "Ann", None, None, None), (14, None, None, "Bob", "Troy", None, "Acme"), (15, None, None, None, "Troy", "OH", "Acme"), (16, None, None, "Bob", None, None, "ACME")]
+    frames = {n: spark.createDataFrame(rows, schema) for n, rows in (("a", master), ("b", other))}
+    found = link_files(frames, "id", "email", "phone", "name", "city", "state", "company").filter("Source_File = 'b'").collect()
+    assert {r["id"]: (r["Overlap_Tier"], r["Matched_With_Index"]) for r in found} == {10: (3, 1), 11: (3, 1), 12: (3, 1), 13: (None, None), 14: (None, None), 15: (None, None), 16: (3, 3)}
+    assert {r["Match_Reason"] for r in found} == {None, "Company + Location Match"}

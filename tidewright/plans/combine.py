@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from tidewright.functions import text as T
+from tidewright.plans.fuzzy import similar
+from tidewright.stored import dropped, stored
 
 
 def combine(frames: list[DataFrame], columns: str = "all", fill: str | None = None) -> DataFrame:
@@ -43,107 +41,145 @@ def compatibility(frames: dict[str, DataFrame]) -> dict[str, list[str]]:
     return {"all": every, "common": [c for c in every if all(c in f.columns for f in frames.values())]} | {f"missing in {n}": [c for c in every if c not in f.columns] for n, f in frames.items()}
 
 
-def _ratio(a: str, b: str) -> int:
-    """Percent of the letters of both that a longest common subsequence covers, rounded."""
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full = left = (1 << len(a)) - 1
-    for c in b:
-        own = left & places.get(c, 0)
-        left = (left + own | left - own) & full
-    return round(200 * (len(a) - left.bit_count()) / (len(a) + len(b)))
+def _both(keys: list):
+    return reduce(lambda a, b: a & b, [k.isNotNull() for k in keys])
 
 
-@F.pandas_udf(IntegerType())
-def _ratios(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in pairs:
-        yield pd.Series([_ratio(x, y) for x, y in zip(a, b)], dtype="int32")
+def _norm(c: str) -> Column:
+    return F.nullif(F.lower(T.squeezed(T.column(c))), F.lit(""))
 
 
-def _near(a: str, b: str, percent: int):
-    """A test that all pairs with a ratio of percent or more pass: the edit distance is at most what the ratio leaves."""
-    return F.expr(f"2 * levenshtein({a}, {b}) * 100 <= (200 - {2 * percent - 1}) * (length({a}) + length({b}))")
+def _key(parts: list[Column]) -> Column:
+    return F.when(_both(parts), F.concat_ws("\x1f", F.lit("="), *parts))
 
 
-def _both(keys: list):
-    return reduce(lambda a, b: a & b, [k.isNotNull() for k in keys])
+REASONS = {1: "Tier 1: Exact email match", 2: "Tier 2: Phone + Name match", 3: "Tier 3: Company + Location + Name match"}
+FIELDS = ("email", "phone", "name", "city", "state", "company")
+
+
+def _first_exact(out: DataFrame, master: DataFrame, key: list[Column], m: Column, i: int) -> DataFrame:
+    """out with __m: the least m of the master's rows of its key."""
+    found = master.select(_key(key).alias(f"__k{i}"), m.alias("m")).filter(f"__k{i} is not null").groupBy(f"__k{i}").agg(F.min("m").alias(f"__m{i}"))
+    return out.join(found, f"__k{i}", "left")
+
 
+def _first_similar(left: DataFrame, master: DataFrame, equal: list[Column], near: list[Column], least: list[int], m: Column, i: int) -> DataFrame:
+    """__k, __m, __s: of each key of left the least master row whose near columns reach the ratios, one after the other, and the ratios."""
+    held = master.filter(_both(equal + near)).select(_key(equal).alias("block"), *[c.alias(f"a{j}") for j, c in enumerate(near)], m.alias("m"))
+    held = stored(held.groupBy("block", *[f"a{j}" for j in range(len(near))]).agg(F.min("m").alias("m")), "link-held")
+    asked = stored(left.filter(_both(equal + near)).select(_key(equal).alias("block"), *[c.alias(f"b{j}") for j, c in enumerate(near)], F.col(f"__k{i}").alias("k")).distinct(), "link-asked")
+    found, tables = None, [held, asked]
+    mine, theirs = asked, held
+    for j, percent in enumerate(least):
+        pairs = similar(theirs.select("block", F.col(f"a{j}").alias("value")), mine.select("block", F.col(f"b{j}").alias("value")), percent)
+        tables.append(pairs)
+        # What is similar so far is the next one's block: both rows stand under the pair that they met by.
+        step = F.concat_ws("\x1f", "block", "a", "b")
+        theirs = theirs.join(pairs.select("block", F.col("a").alias(f"a{j}"), "b", F.col("ratio").alias(f"s{j}")), ["block", f"a{j}"]).withColumn("a", F.col(f"a{j}")).withColumn("block", step).drop("a", "b")
+        mine = mine.join(pairs.select("block", "a", F.col("b").alias(f"b{j}")), ["block", f"b{j}"]).withColumn("b", F.col(f"b{j}")).withColumn("block", step).drop("a", "b").distinct()
+    ratios = F.array(*[F.col(f"s{j}") for j in range(len(least))])
+    found = stored(mine.select("block", "k").join(theirs.select("block", "m", ratios.alias("s")), "block").groupBy("k").agg(F.min(F.struct("m", "s")).alias("x")).select(F.col("k").alias(f"__k{i}"), F.col("x.m").alias(f"__m{i}"), F.col("x.s").alias(f"__s{i}")), "link-similar")
+    dropped(*tables)
+    return found
 
-def link(master: DataFrame, other: DataFrame, master_id: str, other_id: str, email: str, phone: str, name: str, city: str, state: str, company: str, mode: str = "exact") -> DataFrame:
+
+def link(master: DataFrame, other: DataFrame, master_id: str, other_id: str, email: str, phone: str, name: str, city: str, state: str, company: str, mode: str = "exact", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """Each row of other with its first match in master by three tiers: e-mail; phone and name; company, city, state and name.
 
     mode 'exact': all are equal. 'fuzzy': names of ratio 85 on equal phones; companies of 85 and names of 75 on equal
-    city and state. Exact tiers are equi-joins on the least id of a key, so no key fans out. Fuzzy ones join the
-    distinct values of what the tiers before have left on the equal columns, so they grow with the pairs of values
-    in a block. Blank keys stay out.
+    city and state. fields: those that count; the second tier needs phone and name, the third company, city or state (and is then compared whole).
+    Added are Overlap_Tier, Matched_With_Index and Match_Reason, in fuzzy mode with the ratios.
+
+    Exact tiers are equi-joins on the least id of a key, so no key fans out. Fuzzy ones find the pairs of values of a block by an index of
+    their pieces (plans/fuzzy.py), and join back to rows by key. Blank keys stay out.
     """
     if mode not in ("exact", "fuzzy"):
         raise ValueError("mode has to be exact or fuzzy")
-    norm = lambda c: F.nullif(F.lower(T.squeezed(T.column(c))), F.lit(""))
     digits = F.nullif(T.phone_digits(T.column(phone)), F.lit(""))
-    tiers = [[norm(email)], [digits, norm(name)], [norm(company), norm(city), norm(state), norm(name)]]
-    #: Of each tier how many of its keys are compared by ratio, and the least ratios; these keys come last.
-    ratios = [[], [], []]
-    if mode == "fuzzy":
-        tiers[2] = [norm(city), norm(state), norm(company), norm(name)]
-        ratios = [[], [85], [85, 75]]
-    key = lambda k: F.when(_both(k), F.concat_ws("\x1f", F.lit("="), *k))
+    tiers = {0: [_norm(email)]}
+    near: dict[int, tuple[list[Column], list[Column], list[int]]] = {}
+    if {"phone", "name"} <= set(fields):
+        tiers[1] = [digits, _norm(name)]
+        near[1] = ([digits], [_norm(name)], [85])
+    if {"company", "city", "state"} & set(fields):
+        tiers[2] = [_norm(company), _norm(city), _norm(state), _norm(name)]
+        near[2] = ([_norm(city), _norm(state)], [_norm(company), _norm(name)], [85, 75])
     # Rows without a key are dealt by their ids, so that they don't meet in one task; no key of master begins like that.
     none = F.concat(F.lit("!"), F.coalesce(F.xxhash64(T.column(other_id)).cast("string"), F.lit("")))
-    out = other.select("*", *[F.coalesce(key(k), none).alias(f"__k{i}") for i, k in enumerate(tiers)])
-    for i, (k, least) in enumerate(zip(tiers, ratios)):
-        if least:
-            equal = len(k) - len(least)
-            parts = lambda df, side, extra: df.filter(_both(k)).select(key(k[:equal]).alias("__block"), *[c.alias(f"{side}{j}") for j, c in enumerate(k[equal:])], *extra)  # noqa: B023, E731
-            left = out.filter(reduce(lambda a, b: a & b, [F.col(f"__m{j}").isNull() for j in range(i)]))
-            wanted = parts(left, "__b", [F.col(f"__k{i}")]).distinct()
-            held = parts(master, "__a", [F.col(master_id).alias("m")])
-            held = held.groupBy("__block", *[f"__a{j}" for j in range(len(least))]).agg(F.min("m").alias("m"))
-            pairs = wanted.join(held, "__block")
-            for j, percent in enumerate(least):
-                pairs = pairs.filter(_near(f"__a{j}", f"__b{j}", percent))
-            for j, percent in enumerate(least):
-                pairs = pairs.filter(_ratios(f"__a{j}", f"__b{j}") >= percent)
-            found = pairs.groupBy(f"__k{i}").agg(F.min("m").alias(f"__m{i}"))
+    out = other.select("*", *[F.coalesce(_key(k), none).alias(f"__k{i}") for i, k in tiers.items()])
+    m, done = F.col(master_id), []
+    for i, k in tiers.items():
+        if mode == "fuzzy" and i in near:
+            left = out.filter(reduce(lambda a, b: a & b, [F.col(f"__m{j}").isNull() for j in done]))
+            out = out.join(_first_similar(left, master, *near[i], m, i), f"__k{i}", "left")
         else:
-            found = master.select(key(k).alias(f"__k{i}"), F.col(master_id).alias("m")).filter(f"__k{i} is not null").groupBy(f"__k{i}").agg(F.min("m").alias(f"__m{i}"))
-        out = out.join(found, f"__k{i}", "left")
-    tier = F.when(F.col("__m0").isNotNull(), 1).when(F.col("__m1").isNotNull(), 2).when(F.col("__m2").isNotNull(), 3)
-    return out.withColumns({"Overlap_Tier": tier, "Matched_With_Index": F.coalesce("__m0", "__m1", "__m2")}).drop(*[f"__{x}{i}" for i in range(3) for x in "km"])
+            out = _first_exact(out, master, k, m, i)
+        done.append(i)
+    tier = F.coalesce(*[F.when(F.col(f"__m{i}").isNotNull(), i + 1) for i in done])
+    labels = {1: ["Name_Similarity"], 2: ["Company_Similarity", "Name_Similarity"]}
+    reason = F.lit(None).cast("string")
+    for i in reversed(done):
+        said = F.lit(REASONS[i + 1])
+        if mode == "fuzzy" and i in near:
+            scores = [F.concat(F.lit(f"{label}="), F.get(F.col(f"__s{i}"), j).cast("string"), F.lit("%")) for j, label in enumerate(labels[i])]
+            said = F.concat(said, F.lit(" ("), F.concat_ws(", ", *scores), F.lit(")"))
+        reason = F.when(F.col(f"__m{i}").isNotNull(), said).otherwise(reason)
+    added = {"Overlap_Tier": tier, "Matched_With_Index": F.coalesce(*[F.col(f"__m{i}") for i in done]), "Match_Reason": reason}
+    return out.withColumns(added).drop(*[f"__{x}{i}" for i in done for x in "kms"])
+
 
+FILE_REASONS = {1: "Email Match", 2: "Phone + Name Match", 3: "Company + Location Match"}
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder that all machines share."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
 
+def _patterns() -> list[tuple[str, ...]]:
+    """What a row of the third tier may have beside its name: company, city and state, one of them at least."""
+    places = ("company", "city", "state")
+    return [tuple(p for i, p in enumerate(places) if bits >> i & 1) for bits in range(1, 8)]
 
-REASONS = {1: "Exact Email Match", 2: "Phone + Name Match", 3: "Company + Location Match"}
+
+def _first_in_master(other: DataFrame, held: DataFrame, id: str, columns: dict[str, str]) -> DataFrame:
+    """other with Overlap_Tier and __at of its first match in held by the tiers of several files.
+
+    The third tier compares name and whatever of company, city and state the row itself has: one equi-join a pattern, in which rows
+    of another pattern have no key.
+    """
+    norm = {f: _norm(c) for f, c in columns.items() if f != "phone"} | {"phone": F.nullif(T.phone_digits(T.column(columns["phone"])), F.lit(""))}
+    keys: dict[str, list[Column]] = {"__k0": [norm["email"]], "__k1": [norm["phone"], norm["name"]]}
+    asked = {k: _key(v) for k, v in keys.items()}
+    for p in _patterns():
+        k = "__" + "_".join(p)
+        keys[k] = [norm[f] for f in p] + [norm["name"]]
+        lacking = reduce(lambda a, b: a & b, [norm[f].isNull() for f in ("company", "city", "state") if f not in p], F.lit(True))
+        asked[k] = F.when(lacking, _key(keys[k]))
+    none = F.concat(F.lit("!"), F.coalesce(F.xxhash64(T.column(id)).cast("string"), F.lit("")))
+    out = other.select("*", *[F.coalesce(v, none).alias(k) for k, v in asked.items()])
+    for k, v in keys.items():
+        found = held.select(_key(v).alias(k), F.col("__at").alias("m")).filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("m").alias(f"{k}_m"))
+        out = out.join(found, k, "left")
+    third = F.coalesce(*[F.col(f"{k}_m") for k in keys if k not in ("__k0", "__k1")])
+    tier = F.when(F.col("__k0_m").isNotNull(), 1).when(F.col("__k1_m").isNotNull(), 2).when(third.isNotNull(), 3)
+    return out.withColumns({"Overlap_Tier": tier, "__at": F.coalesce("__k0_m", "__k1_m", third)}).drop(*keys, *[f"{k}_m" for k in keys])
 
 
 def link_files(files: dict[str, DataFrame], id: str, email: str, phone: str, name: str, city: str, state: str, company: str) -> DataFrame:
-    """Rows of all files with their first match in what came before, by the exact tiers of link.
+    """Rows of all files with their first match in what came before: equal e-mail; equal phone and name; equal name and equal company,
+    city and state as far as the row has them (one of the three at least).
 
     The first file is the master, which grows by each file's rows without a match, so a file is not compared with
     itself. Columns Source_File, Overlap_Tier, Match_Reason, Matched_File and Matched_With_Index are added; columns of
-    a file that others lack are null there. Each file's matches are checkpointed, so plans don't double with files.
+    a file that others lack are null there. Each file's matches are stored, so plans don't double with files.
     """
     (first, master), *others = files.items()
-    names, shown = list(files), [id, email, phone, name, city, state, company]
-    place = lambda df, i: df.select(*dict.fromkeys(map(str, shown)), F.struct(F.lit(i).alias("file"), T.column(id).alias("id")).alias("__at"))
+    columns = {"email": email, "phone": phone, "name": name, "city": city, "state": state, "company": company}
+    names = list(files)
+    place = lambda df, i: df.select(*dict.fromkeys([id, *columns.values()]), F.struct(F.lit(i).alias("file"), T.column(id).alias("id")).alias("__at"))
     held = place(master, 0)
     done = [master.select(F.lit(first).alias("Source_File"), "*", F.lit(None).cast("int").alias("Overlap_Tier"), F.lit(None).cast("string").alias("Match_Reason"), F.lit(None).cast("string").alias("Matched_File"), F.lit(None).cast(master.schema[id].dataType).alias("Matched_With_Index"))]
     for i, (source, df) in enumerate(others, 1):
-        found = _cut(link(held, df, "__at", id, email, phone, name, city, state, company))
-        at = F.col("Matched_With_Index")
-        done.append(found.select(F.lit(source).alias("Source_File"), *map(T.column, df.columns), "Overlap_Tier", T.lookup(F.col("Overlap_Tier"), REASONS).alias("Match_Reason"), F.get(F.array(*map(F.lit, names)), at["file"]).alias("Matched_File"), at["id"].alias("Matched_With_Index")))
-        held = held.unionByName(place(found.filter("Overlap_Tier is null"), i))
+        found = stored(_first_in_master(df, held, id, columns), "link-file")
+        at = F.col("__at")
+        done.append(found.select(F.lit(source).alias("Source_File"), *map(T.column, df.columns), "Overlap_Tier", T.lookup(F.col("Overlap_Tier"), FILE_REASONS).alias("Match_Reason"), F.get(F.array(*map(F.lit, names)), at["file"]).alias("Matched_File"), at["id"].alias("Matched_With_Index")))
+        held = held.unionByName(place(found.filter("Overlap_Tier is null").drop("__at"), i))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), done)
 
 
@@ -153,7 +189,7 @@ def link_summary(linked: DataFrame) -> DataFrame:
     linked is what link_files returns.
     """
     tier = F.col("Overlap_Tier")
-    counts = [F.count("*").alias("records"), *[F.count_if(tier == k).alias(f"tier{k}_matches") for k in REASONS], F.count_if(tier.isNull()).alias("unique_records")]
+    counts = [F.count("*").alias("records"), *[F.count_if(tier == k).alias(f"tier{k}_matches") for k in FILE_REASONS], F.count_if(tier.isNull()).alias("unique_records")]
     return linked.rollup("Source_File").agg(*counts, F.round(F.count(tier) * 100 / F.count("*"), 2).alias("overlap_rate"))
 
 

@@ -33,6 +33,10 @@ SUPPLIERS = """select s_suppkey as contact_id, ' ' || replace(s_name, 'Supplier#
  case s_nationkey % 5 when 0 then 'ohio' when 1 then 'NY' when 2 then 'ak' when 3 then 'Puerto Rico' else 'Calif.' end as state from supplier"""
 
 
+#: The same contacts in other words: e-mails of every fourth only, names and companies with other spaces and case.
+REWRITTEN = f"select contact_id + 7 as contact_id, case when contact_id % 4 = 0 then upper(email) end as email, phone, '   ' || lower(full_name) as full_name, upper(company) || ' ' as company, case when contact_id % 9 > 0 then city end as city, state from ({PLACED}) p"
+
+
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CONTACTS.replace("from customer", "from {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
 
@@ -80,18 +84,23 @@ def combine_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combine([c, s]).select("name", "segment", "balance")
 
 
+def _two_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return _view(spark, PLACED, "customer", sf_dir), _view(spark, SUPPLIERS, "supplier", sf_dir)
+
+
+_CONTACT = ("contact_id", "contact_id", "email", "phone", "full_name", "city", "state", "company")
+
+
 def link_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = contacts(spark, sf_dir).withColumn("company", F.lit("x"))
-    master, other = own.filter("contact_id % 3 = 0"), own.filter("contact_id % 3 = 1")
-    return link(master, other, "contact_id", "contact_id", "email", "phone", "title", "street", "state", "company").select("contact_id", "Overlap_Tier", "Matched_With_Index")
+    """All contacts, written otherwise and under other ids, against themselves; phone and name don't count."""
+    master = _view(spark, PLACED, "customer", sf_dir)
+    other = _view(spark, REWRITTEN, "customer", sf_dir)
+    return link(master, other, *_CONTACT, fields=("email", "company", "city", "state")).select("contact_id", "Overlap_Tier", "Matched_With_Index", "Match_Reason")
 
 
 def _link_tables(mode: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for table in ("customer", "supplier"):
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-        found = link(spark.sql(PLACED), spark.sql(SUPPLIERS), "contact_id", "contact_id", "email", "phone", "full_name", "city", "state", "company", mode)
-        return found.select("contact_id", "Overlap_Tier", "Matched_With_Index")
+        return link(*_two_files(spark, sf_dir), *_CONTACT, mode).select("contact_id", "Overlap_Tier", "Matched_With_Index", "Match_Reason")
 
     return run
 
@@ -168,15 +177,14 @@ def city_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("contact_id", city_state_zip(F.expr("if(contact_id % 3 = 0, ' ', city)"), F.expr("if(contact_id % 4 = 0, null, state)"), F.expr("if(contact_id % 5 = 0, '', zip)")).alias("line"))
 
 
-#: A third file: the suppliers again, under other ids and without most e-mails.
-AGAIN = f"select contact_id + 5 as contact_id, full_name, case when contact_id % 9 = 0 then email end as email, phone, company, city, state from ({SUPPLIERS}) s"
-_FILES = {"customers": PLACED, "suppliers": SUPPLIERS, "again": AGAIN}
+#: A third file: the suppliers again, under other ids, without most e-mails and phones, and with some of company, city and state.
+AGAIN = f"""select contact_id + 5 as contact_id, full_name, case when contact_id % 9 = 0 then email end as email, case when contact_id % 8 = 0 then phone end as phone,
+ case when contact_id % 3 > 0 then company end as company, case when contact_id % 5 > 1 then city else ' ' end as city, case when contact_id % 7 > 2 then state end as state from ({SUPPLIERS}) s"""
 
 
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    for table in ("customer", "supplier"):
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    return link_files({name: spark.sql(sql) for name, sql in _FILES.items()}, "contact_id", "email", "phone", "full_name", "city", "state", "company")
+    customers, suppliers = _two_files(spark, sf_dir)
+    return link_files({"customers": customers, "suppliers": suppliers, "again": _view(spark, AGAIN, "supplier", sf_dir)}, "contact_id", *_CONTACT[2:])
 
 
 def link_three_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,13 +196,13 @@ def link_three_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyed(sql: str, file: int) -> str:
-    return f"select {file} * 1000000000 + contact_id as pos, contact_id as id, lower(email) as email, {_NUMBER.format('phone')} as phone, lower({_TRIM.format('full_name')}) as name, lower({_TRIM.format('company')}) as company, lower(city) as city, lower(state) as state from ({sql}) t"
+    return f"select {file} * 1000000000 + contact_id as pos, contact_id as id, lower(email) as email, {_NUMBER.format('phone')} as phone, lower({_TRIM.format('full_name')}) as name, nullif(lower({_TRIM.format('company')}), '') as company, nullif(lower(trim(city)), '') as city, lower(state) as state from ({sql}) t"
 
 
 def _tiers(other: str, master: str) -> str:
     return (
         f"select o.*, (select min(pos) from {master} m where m.email = o.email) as a, (select min(pos) from {master} m where m.phone = o.phone and m.name = o.name) as b,"
-        f" (select min(pos) from {master} m where m.company = o.company and m.city = o.city and m.state = o.state and m.name = o.name) as c from {other} o"
+        f" (select min(pos) from {master} m where coalesce(o.company, o.city, o.state) is not null and (o.company is null or m.company = o.company) and (o.city is null or m.city = o.city) and (o.state is null or m.state = o.state) and m.name = o.name) as c from {other} o"
     )
 
 
@@ -205,7 +213,7 @@ def _three_files() -> str:
         f" m1 as (select {own} from f0 union all select {own} from t1 where coalesce(a, b, c) is null), t2 as ({_tiers('f2', 'm1')}),"
         " u as (select 'customers' as s, id, cast(null as bigint) as a, cast(null as bigint) as b, cast(null as bigint) as c from f0 union all select 'suppliers', id, a, b, c from t1 union all select 'again', id, a, b, c from t2)"
         ' select s as "Source_File", id as contact_id, case when a is not null then 1 when b is not null then 2 when c is not null then 3 end as "Overlap_Tier",'
-        " case when a is not null then 'Exact Email Match' when b is not null then 'Phone + Name Match' when c is not null then 'Company + Location Match' end as \"Match_Reason\","
+        " case when a is not null then 'Email Match' when b is not null then 'Phone + Name Match' when c is not null then 'Company + Location Match' end as \"Match_Reason\","
         " case coalesce(a, b, c) // 1000000000 when 0 then 'customers' when 1 then 'suppliers' end as \"Matched_File\", coalesce(a, b, c) % 1000000000 as \"Matched_With_Index\" from u"
     )
 
@@ -309,10 +317,8 @@ PAIRS = {
     "text_standardize_phone_numbers": (_on_contacts("text_standardize_phone_numbers", ["phone"], phone_column="phone"), _C + f"select contact_id, coalesce({_NUMBER.format('phone')}, '') as phone from contacts"),
     "link_exact": (
         link_exact,
-        _C + "select o.contact_id, case when a.m is not null then 1 when b.m is not null then 2 when c.m is not null then 3 end as \"Overlap_Tier\", coalesce(a.m, b.m, c.m) as \"Matched_With_Index\" from contacts o"
-        " left join (select email, min(contact_id) as m from contacts where contact_id % 3 = 0 group by email) a on a.email = o.email"
-        " left join (select phone, title, min(contact_id) as m from contacts where contact_id % 3 = 0 group by 1, 2) b on b.phone = o.phone and b.title = o.title"
-        " left join (select street, state, title, min(contact_id) as m from contacts where contact_id % 3 = 0 group by 1, 2, 3) c on c.street = o.street and c.state = o.state and c.title = o.title where o.contact_id % 3 = 1",
+        f"with m as ({_keyed(PLACED, 0)}), o as ({_keyed(REWRITTEN, 0)}), f as (select o.id, (select min(id) from m where m.email = o.email) as a, (select min(id) from m where m.company = o.company and m.city = o.city and m.state = o.state and m.name = o.name) as c from o)"
+        " select id as contact_id, case when a is not null then 1 when c is not null then 3 end as \"Overlap_Tier\", coalesce(a, c) as \"Matched_With_Index\", case when a is not null then 'Tier 1: Exact email match' when c is not null then 'Tier 3: Company + Location + Name match' end as \"Match_Reason\" from f",
     ),
     "link_files": (link_three_files, _three_files()),
     "link_files_summary": (
@@ -351,7 +357,8 @@ PAIRS = {
         f" o as (select contact_id as id, lower(email) as email, {_NUMBER.format('phone')} as phone, lower({_TRIM.format('full_name')}) as name, lower({_TRIM.format('company')}) as company, lower(city) as city, lower(state) as state from ({SUPPLIERS})),"
         " f as (select o.id, (select min(id) from m where m.email = o.email) as a, (select min(id) from m where m.phone = o.phone and m.name = o.name) as b,"
         " (select min(id) from m where m.company = o.company and m.city = o.city and m.state = o.state and m.name = o.name) as c from o)"
-        " select id as contact_id, case when a is not null then 1 when b is not null then 2 when c is not null then 3 end as \"Overlap_Tier\", coalesce(a, b, c) as \"Matched_With_Index\" from f",
+        " select id as contact_id, case when a is not null then 1 when b is not null then 2 when c is not null then 3 end as \"Overlap_Tier\", coalesce(a, b, c) as \"Matched_With_Index\","
+        " case when a is not null then 'Tier 1: Exact email match' when b is not null then 'Tier 2: Phone + Name match' when c is not null then 'Tier 3: Company + Location + Name match' end as \"Match_Reason\" from f",
     ),
 }
 
