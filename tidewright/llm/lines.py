@@ -9,8 +9,7 @@ Lines of equal sets are one class (by 128 bits of the SHA-256 of the sorted word
 Of each class words are ordered by rarity: by classes of their count in ``2**bits`` hashed cells, then by hash.
 Similar sets share a word in their prefixes, with enough words left behind it on both sides (positional
 filter) and sizes alike (length filter). Bits of parity by part of the words bound the difference of two sets
-from below and drop more pairs; what passes is verified on the words themselves, for each line the earliest
-candidate first.
+from below and drop more pairs; what passes is verified on the words themselves.
 
 In each bucket of a word all lines are compared with its earliest, which takes out most of a group of near copies. Then
 buckets with up to ``_LARGE`` lines that haven't gone are joined, these lines with all others. In larger ones the lines that
@@ -136,10 +135,13 @@ def _side(rows: DataFrame, name: str) -> DataFrame:
     return rows.select("word", F.struct("id", "line").alias(name), *[F.col(c).alias(c + name) for c in _ROW])
 
 
-def _fits(percent: int) -> Column:
-    """Whether the sets of x and y, y being earlier, may be similar."""
+def _fits(percent: int, packed: bool = False) -> Column:
+    """Whether the sets of x and y, y being earlier, may be similar; packed: places are doubled, and odd where a line is open, as x has to be."""
+    posx, posy = ("(posx div 2)", "(posy div 2)") if packed else ("posx", "posy")
     need = f"(({percent} * (nx + ny) + {99 + percent}) div {100 + percent})"
-    return F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and least(nx - posx, ny - posy) >= {need} and bit_count(p1x ^ p1y ^ p2x ^ p2y) + bit_count(p2x ^ p2y) <= nx + ny - 2 * {need} and y < x")
+    test = f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and least(nx - {posx}, ny - {posy}) >= {need} and bit_count(p1x ^ p1y ^ p2x ^ p2y) + bit_count(p2x ^ p2y) <= nx + ny - 2 * {need}"
+    # In one expression, so that no part of it is tested on one side before the shuffle that both share.
+    return F.expr(f"case when posx % 2 = 1 then {test} and y < x else false end" if packed else f"{test} and y < x")
 
 
 class _Judge:
@@ -195,20 +197,25 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS
     removed(described)
 
     # In a bucket's comparison with its earliest line most lines of a group of near copies go; only the others are compared further.
-    rows = _exploded(placed.filter("not equal").withColumn("open", F.lit(True))).repartition("word")
+    # Pivots are found before the shuffle as far as may be, rows of words that no other line has don't matter for them.
+    rows = _exploded(placed.filter("not equal").withColumn("open", F.lit(True)))
     pivots = rows.groupBy("word").agg(F.min(F.struct("id", "line", *_ROW)).alias("p"), F.count("*").alias("c")).filter("c > 1").select("word", "p.*")
     stars = written(_side(rows, "x").join(_side(pivots, "y"), "word").filter(_fits(percent)).select("x", "y").distinct(), "line-stars")
     at_first = _Judge(docs, stars.select(F.explode(F.array("x", "y")).alias("at")).select("at.*"), percent)
     early = at_first.similar(stars)
+    removed(at_first.sets)
 
     gone = early.select("x.*", F.lit(False).alias("open"))
-    marked = placed.filter("not equal").join(gone, ["id", "line"], "left").withColumn("open", F.col("open").isNull())
-    rows = _exploded(marked)
+    marked = written(placed.join(gone, ["id", "line"], "left").withColumn("open", F.col("open").isNull()), "line-marked")
+    removed(placed)
+    rows = _exploded(marked.filter("not equal"))
     often = F.col("open") & (F.col("word") >= _token(_LARGE.bit_length() - 1))
     large = written(rows.filter(often).groupBy("word").count().filter(F.col("count") > _LARGE).select("word"), "line-large")
     any_large = not large.isEmpty()
     small = (rows.join(large, "word", "left_anti") if any_large else rows).repartition("word")
-    pairs = _side(small.filter("open"), "x").join(_side(small, "y"), "word").filter(_fits(percent)).select("x", "y").distinct()
+    # Both sides are the same rows, so they are shuffled once; which of them are open stands in their places.
+    both = small.withColumn("pos", F.col("pos") * 2 + F.col("open").cast("int"))
+    pairs = _side(both, "x").join(_side(both, "y"), "word").filter(_fits(percent, packed=True)).select("x", "y").distinct()
     pairs = written(pairs.join(stars, ["x", "y"], "left_anti"), "line-pairs")
 
     needed, hot = pairs.select(F.explode(F.array("x", "y")).alias("at")).select("at.*"), None
@@ -216,17 +223,14 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS
         hot = written(rows.join(large, "word", "left_semi"), "line-hot")
         needed = needed.unionByName(hot.select("id", "line"))
     judge = _Judge(docs, needed, percent)
-    judge.tables += [placed, large, stars, pairs, *at_first.tables, *([] if hot is None else [hot])]
-    out = placed.filter("equal").select("id", "line").unionByName(early.select("x.*"))
+    judge.tables += [marked, large, stars, pairs, *at_first.tables[1:], *([] if hot is None else [hot])]
+    out = marked.filter("equal").select("id", "line").unionByName(early.select("x.*"))
     if hot is not None:
         more, late = _hot_rounds(hot, judge, percent)
         pairs = written(pairs.join(more.select("x").distinct(), "x", "left_anti").unionByName(late).distinct(), "line-pairs")
         judge.tables.append(pairs)
         out = out.unionByName(more.select("x.*"))
-    first = pairs.groupBy("x").agg(F.min("y").alias("y"))
-    sure = judge.similar(first)
-    rest = judge.similar(pairs.join(sure, "x", "left_anti").join(first, ["x", "y"], "left_anti"))
-    out = written(out.unionByName(sure.select("x.*")).unionByName(rest.select("x.*")).distinct(), "lines-gone")
+    out = written(out.unionByName(judge.similar(pairs).select("x.*")).distinct(), "lines-gone")
     removed(*judge.tables)
     return out
 
