@@ -230,7 +230,7 @@ def test_one_row_and_none(table):
 def test_traversal_of_a_block(n):
     leaves = [h(str(i)) for i in range(n)]
     levels = tree(leaves)
-    depth = 3
+    depth = 3  # more heights than the blocks of the queries have
     full = levels + [[h(levels[-1][0])]] * 0
     while len(full) <= depth:
         full.append([h(*full[-1])])

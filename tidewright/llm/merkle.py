@@ -10,7 +10,7 @@ doesn't depend on the number of leaves beyond the block's own digests. Above the
 tasks; from the root down each run hands its proof on to its members. A block gets its upper proof once, beside its leaves.
 
 Scale: texts are read once, for the leaves. Leaves are ranked by ranges of source and id, so a source with a third of all rows is no hot
-key. A task holds one block of 4,096 digests and its proofs at a time; runs are of 16 nodes. Nothing is gathered on the driver but the
+key. A task holds one block of 256 digests and its proofs at a time; runs are of 16 nodes. Nothing is gathered on the driver but the
 largest number of nodes of a tree.
 
 Cases: a null field is ``-`` in the leaf, so that null and empty differ. Null sources are one source, the first. Rows without
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidewright.llm.tables import ranked, removed, salted_join, written
 
 #: Branches of a node, and levels of a block that one task traverses.
-ARITY, LEVELS = 16, 3
+ARITY, LEVELS = 16, 2
 #: The fields of a leaf, in order.
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 _PROOF = "array<struct<left: string, right: string>>"
