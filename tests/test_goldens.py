@@ -60,6 +60,22 @@ def test_patterns_and_blanks(spark):
     assert (kept(), kept(remove_blanks=True), kept(preset="Remove Blanks")) == ([2, 3, 4], [3, 4], [1, 3, 4])
 
 
+def test_states_by_the_ordered_names(spark):
+    """Beginnings count in the order of a table that ends with Guam."""
+    want = {"America": "AMERICA", "Washington DC": "WA", "washington d.c.": "WA", "District of Columbia": "DC", "new": "NH", "Virginia Beach": "VA", "West": "WV", "oh": "OH", "Miss": "MS", "guam": "GU", "American Samoa": "AMERICAN SAMOA", " texas ": "TX", "None": None, "nan": None, "": None, "Arkansas City": "AR", "v": "VT", "xyz": "XYZ"}
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(want)], "i int, s string")
+    assert [r["s"] for r in apply(df, "standardize_state", columns=["s"]).orderBy("i").collect()] == list(want.values())
+
+
+def test_blanks_of_unicode(spark):
+    assert values(spark, ["\u00a0 a\u3000\u2009b \u0085", "\x1c c \u202f"], lambda c: (T.squeezed(c), T.stripped(c))) == [("a b", "a\u3000\u2009b"), ("c", "c")]
+
+
+def test_names_that_differ_by_case(spark):
+    df = spark.createDataFrame([("a", "b")], "Name string, name string")
+    assert tuple(apply(df, "text_uppercase", columns=["name"]).first()) == ("a", "B")
+
+
 def test_names(spark):
     df = spark.createDataFrame([("Smith, John",), ("John Smith",), ("Cher",)], "n string")
     out = apply(df, "parse_contact_name", column="n", name_format="Last, First")

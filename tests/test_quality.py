@@ -39,11 +39,23 @@ def test_kinds_by_content(spark):
 def test_suggested_steps_run(spark):
     df = spark.createDataFrame([(1, " a ", "po box 1", "AK", "x"), (1, "B", "PO BOX 2", "NY", "a@b.co")], "id int, name string, street string, state string, email string")
     steps = suggested(quality(df))
-    assert [s["operation_id"] for s in steps] == ["text_uppercase", "data_remove_duplicates", "remove_excluded_states", "validate_email", "flag_rows_containing", "text_trim"]
+    assert [s["operation_id"] for s in steps] == ["text_uppercase", "data_remove_duplicates", "conditional_flag_contains", "validate_email", "conditional_flag_contains", "text_trim"]
     assert all(s["operation_id"] in REGISTRY for s in steps)
     assert Workflow(steps, ["id", "name"]).validate(df) == [] and Workflow(steps, ["id", "name"]).run(df).count() <= 1
 
 
+def test_suggested_flags_are_what_was_counted(spark):
+    """No row goes for its state or box; as many are flagged as the findings counted."""
+    rows = [(1, "P. O. BOX 2", "GU"), (2, "1 Main", "mp"), (3, "post office  box 9", "Hawaii"), (4, "POBOX", "OH"), (5, None, None)]
+    df = spark.createDataFrame(rows, "id int, street string, state string")
+    counted = {r["finding"]: r["affected_rows"] for r in quality(df).collect()}
+    steps = [s for s in suggested(quality(df)) if s["operation_id"] == "conditional_flag_contains"]
+    out = Workflow(steps, ["id"]).run(df)
+    assert out.count() == 5
+    assert out.filter("Excluded_State_Flag").count() == counted["excluded_states"] == 2
+    assert out.filter("PO_Box_Flag").count() == counted["po_boxes"] == 3
+
+
 def test_city_line(spark):
     rows = [("Chicago", "IL", "60601"), ("Chicago", "IL", None), ("Chicago", None, ""), (" ", "IL", "60601"), (None, None, "60601"), (None, None, None), ("Chicago", None, "60601")]
     df = spark.createDataFrame(rows, "c string, s string, z string")

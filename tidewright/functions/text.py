@@ -19,12 +19,16 @@ def text(c: Column) -> Column:
     return c.cast("string")
 
 
+#: White space as Python's strip has it, the blanks of Unicode included.
+_BLANK = r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(text(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(text(c), f"^{_BLANK}+|{_BLANK}+$", "")
 
 
 def squeezed(c: Column) -> Column:
-    return F.regexp_replace(stripped(c), r"\s+", " ")
+    return F.regexp_replace(stripped(c), f"{_BLANK}+", " ")
 
 
 def plain_number_text(c: Column) -> Column:

@@ -16,6 +16,8 @@ STATE_SHORT = {
     "ALA": "AL", "ARIZ": "AZ", "ARK": "AR", "CALIF": "CA", "COLO": "CO", "CONN": "CT", "DEL": "DE", "FLA": "FL", "ILL": "IL", "IND": "IN", "KANS": "KS", "KAN": "KS", "MASS": "MA", "MICH": "MI", "MINN": "MN", "MISS": "MS",
     "MONT": "MT", "NEBR": "NE", "NEB": "NE", "NEV": "NV", "OKLA": "OK", "ORE": "OR", "PENN": "PA", "TENN": "TN", "TEX": "TX", "WASH": "WA", "WIS": "WI", "WYO": "WY",
 }
+# The names by whose beginnings states are also told, in order.
+PREFIX_STATES = {name: code for name, code in STATE_NAMES.items() if name not in ("WASHINGTON DC", "WASHINGTON D.C.", "AMERICAN SAMOA", "NORTHERN MARIANA ISLANDS")}
 STATES_51 = sorted({v for v in STATE_NAMES.values() if v not in ("PR", "VI", "GU", "AS", "MP")})
 STATE_CODES = sorted(set(STATE_NAMES.values()))
 USA = ["US", "USA", "UNITED STATES", "UNITED STATES OF AMERICA"]

@@ -70,6 +70,8 @@ class Operation:
         return self.apply(df, p, order)
 
 
+#: Column that tells rows apart through a workflow; operations that choose columns keep it.
+ROW_ID = "_row_id"
 REGISTRY: dict[str, Operation] = {}
 ALIASES = {"text_title_case": "text_titlecase"}
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import text as T
 from tidewright.functions import values as V
-from tidewright.operators.base import each, operation
+from tidewright.operators.base import ROW_ID, each, operation
 
 for _id, _f in {"text_uppercase": lambda c: F.upper(T.text(c)), "text_lowercase": lambda c: F.lower(T.text(c)), "text_titlecase": T.title, "text_trim": T.squeezed}.items():
     operation(_id, "Text", columns=list)(lambda df, p, order, f=_f: each(df, p["columns"], f))
@@ -132,9 +132,9 @@ def state(df, p, order):
     def one(c):
         own = F.upper(T.stripped(c))
         out = own
-        for name, code in reversed(V.STATE_NAMES.items()):
+        for name, code in reversed(V.PREFIX_STATES.items()):
             out = F.when(F.lit(name).startswith(own) | own.startswith(name), code).otherwise(out)
-        return F.when(own == "", F.lit(None).cast("string")).when(F.length(own) == 2, own).otherwise(F.coalesce(T.lookup(own, V.STATE_NAMES), out))
+        return F.when(own.isin("", "NAN", "NONE"), F.lit(None).cast("string")).when(F.length(own) == 2, own).otherwise(F.coalesce(T.lookup(own, V.PREFIX_STATES), out))
 
     return each(df, p["columns"], one)
 
@@ -238,8 +238,8 @@ def remove_columns(df, p, order):
 @operation("clean_keep_columns", "Cleaning", columns_to_keep=list)
 def keep_columns(df, p, order):
     """Keeps columns, in the order of the table."""
-    kept = [c for c in df.columns if c in p["columns_to_keep"]]
-    if not kept:
+    kept = [c for c in df.columns if c in p["columns_to_keep"] or c == ROW_ID]
+    if not set(kept) - {ROW_ID}:
         raise ValueError("clean_keep_columns: none of the columns exists")
     return df.select(*map(T.column, kept))
 
@@ -248,7 +248,7 @@ def keep_columns(df, p, order):
 def reorder(df, p, order):
     """Columns in a given order."""
     first = [c for c in p["column_order"] if c in df.columns]
-    return df.select(*map(T.column, first + [c for c in df.columns if c not in first and p["keep_unlisted"]]))
+    return df.select(*map(T.column, first + [c for c in df.columns if c not in first and (p["keep_unlisted"] or c == ROW_ID)]))
 
 
 @operation("text_rename_column", "Text", old_name=str, new_name=str)

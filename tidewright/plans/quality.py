@@ -118,10 +118,11 @@ def suggested(findings: DataFrame) -> list[dict]:
             "sparse_rows": lambda: ("clean_remove_blank_rows", {}),
             "whitespace": lambda: ("text_trim", {"columns": columns}),  # noqa: B023
             "capitalisation": lambda: ("text_uppercase", {"columns": columns}),  # noqa: B023
-            "po_boxes": lambda: ("flag_rows_containing", {"columns": columns, "preset": "PO Boxes", "flag_column": "PO_Box_Flag"}),  # noqa: B023
-            "excluded_states": lambda: ("remove_excluded_states", {"column": columns[0]}),  # noqa: B023
+            "excluded_states": lambda: ("conditional_flag_contains", {"column": columns[0], "text": f"^({'|'.join(V.COSTLY_STATES)})$", "flag_column": "Excluded_State_Flag"}),  # noqa: B023
             "invalid_emails": lambda: ("validate_email", {"column": columns[0]}),  # noqa: B023
         }.get(row["finding"])
+        if row["finding"] == "po_boxes":  # a flag for each column, by the pattern that the finding counted
+            steps += [{"operation_id": "conditional_flag_contains", "parameters": {"column": c, "text": V.PO_BOX.removeprefix("(?i)"), "flag_column": "PO_Box_Flag" + (f"_{c}" if i else "")}} for i, c in enumerate(columns)]
         if make:
             operation, parameters = make()
             steps.append({"operation_id": operation, "parameters": parameters})

@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 #: What operators rely on: column names as written, one time zone, plans adapted at run time.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.caseSensitive": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
