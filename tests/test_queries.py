@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tidewright.plans.queries import PAIRS
+from tidewright.plans.registry import PAIRS
 
 SF = "/root/testdata/sf0.001"
 
