@@ -6,8 +6,8 @@ ngram_jaccard  of documents linked by five-word shingles at 0.8 or more the one
 decontaminate  documents that share a passage with the benchmark go.
 byte_bpe       texts become ids; the last stage returns doc_id, n_tokens, ids and a hash of the bytes they decode to.
 
-Cases, in every stage: a null text is an empty one. Of rows that share an id line_dedup judges each, ngram_jaccard lets one
-stay. Rows without an id are judged by language_id, decontaminate and byte_bpe one by one; line_dedup and ngram_jaccard, which order
+Cases, in every stage: a null text is an empty one. Of rows that share an id line_dedup judges each; ngram_jaccard lets the one stay
+whose text has the least hash (then the least row), and the others go. Rows without an id are judged by language_id, decontaminate and byte_bpe one by one; line_dedup and ngram_jaccard, which order
 documents by id, let them pass. An empty table stays empty. Columns other than those of documents are dropped by the first stage.
 """
 
@@ -37,14 +37,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard.jaccard_components(docs, n=5, percent=80)
     others = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     kept = docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
-    return kept.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS))
+    # Of rows of one id the one of least hash stays, wherever they lie; ids that repeat are few, so only their rows are grouped.
+    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    row = F.struct(*COLUMNS)
+    least = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), row.alias("row"))).alias("x")).select("x.row.*")
+    return kept.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(least.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Rows are told apart by id and text, so that those without an id are judged one by one.
-    keyed = docs.withColumn("__key", F.concat_ws(":", F.xxhash64("text"), "doc_id"))
+    keyed = docs.withColumn("__key", F.concat_ws(":", F.md5(F.coalesce("text", F.lit(""))), "doc_id"))
     found = decontaminate.decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__key")
     return keyed.join(found.filter("contaminated").select("__key"), "__key", "left_anti").select(*COLUMNS)
 

@@ -61,7 +61,8 @@ def test_rows_without_ids_and_repeated_ones(spark):
     docs = spark.createDataFrame(rows, schema)
     kept = corpus_pipeline.decontamination(spark, docs, SF).collect()
     assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept) == [("2", ""), ("2", "quite other words"), ("2", "quite other words"), ("None", "own words here")]
-    assert len([r for r in corpus_pipeline.ngram_jaccard(spark, docs, SF).collect() if r["doc_id"] == 2]) == 1
+    stays = {tuple(r) for parts in (1, 7) for r in corpus_pipeline.ngram_jaccard(spark, docs.repartition(parts), SF).collect() if r["doc_id"] == 2}
+    assert len(stays) == 1  # the same row, however rows are dealt
     none = spark.createDataFrame([], schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).collect() == []

@@ -211,3 +211,11 @@ def test_empty_tables(table):
 def test_query_columns(spark):
     row = queries.QUERIES["op1_decontamination"](spark, SF).filter("not contaminated").first()
     assert row["items_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_decontamination_judges_each_row(table):
+    """Null and repeated ids, equal rows among them: a row each."""
+    passage = " ".join(f"w{i}" for i in range(12))
+    rows = [(None, f"x {passage}"), (None, "clean text"), (None, "clean text"), (7, passage), (7, "other words"), (7, "other words"), (8, None), (8, None)]
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["contaminated"]) for r in decontaminate(table(rows), table([("a", passage)], "item_id string, text string")).collect())
+    assert got == [("7", 2, 0, False), ("7", 2, 0, False), ("7", 12, 12, True), ("8", 0, 0, False), ("8", 0, 0, False), ("None", 2, 0, False), ("None", 2, 0, False), ("None", 13, 12, True)]

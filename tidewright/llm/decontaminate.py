@@ -13,7 +13,8 @@ splits a skewed side if not.
 Cases: null or empty text has no words and no hits. Items without words have no windows; items
 of fewer than ``window`` words are one window of all their words. Repeated items count as one if
 their ids agree, each by its id if not; hits of items with a null id count, only the id is left out
-of the list of ids. Rows that repeat a document id are returned as one row: hits of all, the largest word count. Other
+of the list of ids. Each row of documents is judged for itself and gives one row, whether its id is null or repeated: rows are
+told apart by id, a hash of the text and their place in the scan (which matters for equal rows only, so a task that runs again does no harm). Other
 columns are ignored, whatever their names.
 """
 
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 
 from tidewright.llm import words as W
 
+#: What tells rows of documents apart.
+_KEY = ["id", "text_hash", "at_row"]
 _FOUND = "h long, size int, at int, lead int, context binary"
 _ARROW = pa.struct([("h", pa.int64()), ("size", pa.int32()), ("at", pa.int32()), ("lead", pa.int32()), ("context", pa.binary())])
 
@@ -102,9 +105,9 @@ def _document_side(docs: DataFrame, bitmap, bits: int, window: int, k: int, shor
                 for d, h, size, at, lead, context in _windows_of(block, window, k, short, False, test):
                     row = found[block.rows[d]] = found[block.rows[d]] or []
                     row.append({"h": int(h.astype(np.int64)), "size": size, "at": at, "lead": lead, "context": context})
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(found, pa.list_(_ARROW))], ["id", "n_words", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n_words), pa.array(found, pa.list_(_ARROW))], ["id", "text_hash", "at_row", "n_words", "found"])
 
-    return docs.mapInArrow(run, f"id {id_type}, n_words long, found array<struct<{_FOUND.replace(' ', ':').replace(',:', ',')}>>")
+    return docs.mapInArrow(run, f"id {id_type}, text_hash long, at_row long, n_words long, found array<struct<{_FOUND.replace(' ', ':').replace(',:', ',')}>>")
 
 
 def _spans(joined: DataFrame, window: int, k: int) -> DataFrame:
@@ -113,7 +116,7 @@ def _spans(joined: DataFrame, window: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts, ends = [], []
-            for size, at, lead, mine, item_size, item_lead, theirs in zip(*(batch.column(i).to_pylist() for i in range(2, 9))):
+            for size, at, lead, mine, item_size, item_lead, theirs in zip(*(batch.column(i).to_pylist() for i in range(4, 11))):
                 start = end = None
                 if theirs is not None and size == item_size and at is not None:
                     if size < window:
@@ -131,14 +134,14 @@ def _spans(joined: DataFrame, window: int, k: int) -> DataFrame:
                             start, end = at - left, at + right
                 starts.append(start)
                 ends.append(end)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), batch.column(9)], ["id", "n_words", "start", "end", "item"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), batch.column(11)], [*_KEY, "n_words", "start", "end", "item"])
 
     id_type = joined.schema[0].dataType.simpleString()
-    return joined.mapInArrow(run, f"id {id_type}, n_words long, start int, end int, item string")
+    return joined.mapInArrow(run, f"id {id_type}, text_hash long, at_row long, n_words long, start int, end int, item string")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, k: int = 6, bloom_bits: int = 22) -> DataFrame:
-    """Per document: id, n_words, spans (array of start, end in words: merged hits), n_hit, items (sorted ids as strings), contaminated,
+    """Per row of docs: id, n_words, spans (array of start, end in words: merged hits), n_hit, items (sorted ids as strings), contaminated,
     null_item (whether an item with a null id is among the hits).
 
     window: words of a passage that counts as shared; k: words of a fingerprint (1 to window);
@@ -146,17 +149,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     if not 1 <= k <= window or not 6 <= bloom_bits <= 28:
         raise ValueError("k has to lie in 1..window and bloom_bits in 6..28")
-    left = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    left = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.monotonically_increasing_id().alias("at_row"))
     right = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
     prints = _benchmark_side(right, window, k)
     short = [r[0] for r in prints.filter(F.col("item_size") < window).select("item_size").distinct().collect()]  # < window rows
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(prints.select("h"), bloom_bits))
-    found = _document_side(left, bitmap, bloom_bits, window, k, short).select("id", "n_words", F.explode_outer("found").alias("f"))
+    found = _document_side(left, bitmap, bloom_bits, window, k, short).select(*_KEY, "n_words", F.explode_outer("found").alias("f"))
     # A document without hits keeps one row; its key is its own, so that such rows don't meet in one task.
-    found = found.select("id", "n_words", F.coalesce("f.h", F.xxhash64("id", "n_words")).alias("h"), "f.size", "f.at", "f.lead", "f.context")
-    joined = found.join(prints, "h", "left").select("id", "n_words", "size", "at", "lead", "context", "item_size", "item_lead", "item_context", "item")
+    found = found.select(*_KEY, "n_words", F.coalesce("f.h", F.xxhash64(*_KEY)).alias("h"), "f.size", "f.at", "f.lead", "f.context")
+    joined = found.join(prints, "h", "left").select(*_KEY, "n_words", "size", "at", "lead", "context", "item_size", "item_lead", "item_context", "item")
     spans = _spans(joined, window, k)
-    per_doc = spans.groupBy("id").agg(
+    per_doc = spans.groupBy(*_KEY).agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "end")))).alias("raw"),
         F.array_sort(F.collect_set(F.when(F.col("start").isNotNull(), F.col("item")))).alias("items"),
