@@ -93,7 +93,7 @@ def write_text(lines: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False, quote_all: bool = False, header: bool = True) -> None:
     """CSV files, or text files with every field quoted; one_file is for small results."""
-    (df.coalesce(1) if one_file else df).write.options(header=header, quoteAll=quote_all, escape='"').mode("overwrite").csv(path)
+    (df.coalesce(1) if one_file else df).write.options(header=header, quoteAll=quote_all, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).mode("overwrite").csv(path)
 
 
 def write_grouped(df: DataFrame, path: str, column: str) -> None:
