@@ -36,7 +36,7 @@ _ID, _TEXT = "__id", "__text"
 #: Distinct words that a line needs to be judged, unless said otherwise.
 MIN_WORDS = 5
 #: Cells of word counts and of bitmaps at most, as powers of two, and characters of a table that are put together at a time.
-_WORD_BITS, _BITMAP_BITS, _PART = 20, 24, 4096
+_WORD_BITS, _BITMAP_BITS, _PART = 18, 24, 4096
 #: Classes in a bucket that are compared all with all; at most so many rounds of comparisons with one, and pairs a line that end them early, as a round that removes few does.
 _LARGE, _ROUNDS, _DENSE = 1 << 8, 6, 16
 
