@@ -14,6 +14,7 @@ from tidewright.functions import headers as H
 from tidewright.plans.lineage import identified, preview
 from tidewright.plans.mapping import Mapped, apply_mapping, infer, issue_summary, to_standard
 from tidewright.plans.queries import _C, _MAIL, _TRIM, MESSY, WORKFLOW, _view, contacts
+from tidewright.plans.validation import occurrences, pending, status_counts, validated
 from tidewright.plans.workflow import Workflow
 from tidewright.sources.records import combine_records
 from tidewright.stored import _delete, shared_folder
@@ -45,6 +46,7 @@ def record_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(found.bad.select(F.get("fields", F.lit(0)).cast("bigint").alias("key"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("phone"), "problem"))
 
 
+MESSY_WITH_ID = MESSY.replace("select contact_id % 1100 as customer_id", "select contact_id, contact_id % 1100 as customer_id")
 #: The columns of MESSY under names that files have.
 _NAMES = {"customer_id": "Customer ID", "full_name": "Full Name", "email": "E-mail", "phone": "Phone #", "street": "Street Address", "company": "Company Name", "state": "State", "zip": "Zip Code", "note": "Remarks", "title": "Job Title", "city": "Town"}
 _TARGETS = {"Cust": "customer_id", "Company": "company", "Address1": "street", "City": "city", "State": "state", "Zip": "zip", "Contact": "full_name", "Title": "title", "Telephone": "phone", "Email Address": "email"}
@@ -77,6 +79,34 @@ def preview_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.unionByName(gone)
 
 
+#: Results of a validation: of each address of a customer whose key isn't a multiple of three a first and, for some, a later one.
+RESULTS = f"""select upper(email) as "Email", case when contact_id % 4 = 0 then 'risky' when contact_id % 4 = 1 then 'undeliverable' else 'deliverable' end as status, contact_id as validated_at from ({MESSY_WITH_ID}) m where email is not null and contact_id % 3 > 0"""
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sheets = {"people": _view(spark, MESSY_WITH_ID, "customer", sf_dir), "again": _view(spark, f"select contact_id, note from ({MESSY_WITH_ID}) m", "customer", sf_dir)}
+    found = occurrences(sheets, {"people": "email", "again": "note", "absent": "x"}, ["contact_id"])
+    results = _view(spark, RESULTS, "customer", sf_dir).withColumn("validated_at", F.timestamp_seconds("validated_at"))
+    return found, results
+
+
+def email_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validated(*_checked(spark, sf_dir)).select("SourceSheet", "contact_id", "Email", "Email_Validated", "Email_status", "Email_error")
+
+
+def email_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pending(*_checked(spark, sf_dir)).select("Email", "occurrences")
+
+
+def email_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return status_counts(validated(*_checked(spark, sf_dir)))
+
+
+_STATUS = f"""with m as ({MESSY_WITH_ID}), f as (select 'people' as "SourceSheet", contact_id, lower(trim(email)) as "Email" from m where email is not null union all select 'again', contact_id, lower(trim(note)) from m where note is not null),
+ r as (select lower("Email") as e, arg_max(status, (validated_at, status)) as status from ({RESULTS}) x group by 1),
+ s as (select f.*, regexp_matches("Email", '{_MAIL}') as good, r.status from f left join r on r.e = f."Email"),
+ c as (select "SourceSheet", contact_id, "Email", good and status is not null as "Email_Validated", case when not good then 'invalid_format' else coalesce(status, 'unknown') end as "Email_status", case when not good then 'Invalid email format' when status is null then 'Not validated' end as "Email_error" from s)"""
+
 _KEPT = "(select *, row_number() over (partition by email order by contact_id) as r from contacts where street is not null)"
 _ISSUES = f"""with t as (select * from ({MESSY}) m), i as (
  {' union all '.join(f"select '{target}' as target, 'BLANK_VALUE' as code, count(*) as n from t where trim(coalesce(cast({c} as varchar), '')) = ''" for target, c in _TARGETS.items())}
@@ -101,4 +131,11 @@ PAIRS = {
         f" union all select contact_id, 'changed', 'state', state, upper(state) from {_KEPT} where r = 1 and state <> upper(state)"
         f" union all select contact_id, 'removed', null, null, null from contacts where contact_id not in (select contact_id from {_KEPT} where r = 1)",
     ),
+    "email_status": (email_status, _STATUS + ' select * from c'),
+    "email_pending": (email_pending, _STATUS + ' select "Email", count(*) as occurrences from s where good and status is null group by "Email"'),
+    "email_counts": (
+        email_counts,
+        _STATUS + """ select count(*)::bigint as occurrences, count(distinct "Email")::bigint as addresses, count_if("Email_status" = 'deliverable')::bigint as deliverable, count_if("Email_status" = 'risky')::bigint as risky,
+ count_if("Email_status" = 'undeliverable')::bigint as undeliverable, count_if("Email_status" in ('unknown', 'invalid_format'))::bigint as unknown, count_if("Email_status" in ('risky', 'undeliverable'))::bigint as bad from c""",
+    ),
 }
