@@ -70,3 +70,5 @@ UNWANTED = {
     "duplicate_fields": ["Phone_Alternate", "Email_Alternate", "Mobile_Phone", "Work_Phone", "Fax*"],
     "deprecated": ["Legacy_*", "Old_*", "*_Deprecated", "*_Archived"],
 }
+# Words by which rows above a header are told.
+ABOVE_HEADERS = ["Export", "Report", "Data", "Sheet", "Generated", "Date:", "Time:", "Source:", "From:", "File:"]

@@ -16,6 +16,7 @@ from tidewright.plans.mapping import Mapped, apply_mapping, infer, issue_summary
 from tidewright.plans.queries import _C, _MAIL, _TRIM, MESSY, WORKFLOW, _view, contacts
 from tidewright.plans.validation import occurrences, pending, status_counts, validated
 from tidewright.plans.workflow import Workflow
+from tidewright.sources.headers import header_rows
 from tidewright.sources.records import combine_records
 from tidewright.stored import _delete, shared_folder
 
@@ -79,6 +80,26 @@ def preview_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.unionByName(gone)
 
 
+#: What stands above the customers of each segment's file.
+_HEAD, _ABOVE = "Customer#,Company,Street,City,State,Zip,Phone", "Export Report,Data Source:,Date: today,Sheet 1,From: x,,"
+_TOPS = {"BUILDING": [_HEAD], "AUTOMOBILE": [_ABOVE, _HEAD], "MACHINERY": [_ABOVE, _ABOVE, _HEAD], "FURNITURE": ["a,b,c,d,e,f,g"], "HOUSEHOLD": ["x,Customer Name and more,my city,q,r,s,t"]}
+
+
+def header_rows_of_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as a file for each segment, some under lines of a report; where their headers are."""
+    path = f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}"
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), F.lit("some name"), F.lit("5 Main"), F.lit("Troy"), F.lit("OH"), F.lit("45373"), F.lit("555"))
+    body = customers.select(F.col("c_mktsegment").alias("segment"), F.col("c_custkey").cast("long").alias("at"), line.alias("value"))
+    tops = spark.createDataFrame([(s, i - 10, x) for s, lines in _TOPS.items() for i, x in enumerate(lines)], "segment string, at long, value string")
+    lines = body.unionByName(tops.join(customers.select(F.col("c_mktsegment").alias("segment")).distinct(), "segment", "left_semi"))
+    # Lines of a file are one task's, in order; its size is bounded by what one wants in a file.
+    lines.repartition("segment").sortWithinPartitions("segment", "at").select("segment", "value").write.partitionBy("segment").text(path)
+    atexit.register(_delete, spark, path)
+    found = header_rows(spark, path)
+    return found.select(F.regexp_extract("file", "segment=([A-Z]+)", 1).alias("segment"), "row", "score", "known", "cells", "skip")
+
+
 #: Results of a validation: of each address of a customer whose key isn't a multiple of three a first and, for some, a later one.
 RESULTS = f"""select upper(email) as "Email", case when contact_id % 4 = 0 then 'risky' when contact_id % 4 = 1 then 'undeliverable' else 'deliverable' end as status, contact_id as validated_at from ({MESSY_WITH_ID}) m where email is not null and contact_id % 3 > 0"""
 
@@ -138,4 +159,9 @@ PAIRS = {
         _STATUS + """ select count(*)::bigint as occurrences, count(distinct "Email")::bigint as addresses, count_if("Email_status" = 'deliverable')::bigint as deliverable, count_if("Email_status" = 'risky')::bigint as risky,
  count_if("Email_status" = 'undeliverable')::bigint as undeliverable, count_if("Email_status" in ('unknown', 'invalid_format'))::bigint as unknown, count_if("Email_status" in ('risky', 'undeliverable'))::bigint as bad from c""",
     ),
+    "header_rows": (
+        header_rows_of_segments,
+        "select v.* from (values ('BUILDING', 0, 1.0::double, 7, 7, false), ('AUTOMOBILE', 1, 0.95, 7, 7, true), ('MACHINERY', 2, 0.9, 7, 7, true), ('FURNITURE', 0, 0.0, 0, 7, false), ('HOUSEHOLD', 0, 1::double / 7, 1, 7, false)) v(segment, \"row\", score, known, cells, skip)"
+        " where segment in (select c_mktsegment from customer)",
+    ),
 }
