@@ -72,3 +72,6 @@ UNWANTED = {
 }
 # Words by which rows above a header are told.
 ABOVE_HEADERS = ["Export", "Report", "Data", "Sheet", "Generated", "Date:", "Time:", "Source:", "From:", "File:"]
+# Columns by which a vendor's export of contacts is told, and those of its variant for mailings.
+VENDOR_IDS = ["ZoomInfo Contact ID", "ZoomInfo Company ID", "ZoomInfo Contact Profile URL", "ZoomInfo Company Profile URL"]
+VENDOR_CONTACTS = ["Person Street", "Person City", "Person State", "Person Zip Code", "First Name", "Last Name", "Company Name", "Job Title", "Direct Phone Number", "Email Address"]

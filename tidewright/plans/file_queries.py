@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import headers as H
+from tidewright.plans.compliance import column_issues
 from tidewright.plans.lineage import identified, preview
 from tidewright.plans.mapping import Mapped, apply_mapping, infer, issue_summary, to_standard
 from tidewright.plans.queries import _C, _MAIL, _TRIM, MESSY, WORKFLOW, _view, contacts
@@ -123,6 +124,12 @@ def email_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status_counts(validated(*_checked(spark, sf_dir)))
 
 
+def column_issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues by column; an example of each that is a row of it."""
+    found = column_issues(_view(spark, MESSY_WITH_ID, "customer", sf_dir).drop("customer_id"), "contact_id")
+    return found.select("column", "kind", "issue", "rows", "held", (F.size("examples") > 0).alias("named"))
+
+
 _STATUS = f"""with m as ({MESSY_WITH_ID}), f as (select 'people' as "SourceSheet", contact_id, lower(trim(email)) as "Email" from m where email is not null union all select 'again', contact_id, lower(trim(note)) from m where note is not null),
  r as (select lower("Email") as e, arg_max(status, (validated_at, status)) as status from ({RESULTS}) x group by 1),
  s as (select f.*, regexp_matches("Email", '{_MAIL}') as good, r.status from f left join r on r.e = f."Email"),
@@ -164,4 +171,17 @@ PAIRS = {
         "select v.* from (values ('BUILDING', 0, 1.0::double, 7, 7, false), ('AUTOMOBILE', 1, 0.95, 7, 7, true), ('MACHINERY', 2, 0.9, 7, 7, true), ('FURNITURE', 0, 0.0, 0, 7, false), ('HOUSEHOLD', 0, 1::double / 7, 1, 7, false)) v(segment, \"row\", score, known, cells, skip)"
         " where segment in (select c_mktsegment from customer)",
     ),
+    "column_issues": (
+        column_issue_counts,
+        f"""with t as ({MESSY_WITH_ID}), i as (
+ select 'email' as "column", 'email' as kind, 'invalid_email' as issue, count_if(not regexp_matches(email, '{_MAIL}')) as n, count(email) as held from t
+ union all select 'note', 'email', 'invalid_email', count_if(not regexp_matches(note, '{_MAIL}')), count(note) from t
+ union all select 'phone', 'phone', 'not_10_digits', count_if(length(regexp_replace(phone, '[^0-9]', '', 'g')) <> 10), count(phone) from t
+ union all select 'zip', 'zip', 'invalid_zip', count_if(not regexp_matches(zip, '^[0-9]{{5}}(-[0-9]{{4}})?$')), count(zip) from t
+ union all select 'state', 'state', 'excluded_state', count_if(upper(state) in ('AK', 'HI', 'PR', 'GU', 'VI', 'AS', 'MP')), count(state) from t
+ union all select 'company', 'company', 'mixed_case', count_if(company <> upper(company) and company <> lower(company)), count(company) from t
+ union all select 'full_name', 'contact_name', 'mixed_case', count_if(full_name <> upper(full_name) and full_name <> lower(full_name)), count(full_name) from t
+ union all select 'street', 'address1', 'po_box', count_if(street like 'P.O. Box %' or street like 'Post Office Box %'), count(street) from t)
+ select "column", kind, issue, n::bigint as rows, held::bigint as held, true as named from i where n > case issue when 'mixed_case' then 0.3 * held else 0 end""",
+    ),
 }
