@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import headers as H
+from tidewright.plans.batch import run_batch
 from tidewright.plans.compliance import column_issues
 from tidewright.plans.lineage import identified, preview
 from tidewright.plans.mapping import Mapped, apply_mapping, infer, issue_summary, to_standard
-from tidewright.plans.queries import _C, _MAIL, _TRIM, MESSY, WORKFLOW, _view, contacts
+from tidewright.plans.queries import _C, _MAIL, _TRIM, MESSY, SUPPLIERS, WORKFLOW, _view, contacts
 from tidewright.plans.validation import occurrences, pending, status_counts, validated
 from tidewright.plans.workflow import Workflow
 from tidewright.sources.headers import header_rows
@@ -130,6 +131,13 @@ def column_issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("column", "kind", "issue", "rows", "held", (F.size("examples") > 0).alias("named"))
 
 
+def batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One workflow over customers and suppliers, of which the latter have no street."""
+    tables = {"customers": contacts(spark, sf_dir), "suppliers": _view(spark, SUPPLIERS, "supplier", sf_dir)}
+    steps = [*WORKFLOW[:3], {"operation_id": "data_add_multiple_columns", "parameters": {"columns": [{"name": "checked", "default_type": "value", "value": "yes"}]}}]
+    return run_batch(tables, Workflow(steps, ["contact_id"])).rows.select("Source_File", "contact_id", "full_name", "state", "street", "checked")
+
+
 _STATUS = f"""with m as ({MESSY_WITH_ID}), f as (select 'people' as "SourceSheet", contact_id, lower(trim(email)) as "Email" from m where email is not null union all select 'again', contact_id, lower(trim(note)) from m where note is not null),
  r as (select lower("Email") as e, arg_max(status, (validated_at, status)) as status from ({RESULTS}) x group by 1),
  s as (select f.*, regexp_matches("Email", '{_MAIL}') as good, r.status from f left join r on r.e = f."Email"),
@@ -184,4 +192,9 @@ PAIRS = {
  union all select 'street', 'address1', 'po_box', count_if(street like 'P.O. Box %' or street like 'Post Office Box %'), count(street) from t)
  select "column", kind, issue, n::bigint as rows, held::bigint as held, true as named from i where n > case issue when 'mixed_case' then 0.3 * held else 0 end""",
     ),
+    "batch_rows": (
+        batch_rows,
+        _C + f"select 'customers' as \"Source_File\", contact_id, {_TRIM.format('full_name')} as full_name, upper(state) as state, street, 'yes' as checked from contacts where street is not null"
+        f" union all select 'suppliers', contact_id, {_TRIM.format('full_name')}, upper(state), null, 'yes' from ({SUPPLIERS}) s",
+    ),
 }
