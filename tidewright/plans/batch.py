@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import text as T
 from tidewright.operators.base import Keep, get
-from tidewright.plans.workflow import Workflow
+from tidewright.plans.workflow import Workflow, step_id
 from tidewright.stored import dropped, stored
 
 SOURCE = "Source_File"
@@ -30,7 +30,7 @@ def fitting(workflow: Workflow, df: DataFrame) -> tuple[Workflow, list[dict[str,
     for n, step in enumerate(workflow.steps, 1):
         if not step.get("enabled", True):
             continue
-        id = step.get("operation_id") or step.get("class") or step.get("id")
+        id = step_id(step)
         try:
             op = get(id)
             if not op.needs_data:

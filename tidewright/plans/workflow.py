@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -11,7 +12,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.operators import row_ops, text_ops  # noqa: F401 - they register operations
-from tidewright.operators.base import REGISTRY, Keep, get
+from tidewright.operators.base import ALIASES, REGISTRY, Keep, get
+
+
+def step_id(step: dict[str, Any]) -> str | None:
+    """The operation of a step, by operation_id, class, id or, as older files have it, the name of a class or of the operation.
+
+    UppercaseOperation, Uppercase and text uppercase are text_uppercase: words joined by underscores, if one operation is called so or ends so.
+    """
+    given = step.get("operation_id") or step.get("class") or step.get("id") or step.get("name")
+    if given is None or given in REGISTRY or given in ALIASES:
+        return given
+    words = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|[^A-Za-z0-9]+", "_", given.strip().removesuffix("Operation")).strip("_").lower()
+    if words in REGISTRY or words in ALIASES:
+        return words
+    ends = [o for o in REGISTRY if o.endswith(f"_{words}")]
+    return ends[0] if len(ends) == 1 else given
 
 
 @dataclass
@@ -34,7 +50,7 @@ class Workflow:
         for n, step in enumerate(self.steps, 1):
             if not step.get("enabled", True):
                 continue
-            op = get(step.get("operation_id") or step.get("class") or step.get("id"))
+            op = get(step_id(step))
             out = op.run(df, step.get("parameters") or step.get("params") or {}, [c for c in self.order if c in df.columns])
             yield n, op, out
             df = out.kept() if isinstance(out, Keep) else out
@@ -65,7 +81,7 @@ class Workflow:
         """What is wrong with the steps, found from the schema alone."""
         problems = []
         for n, step in enumerate(self.steps, 1):
-            id = step.get("operation_id") or step.get("class") or step.get("id")
+            id = step_id(step)
             try:
                 op = get(id)
             except KeyError:
