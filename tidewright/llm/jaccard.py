@@ -8,7 +8,8 @@ filter, and it leaves the smaller set a prefix of about half the length. Candida
 order; they stay if their prefixes also share a token under each further order (other hashes),
 which are compared as 16-bit values, so a coincidence may add a candidate and none is lost. Bits of
 parity by part of the tokens bound the difference of two sets from below and drop pairs a little
-below the threshold where buckets are joined. The sets of what is left are compared exactly, from the texts.
+below the threshold where buckets are joined. The sets of what is left are made again from the texts and compared whole, by 64-bit hashes of
+their n-grams (n-grams of one document with equal hashes would count once).
 
 Components need no link between documents already connected. So each token's bucket first links its
 members to its least id, then, for ``rounds`` rounds, those of other components to a member chosen by
@@ -19,7 +20,7 @@ Scale: texts are read for counting, for sets, and for the pairs left. Buckets ar
 shuffles that Spark splits when hot; the table of counts has a bounded size. Links and components stay in
 tables of the shared folder.
 
-Cases: null or empty text, or text without words: n_shingles 0, linked with nothing. Fewer words than n:
+Cases: ids have to be whole numbers. Null or empty text, or text without words: n_shingles 0, linked with nothing. Fewer words than n:
 the whole sequence is the only n-gram. Rows of one id are one node; rows with a null id are returned without a
 component. Repeated rows are returned each time. Other columns are ignored.
 """

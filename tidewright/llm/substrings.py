@@ -4,16 +4,17 @@ First pass: each partition makes a count-min sketch of the documents in which wi
 window is counted under its least word k-gram, so that neighbouring windows share a count: what
 the sketch says of a k-gram is never below the count of any window counted under it. Partition
 sketches are merged by adding their cells. Second pass: only windows whose estimate is two
-or more are grouped, exactly, by a 128-bit hash of their words; a window below was in one
-document and can't repeat, so none is lost. The sketch's width follows the corpus
-(``cells_per_print`` a counted k-gram) up to ``max_bits``; a full sketch filters less and changes no
-result.
+or more are grouped by a 128-bit hash; a window below was in one
+document and can't repeat, so none is lost. That hash is made of 64-bit hashes of words: two windows of different words count as equal only if
+all their differing words have equal hashes, a chance of about 2**-64 a pair of windows that differ in one word, which is not looked at again. The sketch's width follows the corpus
+(``cells_per_print`` a counted k-gram) up to ``max_bits``, which a corpus beyond some 100 GB fills; a full sketch filters less and changes no
+result, but more windows are grouped.
 
 Scale: a task resolves the repeats that it can see itself and sends one document a window and task,
 so a passage in a third of all documents meets as one row a task. Removed runs are gathered by
 document and joined with the text on the id.
 
-Cases: null or empty text has no words, nothing is removed, kept text is empty. Texts of fewer
+Cases: ids have to be whole numbers. Null or empty text has no words, nothing is removed, kept text is empty. Texts of fewer
 than ``window`` words have no window. Rows with equal ids are one document for the comparison of
 ids (a window is never its own document's repeat), and what is removed at a place is removed from
 each of them. Rows with a null id are returned whole and remove nothing. Other columns are ignored.
