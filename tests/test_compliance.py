@@ -29,6 +29,14 @@ def test_shares(spark):
     assert column_issues(make(3), "id").collect() == [] and column_issues(make(4), "id").first()["rows"] == 4
 
 
+def test_keys_are_not_judged_by_contents(spark):
+    """Keys of five digits aren't zip codes; kinds that are given or told by the name hold."""
+    df = spark.createDataFrame([(i, str(i)) for i in [*range(10000, 10009), 7]], "contact_id int, code string")
+    assert [r["column"] for r in column_issues(df, "contact_id").collect()] == ["code"]
+    assert [r["rows"] for r in column_issues(df.withColumnRenamed("contact_id", "zip").select("zip"), "zip").collect()] == [1]
+    assert [r["column"] for r in column_issues(df, "contact_id", {"contact_id": "zip"}).collect()] == ["contact_id"]
+
+
 def test_formats():
     found = {f["finding"]: f for f in format_findings(["Customer#", "Match_Score", "Email", "Colour", "Company"])}
     assert found["unwanted_columns"]["columns"] == ["Match_Score"] and found["columns_to_rename"]["columns"] == ["Customer#"] and found["columns_to_review"]["columns"] == ["Colour"]
