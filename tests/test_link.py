@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewright.plans import fuzzy, queries
+from tidewright.plans import combine, fuzzy, queries
 from tidewright.plans.combine import link, link_files
 
 SF = "/root/testdata/sf0.01"
@@ -124,3 +124,29 @@ def test_files_are_compared_by_what_a_row_has(spark):
     found = link_files(frames, "id", "email", "phone", "name", "city", "state", "company").filter("Source_File = 'b'").collect()
     assert {r["id"]: (r["Overlap_Tier"], r["Matched_With_Index"]) for r in found} == {10: (3, 1), 11: (3, 1), 12: (3, 1), 13: (None, None), 14: (None, None), 15: (None, None), 16: (3, 3)}
     assert {r["Match_Reason"] for r in found} == {None, "Company + Location Match"}
+
+
+def _plans(monkeypatch, module):
+    """Plans of the tables that the module stores from now on, by name."""
+    found, real = {}, module.stored
+
+    def kept(df, name):
+        found.setdefault(name, []).append(df._jdf.queryExecution().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(module, "stored", kept)
+    return found
+
+
+def test_indexed_pairs_are_not_broadcast(spark, monkeypatch):
+    """Small files may hold many keys; blocks with few values on one side need no index, and both ways find the same."""
+    rng = random.Random(6)
+    values = sorted({f"customer {rng.randrange(10**5):05}" for _ in range(120)})
+    left, right = (spark.createDataFrame([(f"b{i % 2}", v) for i, v in enumerate(part)], "block string, value string") for part in (values[::2], values[1::2]))
+    plans, got = _plans(monkeypatch, fuzzy), []
+    for few in (0, 64):
+        monkeypatch.setattr(fuzzy, "_FEW", few, raising=False)
+        got.append({(r["block"], r["a"], r["b"], r["ratio"]) for r in fuzzy.similar(left, right, 85).collect()})
+    pairs = [(f"b{i % 2}", v, f"b{j % 2}", w) for i, v in enumerate(values[::2]) for j, w in enumerate(values[1::2])]
+    assert got[0] == got[1] == {(p, v, w, s) for p, v, q, w in pairs if p == q and (s := _score(v, w)) >= 85} and len(got[0]) > 100
+    assert len(plans["fuzzy-index"]) == 2 and not any("Broadcast" in p for name in ("fuzzy-blocks", "fuzzy-hot", "fuzzy-pairs") for p in plans[name])

@@ -75,10 +75,10 @@ def _first_similar(left: DataFrame, master: DataFrame, equal: list[Column], near
         tables.append(pairs)
         # What is similar so far is the next one's block: both rows stand under the pair that they met by.
         step = F.concat_ws("\x1f", "block", "a", "b")
-        theirs = theirs.join(pairs.select("block", F.col("a").alias(f"a{j}"), "b", F.col("ratio").alias(f"s{j}")), ["block", f"a{j}"]).withColumn("a", F.col(f"a{j}")).withColumn("block", step).drop("a", "b")
-        mine = mine.join(pairs.select("block", "a", F.col("b").alias(f"b{j}")), ["block", f"b{j}"]).withColumn("b", F.col(f"b{j}")).withColumn("block", step).drop("a", "b").distinct()
+        theirs = theirs.join(pairs.select("block", F.col("a").alias(f"a{j}"), "b", F.col("ratio").alias(f"s{j}")).hint("merge"), ["block", f"a{j}"]).withColumn("a", F.col(f"a{j}")).withColumn("block", step).drop("a", "b")
+        mine = mine.join(pairs.select("block", "a", F.col("b").alias(f"b{j}")).hint("merge"), ["block", f"b{j}"]).withColumn("b", F.col(f"b{j}")).withColumn("block", step).drop("a", "b").distinct()
     ratios = F.array(*[F.col(f"s{j}") for j in range(len(least))])
-    found = stored(mine.select("block", "k").join(theirs.select("block", "m", ratios.alias("s")), "block").groupBy("k").agg(F.min(F.struct("m", "s")).alias("x")).select(F.col("k").alias(f"__k{i}"), F.col("x.m").alias(f"__m{i}"), F.col("x.s").alias(f"__s{i}")), "link-similar")
+    found = stored(mine.select("block", "k").join(theirs.select("block", "m", ratios.alias("s")).hint("merge"), "block").groupBy("k").agg(F.min(F.struct("m", "s")).alias("x")).select(F.col("k").alias(f"__k{i}"), F.col("x.m").alias(f"__m{i}"), F.col("x.s").alias(f"__s{i}")), "link-similar")
     dropped(*tables)
     return found
 

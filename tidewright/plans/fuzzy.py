@@ -9,6 +9,9 @@ filter for an overlap of two). Each two of them make a key; texts meet only thro
 have are refined: there texts must also share one of their rarest characters. What meets is compared by length, then by an edit distance with a
 bound inside the JVM, and only what then is left by the ratio itself.
 
+A block whose smaller side has at most ``_FEW`` values isn't indexed: all its values are compared in the JVM, so no value with more than ``_FEW`` others of a
+larger side, which is less than its keys would cost. Joins are merged, never broadcast: Spark takes an exploded table for as small as its file.
+
 Scale: keys of a text depend on its length, not on the block. Rarities are counted in ``_CELLS`` hashed cells, of which a table of that size is sent to the tasks. A hot
 key falls into its refinements, and Spark splits what is still skewed, as nothing is gathered by key. Pairs that meet grow with the similar ones,
 not with the square of the block.
@@ -30,8 +33,8 @@ from pyspark.sql.types import IntegerType
 
 from tidewright.stored import dropped, stored
 
-#: Cells of rarity counts, and texts with one key of a block from which the key is refined.
-_CELLS, _HOT = 1 << 16, 64
+#: Cells of rarity counts; texts with one key of a block from which the key is refined; values of a block's smaller side up to which all are compared.
+_CELLS, _HOT, _FEW = 1 << 16, 64, 64
 
 
 def ratio(a: str, b: str) -> int:
@@ -146,21 +149,27 @@ def similar(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
         raise ValueError("the index finds ratios over 70")
     sides = [stored(df.select("block", "value").filter("block is not null and value <> ''").distinct(), "fuzzy-values") for df in (left, right)]
     # Only blocks of both sides matter.
-    both = sides[0].select("block").distinct().join(sides[1].select("block").distinct(), "block", "left_semi")
-    held = [stored(s.join(both, "block", "left_semi"), "fuzzy-blocks") for s in sides]
-    dropped(*sides)
+    sizes = [s.groupBy("block").agg(F.count("*").alias(f"n{i}")) for i, s in enumerate(sides)]
+    both = stored(sizes[0].join(sizes[1].hint("merge"), "block").select("block", (F.least("n0", "n1") <= _FEW).alias("few")), "fuzzy-sizes")
+    blocks = [stored(s.join(both.hint("merge"), "block"), "fuzzy-blocks") for s in sides]
+    dropped(*sides, both)
+    few = [h.filter("few").select("block", F.col("value").alias(n)) for h, n in zip(blocks, "ab")]
+    close = few[0].join(few[1].hint("merge"), "block").filter(_may_reach("a", "b", percent))
+    held = [h.filter("not few") for h in blocks]
     counts = np.zeros(_CELLS, np.int64)
     for row in held[0].unionByName(held[1]).select("value").mapInArrow(_counting, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # _CELLS rows at most
         counts[row["cell"]] = row["n"]
-    indexed = [stored(_indexed(h, percent, counts), "fuzzy-index") for h in held]
-    dropped(*held)
-    rows = [t.select("block", F.col("value").alias(n), "chars", F.explode("keys").alias("key")) for t, n in zip(indexed, "ab")]
-    hot = stored(reduce(DataFrame.unionByName, [r.groupBy("block", "key").count().filter(F.col("count") > _HOT).select("block", "key") for r in rows]).distinct(), "fuzzy-hot")
-    plain = [r.drop("chars").join(hot, ["block", "key"], "left_anti") for r in rows]
-    fine = [r.join(hot, ["block", "key"], "left_semi").select("block", "key", r.columns[1], F.explode("chars").alias("char")) for r in rows]
-    met = plain[0].join(plain[1], ["block", "key"]).select("block", "a", "b").unionByName(fine[0].join(fine[1], ["block", "key", "char"]).select("block", "a", "b"))
-    # The cheap bounds come before pairs that met several times are put together.
-    close = met.filter(_may_reach("a", "b", percent)).distinct()
+    tables = list(blocks)
+    if counts.any():
+        indexed = [stored(_indexed(h, percent, counts), "fuzzy-index") for h in held]
+        rows = [t.select("block", F.col("value").alias(n), "chars", F.explode("keys").alias("key")) for t, n in zip(indexed, "ab")]
+        hot = stored(reduce(DataFrame.unionByName, [r.groupBy("block", "key").count().filter(F.col("count") > _HOT).select("block", "key") for r in rows]).distinct(), "fuzzy-hot")
+        plain = [r.drop("chars").join(hot.hint("merge"), ["block", "key"], "left_anti") for r in rows]
+        fine = [r.join(hot.hint("merge"), ["block", "key"], "left_semi").select("block", "key", r.columns[1], F.explode("chars").alias("char")) for r in rows]
+        # The cheap bounds come before pairs that met several times are put together.
+        parts = [plain[0].join(plain[1].hint("merge"), ["block", "key"]), fine[0].join(fine[1].hint("merge"), ["block", "key", "char"])]
+        close = close.unionByName(reduce(DataFrame.unionByName, [p.select("block", "a", "b").filter(_may_reach("a", "b", percent)) for p in parts]).distinct())
+        tables += [*indexed, hot]
     out = stored(close.withColumn("ratio", ratios("a", "b")).filter(F.col("ratio") >= percent), "fuzzy-pairs")
-    dropped(*indexed, hot)
+    dropped(*tables)
     return out
