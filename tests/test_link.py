@@ -150,3 +150,17 @@ def test_indexed_pairs_are_not_broadcast(spark, monkeypatch):
     pairs = [(f"b{i % 2}", v, f"b{j % 2}", w) for i, v in enumerate(values[::2]) for j, w in enumerate(values[1::2])]
     assert got[0] == got[1] == {(p, v, w, s) for p, v, q, w in pairs if p == q and (s := _score(v, w)) >= 85} and len(got[0]) > 100
     assert len(plans["fuzzy-index"]) == 2 and not any("Broadcast" in p for name in ("fuzzy-blocks", "fuzzy-hot", "fuzzy-pairs") for p in plans[name])
+
+
+_PERSON = "id long, email string, phone string, name string, city string, state string, company string"
+
+
+def test_forms_are_computed_once(spark, monkeypatch):
+    """No join repeats the patterns by which fields are compared; a table's forms take two a text and three a phone."""
+    row = (1, " A@x", "1 (555) 123-4567", " Ann  Lee ", "Troy", "OH", "Acme")
+    frames = [spark.createDataFrame([row], _PERSON), spark.createDataFrame([(2, "b@x", "555.123.4567", "ANN LEE", None, None, None)], _PERSON)]
+    plans = _plans(monkeypatch, combine)
+    found = link(*frames, "id", "id", "email", "phone", "name", "city", "state", "company")
+    assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["Overlap_Tier"], r["Matched_With_Index"]) for r in found.collect()] == [(2, 1)]
+    assert all(p.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].count("regexp_replace") <= 5 * 2 + 4 for name in ("link-master", "link-other") for p in plans[name])

@@ -46,7 +46,7 @@ def _both(keys: list):
 
 
 def _norm(c: str) -> Column:
-    return F.nullif(F.lower(T.squeezed(T.column(c))), F.lit(""))
+    return F.lower(T.squeezed(T.column(c)))
 
 
 def _key(parts: list[Column]) -> Column:
@@ -57,15 +57,28 @@ REASONS = {1: "Tier 1: Exact email match", 2: "Tier 2: Phone + Name match", 3: "
 FIELDS = ("email", "phone", "name", "city", "state", "company")
 
 
-def _first_exact(out: DataFrame, master: DataFrame, key: list[Column], m: Column, i: int) -> DataFrame:
+def _forms(email: str, phone: str, name: str, city: str, state: str, company: str) -> dict[str, Column]:
+    """What is compared of a row, by field: text squeezed and in small letters, digits of the phone without a country's 1."""
+    texts = {"email": email, "name": name, "city": city, "state": state, "company": company}
+    return {f: _norm(c) for f, c in texts.items()} | {"phone": F.regexp_replace(T.digits(T.column(phone)), "^1([0-9]{10})$", "$1")}
+
+
+def _formed(df: DataFrame, forms: dict[str, Column], shown: list, id: str, name: str) -> DataFrame:
+    """shown and the forms as columns __email etc. (null where nothing is left), as a stored table: computed once, as an expression that
+    joins and filters repeat is evaluated anew by each. Rows are dealt out before that, so that a small file's rows aren't one task's."""
+    own = df.repartition(T.column(id)).select(*shown, *[c.alias(f"__{f}") for f, c in forms.items()])
+    return stored(own.withColumns({f"__{f}": F.nullif(F.col(f"__{f}"), F.lit("")) for f in forms}), name)
+
+
+def _first_exact(out: DataFrame, master: DataFrame, key: list[Column], i: int) -> DataFrame:
     """out with __m: the least m of the master's rows of its key."""
-    found = master.select(_key(key).alias(f"__k{i}"), m.alias("m")).filter(f"__k{i} is not null").groupBy(f"__k{i}").agg(F.min("m").alias(f"__m{i}"))
+    found = master.select(_key(key).alias(f"__k{i}"), "__at").filter(_both(key)).groupBy(f"__k{i}").agg(F.min("__at").alias(f"__m{i}"))
     return out.join(found, f"__k{i}", "left")
 
 
-def _first_similar(left: DataFrame, master: DataFrame, equal: list[Column], near: list[Column], least: list[int], m: Column, i: int) -> DataFrame:
+def _first_similar(left: DataFrame, master: DataFrame, equal: list[Column], near: list[Column], least: list[int], i: int) -> DataFrame:
     """__k, __m, __s: of each key of left the least master row whose near columns reach the ratios, one after the other, and the ratios."""
-    held = master.filter(_both(equal + near)).select(_key(equal).alias("block"), *[c.alias(f"a{j}") for j, c in enumerate(near)], m.alias("m"))
+    held = master.filter(_both(equal + near)).select(_key(equal).alias("block"), *[c.alias(f"a{j}") for j, c in enumerate(near)], F.col("__at").alias("m"))
     held = stored(held.groupBy("block", *[f"a{j}" for j in range(len(near))]).agg(F.min("m").alias("m")), "link-held")
     asked = stored(left.filter(_both(equal + near)).select(_key(equal).alias("block"), *[c.alias(f"b{j}") for j, c in enumerate(near)], F.col(f"__k{i}").alias("k")).distinct(), "link-asked")
     found, tables = None, [held, asked]
@@ -95,25 +108,28 @@ def link(master: DataFrame, other: DataFrame, master_id: str, other_id: str, ema
     """
     if mode not in ("exact", "fuzzy"):
         raise ValueError("mode has to be exact or fuzzy")
-    digits = F.nullif(T.phone_digits(T.column(phone)), F.lit(""))
-    tiers = {0: [_norm(email)]}
+    forms = _forms(email, phone, name, city, state, company)
+    own = {f: F.col(f"__{f}") for f in forms}
+    tiers = {0: [own["email"]]}
     near: dict[int, tuple[list[Column], list[Column], list[int]]] = {}
     if {"phone", "name"} <= set(fields):
-        tiers[1] = [digits, _norm(name)]
-        near[1] = ([digits], [_norm(name)], [85])
+        tiers[1] = [own["phone"], own["name"]]
+        near[1] = ([own["phone"]], [own["name"]], [85])
     if {"company", "city", "state"} & set(fields):
-        tiers[2] = [_norm(company), _norm(city), _norm(state), _norm(name)]
-        near[2] = ([_norm(city), _norm(state)], [_norm(company), _norm(name)], [85, 75])
+        tiers[2] = [own[f] for f in ("company", "city", "state", "name")]
+        near[2] = ([own["city"], own["state"]], [own["company"], own["name"]], [85, 75])
     # Rows without a key are dealt by their ids, so that they don't meet in one task; no key of master begins like that.
     none = F.concat(F.lit("!"), F.coalesce(F.xxhash64(T.column(other_id)).cast("string"), F.lit("")))
-    out = other.select("*", *[F.coalesce(_key(k), none).alias(f"__k{i}") for i, k in tiers.items()])
-    m, done = F.col(master_id), []
+    forms = {f: c for f, c in forms.items() if any(own[f] is k for key in tiers.values() for k in key)}
+    held = _formed(master, forms, [T.column(master_id).alias("__at")], master_id, "link-master")
+    out = _formed(other, forms, ["*"], other_id, "link-other").withColumns({f"__k{i}": F.coalesce(_key(k), none) for i, k in tiers.items()})
+    done = []
     for i, k in tiers.items():
         if mode == "fuzzy" and i in near:
             left = out.filter(reduce(lambda a, b: a & b, [F.col(f"__m{j}").isNull() for j in done]))
-            out = out.join(_first_similar(left, master, *near[i], m, i), f"__k{i}", "left")
+            out = out.join(_first_similar(left, held, *near[i], i), f"__k{i}", "left")
         else:
-            out = _first_exact(out, master, k, m, i)
+            out = _first_exact(out, held, k, i)
         done.append(i)
     tier = F.coalesce(*[F.when(F.col(f"__m{i}").isNotNull(), i + 1) for i in done])
     labels = {1: ["Name_Similarity"], 2: ["Company_Similarity", "Name_Similarity"]}
@@ -125,7 +141,7 @@ def link(master: DataFrame, other: DataFrame, master_id: str, other_id: str, ema
             said = F.concat(said, F.lit(" ("), F.concat_ws(", ", *scores), F.lit(")"))
         reason = F.when(F.col(f"__m{i}").isNotNull(), said).otherwise(reason)
     added = {"Overlap_Tier": tier, "Matched_With_Index": F.coalesce(*[F.col(f"__m{i}") for i in done]), "Match_Reason": reason}
-    return out.withColumns(added).drop(*[f"__{x}{i}" for i in done for x in "kms"])
+    return out.withColumns(added).drop(*[f"__{x}{i}" for i in done for x in "kms"], *[f"__{f}" for f in forms])
 
 
 FILE_REASONS = {1: "Email Match", 2: "Phone + Name Match", 3: "Company + Location Match"}
@@ -143,7 +159,7 @@ def _first_in_master(other: DataFrame, held: DataFrame, id: str, columns: dict[s
     The third tier compares name and whatever of company, city and state the row itself has: one equi-join a pattern, in which rows
     of another pattern have no key.
     """
-    norm = {f: _norm(c) for f, c in columns.items() if f != "phone"} | {"phone": F.nullif(T.phone_digits(T.column(columns["phone"])), F.lit(""))}
+    norm = {f: F.nullif(_norm(c), F.lit("")) for f, c in columns.items() if f != "phone"} | {"phone": F.nullif(T.phone_digits(T.column(columns["phone"])), F.lit(""))}
     keys: dict[str, list[Column]] = {"__k0": [norm["email"]], "__k1": [norm["phone"], norm["name"]]}
     asked = {k: _key(v) for k, v in keys.items()}
     for p in _patterns():
