@@ -163,4 +163,31 @@ def test_forms_are_computed_once(spark, monkeypatch):
     found = link(*frames, "id", "id", "email", "phone", "name", "city", "state", "company")
     assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert [(r["Overlap_Tier"], r["Matched_With_Index"]) for r in found.collect()] == [(2, 1)]
-    assert all(p.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].count("regexp_replace") <= 5 * 2 + 4 for name in ("link-master", "link-other") for p in plans[name])
+    found = link_files(dict(zip("ab", frames)), "id", "email", "phone", "name", "city", "state", "company")
+    assert [r["Overlap_Tier"] for r in found.filter("Source_File = 'b'").collect()] == [2] and "regexp" not in plans["link-file"][0]
+    assert all(p.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].count("regexp_replace") <= 5 * 2 + 4 for name in ("link-master", "link-other", "link-asked") for p in plans[name])
+
+
+def test_files_by_three_joins(spark, monkeypatch):
+    """One join a tier, whatever fields rows have; the same as brute force over all sets of fields."""
+    rng = random.Random(7)
+    some = lambda *values: rng.choice([None, " ", *values])
+    make = lambda i: (i, some("a@x", "B@x") if rng.random() < 0.1 else None, some("555", "5-5-6") if rng.random() < 0.2 else None, some("Ann", "bob", "Eve"), some("Troy", "Ada"), some("OH", "ny"), some("Acme", "Labs", "Inc"))
+    files = {n: [make(k * 100 + i) for i in range(60)] for k, n in enumerate("abc")}
+    plans = _plans(monkeypatch, combine)
+    found = link_files({n: spark.createDataFrame(rows, _PERSON) for n, rows in files.items()}, "id", "email", "phone", "name", "city", "state", "company").collect()
+    plain = lambda r: [r[0], *[" ".join((x or "").lower().replace("-", "").split()) or None for x in r[1:]]]
+    held, want = [plain(r) for r in files["a"]], {r[0]: (None, None) for r in files["a"]}
+    for n in "bc":
+        rows, new = [plain(r) for r in files[n]], []
+        for r in rows:
+            tests = [
+                lambda m: r[1] and m[1] == r[1],  # noqa: B023
+                lambda m: r[2] and r[3] and m[2:4] == r[2:4],  # noqa: B023
+                lambda m: r[3] and m[3] == r[3] and any(r[4:]) and all(x is None or x == y for x, y in zip(r[4:], m[4:])),  # noqa: B023
+            ]
+            want[r[0]] = next(((k, m[0]) for k, t in enumerate(tests, 1) for m in held if t(m)), (None, None))
+            new += [r] if want[r[0]][0] is None else []
+        held += new
+    assert {r["id"]: (r["Overlap_Tier"], r["Matched_With_Index"]) for r in found} == want and {t for t, _ in want.values()} == {None, 1, 2, 3}
+    assert all(p.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].count("Join ") == 3 for p in plans["link-file"])

@@ -153,28 +153,25 @@ def _patterns() -> list[tuple[str, ...]]:
     return [tuple(p for i, p in enumerate(places) if bits >> i & 1) for bits in range(1, 8)]
 
 
-def _first_in_master(other: DataFrame, held: DataFrame, id: str, columns: dict[str, str]) -> DataFrame:
-    """other with Overlap_Tier and __at of its first match in held by the tiers of several files.
+def _first_in_master(other: DataFrame, held: DataFrame, id: str) -> DataFrame:
+    """other with Overlap_Tier and __at of its first match in held by the tiers of several files; both have the forms of _formed.
 
-    The third tier compares name and whatever of company, city and state the row itself has: one equi-join a pattern, in which rows
-    of another pattern have no key.
+    The third tier compares name and whatever of company, city and state the row itself has. So a row has one key, which begins with the
+    names of these fields, and a row of held one for each set of fields that it could be asked by.
     """
-    norm = {f: F.nullif(_norm(c), F.lit("")) for f, c in columns.items() if f != "phone"} | {"phone": F.nullif(T.phone_digits(T.column(columns["phone"])), F.lit(""))}
-    keys: dict[str, list[Column]] = {"__k0": [norm["email"]], "__k1": [norm["phone"], norm["name"]]}
-    asked = {k: _key(v) for k, v in keys.items()}
-    for p in _patterns():
-        k = "__" + "_".join(p)
-        keys[k] = [norm[f] for f in p] + [norm["name"]]
-        lacking = reduce(lambda a, b: a & b, [norm[f].isNull() for f in ("company", "city", "state") if f not in p], F.lit(True))
-        asked[k] = F.when(lacking, _key(keys[k]))
+    own = {f: F.col(f"__{f}") for f in FIELDS}
+    places = lambda p: _key([F.lit(",".join(p)), *[own[f] for f in p], own["name"]])
+    has = lambda p: reduce(lambda a, b: a & b, [own[f].isNotNull() if f in p else own[f].isNull() for f in ("company", "city", "state")])
+    asked = {"__k0": _key([own["email"]]), "__k1": _key([own["phone"], own["name"]]), "__k2": F.coalesce(*[F.when(has(p), places(p)) for p in _patterns()])}
+    keys = {"__k0": asked["__k0"], "__k1": asked["__k1"], "__k2": F.explode(F.array_compact(F.array(*map(places, _patterns()))))}
     none = F.concat(F.lit("!"), F.coalesce(F.xxhash64(T.column(id)).cast("string"), F.lit("")))
-    out = other.select("*", *[F.coalesce(v, none).alias(k) for k, v in asked.items()])
+    out = other.withColumns({k: F.coalesce(v, none) for k, v in asked.items()})
     for k, v in keys.items():
-        found = held.select(_key(v).alias(k), F.col("__at").alias("m")).filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("m").alias(f"{k}_m"))
+        found = held.select(v.alias(k), F.col("__at").alias("m")).filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("m").alias(f"{k}_m"))
         out = out.join(found, k, "left")
-    third = F.coalesce(*[F.col(f"{k}_m") for k in keys if k not in ("__k0", "__k1")])
-    tier = F.when(F.col("__k0_m").isNotNull(), 1).when(F.col("__k1_m").isNotNull(), 2).when(third.isNotNull(), 3)
-    return out.withColumns({"Overlap_Tier": tier, "__at": F.coalesce("__k0_m", "__k1_m", third)}).drop(*keys, *[f"{k}_m" for k in keys])
+    first = [F.col(f"{k}_m") for k in keys]
+    tier = F.coalesce(*[F.when(c.isNotNull(), i) for i, c in enumerate(first, 1)])
+    return out.withColumns({"Overlap_Tier": tier, "__at": F.coalesce(*first)}).drop(*keys, *[f"{k}_m" for k in keys])
 
 
 def link_files(files: dict[str, DataFrame], id: str, email: str, phone: str, name: str, city: str, state: str, company: str) -> DataFrame:
@@ -186,16 +183,18 @@ def link_files(files: dict[str, DataFrame], id: str, email: str, phone: str, nam
     a file that others lack are null there. Each file's matches are stored, so plans don't double with files.
     """
     (first, master), *others = files.items()
-    columns = {"email": email, "phone": phone, "name": name, "city": city, "state": state, "company": company}
-    names = list(files)
-    place = lambda df, i: df.select(*dict.fromkeys([id, *columns.values()]), F.struct(F.lit(i).alias("file"), T.column(id).alias("id")).alias("__at"))
-    held = place(master, 0)
+    forms = _forms(email, phone, name, city, state, company)
+    names, kept = list(files), ["__at", *[f"__{f}" for f in forms]]
+    at_of = lambda i: F.struct(F.lit(i).alias("file"), T.column(id).alias("id")).alias("__at")
+    held = _formed(master, forms, [at_of(0)], id, "link-master")
     done = [master.select(F.lit(first).alias("Source_File"), "*", F.lit(None).cast("int").alias("Overlap_Tier"), F.lit(None).cast("string").alias("Match_Reason"), F.lit(None).cast("string").alias("Matched_File"), F.lit(None).cast(master.schema[id].dataType).alias("Matched_With_Index"))]
     for i, (source, df) in enumerate(others, 1):
-        found = stored(_first_in_master(df, held, id, columns), "link-file")
+        asked = _formed(df, forms, ["*"], id, "link-asked")
+        found = stored(_first_in_master(asked, held, id), "link-file")
+        dropped(asked)
         at = F.col("__at")
         done.append(found.select(F.lit(source).alias("Source_File"), *map(T.column, df.columns), "Overlap_Tier", T.lookup(F.col("Overlap_Tier"), FILE_REASONS).alias("Match_Reason"), F.get(F.array(*map(F.lit, names)), at["file"]).alias("Matched_File"), at["id"].alias("Matched_With_Index")))
-        held = held.unionByName(place(found.filter("Overlap_Tier is null").drop("__at"), i))
+        held = held.unionByName(found.filter("Overlap_Tier is null").withColumn("__at", at_of(i)).select(*kept))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), done)
 
 
