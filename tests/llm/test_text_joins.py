@@ -167,6 +167,23 @@ def test_lines(table, clash, monkeypatch, seed, large, dense):
     assert sum(r[1] for r in got.values()) > 20
 
 
+def test_lines_are_read_once_for_verification(table, monkeypatch):
+    """All candidates come from one join over the buckets, so texts are read once for them (twice before)."""
+    built, shuffled = [], []
+    judge, pairs = lines._Judge, lines._exploded
+    monkeypatch.setattr(lines, "_Judge", lambda *a: built.append(1) or judge(*a))
+    monkeypatch.setattr(lines, "_exploded", lambda *a: shuffled.append(1) or pairs(*a))
+    rows = _lines(random.Random(3), [f"v{i}" for i in range(80)])
+    assert dedup_lines(table(rows)).agg({"n_removed": "sum"}).first()[0] > 20
+    assert (len(built), len(shuffled)) == (1, 1)
+
+
+def test_lines_with_other_white_space(table):
+    rows = [(1, "One two\tthree\x0bfour five\nsix"), (2, "one\f two  three four\rFIVE\r\nlast"), (3, "one two three four five")]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(table(rows)).collect()}
+    assert got == {1: rows[0][1], 2: "last", 3: ""}
+
+
 def _short_lines(rng):
     base = [[f"s{rng.randrange(9)}" for _ in range(rng.randrange(1, 7))] for _ in range(30)] + [["日本語の行"], ["a", "a", "a"], ["x", "y", "z", "u"], ["x", "y", "z", "u", "v"]]
     rows = [(0, None), (1, ""), (2, " \n\t\n"), (3, "Of."), (4, "of.\n\nOF.  of.")]

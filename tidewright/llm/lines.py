@@ -11,10 +11,10 @@ Similar sets share a word in their prefixes, with enough words left behind it on
 filter) and sizes alike (length filter). Bits of parity by part of the words bound the difference of two sets
 from below and drop more pairs; what passes is verified on the words themselves.
 
-In each bucket of a word all lines are compared with its earliest, which takes out most of a group of near copies. Then
-buckets with up to ``_LARGE`` lines that haven't gone are joined, these lines with all others. In larger ones the lines that
-haven't gone are compared with the earliest of them, in a number of rounds; only lines that then still stay are joined
-with the others, by the same filters, in a join that Spark splits where it is skewed.
+Buckets of a word with up to ``_LARGE`` lines are joined, all lines with all earlier ones, after one shuffle of one row a word. In
+larger ones the lines that haven't gone are compared with the earliest of them, in a number of rounds; only lines that then still
+stay are joined with the others, by the same filters, in a join that Spark splits where it is skewed. Of a line's candidates the
+earliest is verified first, and the others only if the two differ: of a group of near copies each line is mostly read once.
 
 Scale: texts are read for word counts, for sets, and for the lines in candidate pairs, which a bitmap of a
 bounded size tells apart in the scan (above it more lines than needed are joined). The rarity classes take 2**bits
@@ -41,14 +41,15 @@ _WORD_BITS, _BITMAP_BITS, _PART = 18, 24, 4096
 _LARGE, _ROUNDS, _DENSE = 1 << 8, 6, 16
 
 
-def _parts(text: Column) -> Column:
-    """Words of a text, and empty ones; white space other than blanks and newlines is rare and takes the slower way."""
-    return F.when(text.rlike(r"[\t\x0B\f\r]"), F.split(text, r"\s+")).otherwise(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "))
+def _plain(text: Column) -> Column:
+    """A lower-case text with its white space but newlines as blanks; most texts have no other, so that is looked for first."""
+    lowered, rare = F.lower(text), [text.contains(c) for c in "\t\x0b\f\r"]
+    return F.when(rare[0] | rare[1] | rare[2] | rare[3], F.regexp_replace(lowered, r"[\t\x0B\f\r]", " ")).otherwise(lowered)
 
 
-def words(text: Column) -> Column:
-    """The distinct words of a lower-case text."""
-    return F.array_distinct(F.array_remove(_parts(text), ""))
+def words(line: Column) -> Column:
+    """The distinct words of a line of a plain text."""
+    return F.array_remove(F.array_distinct(F.split(line, " ")), "")
 
 
 def let(value: Column, body) -> Column:
@@ -78,7 +79,7 @@ def _byte(table: Column, place: Column) -> Column:
 def _member_test(hashes: DataFrame, most: int = _BITMAP_BITS):
     """A test on a hash that all of hashes (one column, h) pass and few others: a bitmap with four bits a byte."""
     hashes = written(hashes.distinct(), "line-members")
-    bits = min(most, max(10, int(8 * hashes.count()).bit_length()))
+    bits = min(most, max(10, int(32 * hashes.count()).bit_length()))
     cell = F.shiftrightunsigned("h", 64 - bits)
     bit = F.when(cell % 4 == 0, 1).when(cell % 4 == 1, 2).when(cell % 4 == 2, 4).otherwise(8)
     cells = hashes.groupBy(F.shiftright(cell, 2).alias("place")).agg(F.bit_or(bit).alias("value"))
@@ -92,56 +93,59 @@ def _member_test(hashes: DataFrame, most: int = _BITMAP_BITS):
     return test
 
 
-def _word_classes(lowered: DataFrame, bits: int) -> bytes:
-    """Rarity classes of the cells of words: binary logarithms of counts, one a byte. A word of class 0 stands in one line only."""
-    seen = lowered.select(F.explode(_parts(F.col("text"))).alias("w")).filter("w <> ''")
-    counts = seen.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).cast("int").alias("place")).agg(F.count("*").alias("n")).filter("n > 1")
-    return bytes(written(_table(counts.select("place", (F.length(F.bin("n")) - 1).alias("value")), 1 << bits), "line-words").first()["table"])  # 2 ** bits bytes
+def _word_classes(plain: DataFrame, bits: int) -> Column:
+    """The least tokens of the cells of words, an array that is the same for all rows, by their rarity class: the binary logarithm of the count. A word of class 0 stands in one line only."""
+    seen = plain.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter("w <> ''")
+    counts = seen.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).alias("place")).agg(F.count("*").alias("n")).filter("n > 1")
+    places = plain.sparkSession.range(1 << bits).withColumnRenamed("id", "place")
+    cells = places.join(counts, "place", "left").select("place", F.shiftleft(F.coalesce(F.length(F.bin("n")) - 1, F.lit(0)).cast("long"), 57).alias("value"))
+    table = written(cells.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]), ",").alias("classes")), "line-words")
+    text = table.first()["classes"]
+    removed(table)
+    return F.split(F.lit(text), ",").cast("array<bigint>")
 
 
-def _described(lowered: DataFrame, table: bytes, bits: int, percent: int) -> DataFrame:
+def _described(plain: DataFrame, classes: Column, bits: int, percent: int) -> DataFrame:
     """Of each line: place, key of its set, size, parity, and those prefix words that may occur elsewhere, with the position of the first."""
-    lines = lowered.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    lines = plain.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     sets = lines.select("id", "line", words(F.col("text")).alias("w"))
-    hashed = sets.select("id", "line", F.size("w").alias("n"), F.substring(F.unhex(F.sha2(F.array_join(F.sort_array("w"), " "), 256)), 1, 16).alias("key"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
-    # These lambdas run once a word: class and hash in one number that sorts by rarity, and parities of all words and of those with bit 6 of the hash.
-    rarity = lambda h: _byte(F.lit(bytearray(table)), F.shiftrightunsigned(h, 64 - bits)).cast("long")
-    token = lambda h: F.shiftleft(rarity(h), 57).bitwiseXOR(F.shiftrightunsigned(h, 7))
-    odd = lambda bit: F.aggregate("h", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", bit(h), h.bitwiseAND(63).cast("int"))))
-    all_, some = odd(lambda h: F.lit(1).cast("long")), odd(lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(1))
-    tokens = hashed.select("id", "line", "n", "key", F.sort_array(F.transform("h", token)).alias("t"), all_.alias("p1"), some.alias("p2"))
+    # These lambdas run once a word: class and hash in one number that sorts by rarity, and parities of all words and of those with bit 6 of it.
+    token = lambda h: F.get(classes, F.shiftrightunsigned(h, 64 - bits)).bitwiseXOR(F.shiftrightunsigned(h, 7))
+    key = F.substring(F.unhex(F.sha2(F.array_join(F.sort_array("w"), " "), 256)), 1, 16)
+    tokens = sets.select("id", "line", F.size("w").alias("n"), key.alias("key"), F.sort_array(F.transform(F.transform("w", lambda w: F.xxhash64(w)), token)).alias("t"))
+    odd = lambda bit: F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", bit(t), t.bitwiseAND(63).cast("int"))))
+    all_, some = odd(lambda t: F.lit(1).cast("long")), odd(lambda t: F.shiftrightunsigned(t, 6).bitwiseAND(1))
     prefix = F.expr(f"slice(t, 1, n - ({percent} * n + 99) div 100 + 1)")
-    shared = tokens.select("id", "line", "n", "key", "p1", "p2", F.when(F.col("n") > 0, prefix).alias("t"))
+    shared = tokens.select("id", "line", "n", "key", all_.alias("p1"), some.alias("p2"), F.when(F.col("n") > 0, prefix).alias("t"))
     known = shared.withColumn("words", F.filter("t", lambda t: t >= _token(1)))
     return known.select("id", "line", "n", "key", "p1", "p2", (F.size("t") - F.size("words")).alias("skip"), "words")
 
 
 def _token(rarity: int) -> int:
-    """The least token of a rarity class; bytes of the table begin at 64, so that tokens are negative."""
-    return (rarity + 64 << 57) - (1 << 64)
+    """The least token of a rarity class."""
+    return rarity << 57
 
 
-_ROW = ["n", "pos", "p1", "p2"]
+_ROW = ["id", "line", "n", "pos", "p1", "p2"]
 
 
 def _exploded(lines: DataFrame) -> DataFrame:
     """Prefix words of lines, a row each."""
-    rows = lines.select("id", "line", "n", "p1", "p2", "skip", "open", F.posexplode("words").alias("i", "word"))
-    return rows.select("word", "id", "line", "n", (F.col("skip") + F.col("i")).alias("pos"), "p1", "p2", "open")
+    rows = lines.select("id", "line", "n", "p1", "p2", "skip", F.posexplode("words").alias("i", "word"))
+    return rows.select("word", "id", "line", "n", (F.col("skip") + F.col("i")).alias("pos"), "p1", "p2")
 
 
-def _side(rows: DataFrame, name: str) -> DataFrame:
-    """Rows as one side of a join: word, name (id, line), and the rest with name behind."""
-    return rows.select("word", F.struct("id", "line").alias(name), *[F.col(c).alias(c + name) for c in _ROW])
-
-
-def _fits(percent: int, packed: bool = False) -> Column:
-    """Whether the sets of x and y, y being earlier, may be similar; packed: places are doubled, and odd where a line is open, as x has to be."""
-    posx, posy = ("(posx div 2)", "(posy div 2)") if packed else ("posx", "posy")
+def _pairs(xs: DataFrame, ys: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y: structs of id, line) of one word, y being earlier, whose sets may be similar, once each."""
     need = f"(({percent} * (nx + ny) + {99 + percent}) div {100 + percent})"
-    test = f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and least(nx - {posx}, ny - {posy}) >= {need} and bit_count(p1x ^ p1y ^ p2x ^ p2y) + bit_count(p2x ^ p2y) <= nx + ny - 2 * {need}"
-    # In one expression, so that no part of it is tested on one side before the shuffle that both share.
-    return F.expr(f"case when posx % 2 = 1 then {test} and y < x else false end" if packed else f"{test} and y < x")
+    side = lambda rows, name: rows.select("word", *[F.col(c).alias(c + name) for c in _ROW])
+    both = side(xs, "x").join(side(ys, "y"), "word").filter(
+        f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and least(nx - posx, ny - posy) >= {need}"
+        f" and bit_count(p1x ^ p1y ^ p2x ^ p2y) + bit_count(p2x ^ p2y) <= nx + ny - 2 * {need}"
+        " and (idy < idx or idy = idx and liney < linex)"
+    )
+    place = lambda name: F.struct(F.col(f"id{name}").alias("id"), F.col(f"line{name}").alias("line")).alias(name)
+    return both.select("idx", "linex", "idy", "liney").distinct().select(place("x"), place("y"))
 
 
 class _Judge:
@@ -150,13 +154,15 @@ class _Judge:
     def __init__(self, docs: DataFrame, needed: DataFrame, percent: int):
         place = lambda: F.xxhash64("id", "line")
         test = _member_test(needed.select(place().alias("h")))
-        lines = docs.select(F.col(_ID).alias("id"), F.posexplode(F.split(F.lower(_TEXT), "\n")).alias("line", "text")).filter(test(place()))
+        lines = docs.select(F.col(_ID).alias("id"), F.posexplode(F.split(_plain(F.col(_TEXT)), "\n")).alias("line", "text")).filter(test(place()))
         self.sets = written(lines.select(F.struct("id", "line").alias("at"), words(F.col("text")).alias("w")), "line-texts")
         self.percent, self.tables = percent, [self.sets]
 
     def similar(self, pairs: DataFrame) -> DataFrame:
         """Those x that are similar to their y; a line stands once."""
-        both = pairs.join(self.sets.select(F.col("at").alias("x"), F.col("w").alias("wx")), "x").join(self.sets.select(F.col("at").alias("y"), F.col("w").alias("wy")), "y")
+        # Each side is joined with the pairs alone, so that lines in no pair aren't shuffled where pairs are few.
+        side = lambda name: pairs.join(self.sets.select(F.col("at").alias(name), F.col("w").alias(f"w{name}")), name)
+        both = side("x").join(side("y"), ["x", "y"])
         sized = both.select("x", F.size(F.array_intersect("wx", "wy")).alias("s"), (F.size("wx") + F.size("wy")).alias("n"))
         out = written(sized.filter(f"100 * s >= {self.percent} * (n - s)").select("x").distinct(), "lines-similar")
         self.tables.append(out)
@@ -165,11 +171,10 @@ class _Judge:
 
 def _hot_rounds(hot: DataFrame, judge: _Judge, percent: int) -> tuple[DataFrame, DataFrame]:
     """Lines of large buckets that have gone after rounds of comparisons with one line of each bucket, and the pairs still to be judged."""
-    total, gone, tried = hot.count(), None, None
-    state = hot.filter("open")
+    total, gone, tried, state = hot.count(), None, None, hot
     for _ in range(_ROUNDS):
-        pivots = state.groupBy("word").agg(F.min(F.struct("id", "line", *_ROW)).alias("p")).select("word", "p.*")
-        pairs = written(_side(state, "x").join(_side(pivots, "y"), "word").filter(_fits(percent)).select("x", "y").distinct(), "line-hot-stars")
+        pivots = state.groupBy("word").agg(F.min(F.struct(*_ROW)).alias("p")).select("word", "p.*")
+        pairs = written(_pairs(state, pivots, percent), "line-hot-stars")
         found = judge.similar(pairs)
         judge.tables.append(pairs)
         gone = found if gone is None else gone.unionByName(found)
@@ -180,57 +185,53 @@ def _hot_rounds(hot: DataFrame, judge: _Judge, percent: int) -> tuple[DataFrame,
         work = state.groupBy("word").count().join(hot.groupBy("word").agg(F.count("*").alias("c")), "word").agg(F.sum(F.col("count") * F.col("c"))).first()[0] or 0
         if work <= _DENSE * total or found.count() < total >> 8 or found.isEmpty():
             break
-    stay = hot.filter("open").join(gone.select("x.*").distinct(), ["id", "line"], "left_anti")
-    late = _side(stay, "x").join(_side(hot, "y"), "word").filter(_fits(percent)).select("x", "y").distinct()
-    return gone, late.join(tried, ["x", "y"], "left_anti")
+    stay = hot.join(gone.select("x.*").distinct(), ["id", "line"], "left_anti")
+    return gone, _pairs(stay, hot, percent).join(tried, ["x", "y"], "left_anti")
 
 
 def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, line) of the lines that go; docs: __id, __text without null ids."""
-    lowered = docs.select(F.col(_ID).alias("id"), F.lower(_TEXT).alias("text"))
-    size = docs.agg(F.sum(F.octet_length(_TEXT))).first()[0] or 0
-    bits = min(_WORD_BITS, max(10, int(size / 7).bit_length()))
-    described = written(_described(lowered, _word_classes(lowered, bits), bits, percent), "line-sets")
-    at = F.struct("id", "line")
-    firsts = described.filter(F.col("n") >= min_words).groupBy("key").agg(F.min(at).alias("first"))
-    placed = written(described.join(firsts, "key").select("id", "line", "n", "p1", "p2", "skip", F.when(at == F.col("first"), F.col("words")).alias("words"), (at > F.col("first")).alias("equal")), "line-classes")
+    plain = docs.select(F.col(_ID).alias("id"), _plain(F.col(_TEXT)).alias("text"))
+    bits = min(_WORD_BITS, max(10, int(32 * docs.count()).bit_length()))
+    described = written(_described(plain, _word_classes(plain, bits), bits, percent).filter(F.col("n") >= min_words), "line-sets")
+    # Of lines of one set the earliest stands for all, with what is needed to compare it.
+    firsts = described.groupBy("key").agg(F.min(F.struct("id", "line", "n", "p1", "p2", "skip", "words")).alias("first"))
+    firsts = written(firsts.select("key", "first.*"), "line-classes")
+    equal = written(described.select("key", "id", "line").join(firsts.select("key", "id", "line"), ["key", "id", "line"], "left_anti").select("id", "line"), "lines-equal")
     removed(described)
 
-    # In a bucket's comparison with its earliest line most lines of a group of near copies go; only the others are compared further.
-    # Pivots are found before the shuffle as far as may be, rows of words that no other line has don't matter for them.
-    rows = _exploded(placed.filter("not equal").withColumn("open", F.lit(True)))
-    pivots = rows.groupBy("word").agg(F.min(F.struct("id", "line", *_ROW)).alias("p"), F.count("*").alias("c")).filter("c > 1").select("word", "p.*")
-    stars = written(_side(rows, "x").join(_side(pivots, "y"), "word").filter(_fits(percent)).select("x", "y").distinct(), "line-stars")
-    at_first = _Judge(docs, stars.select(F.explode(F.array("x", "y")).alias("at")).select("at.*"), percent)
-    early = at_first.similar(stars)
-    removed(at_first.sets)
-
-    gone = early.select("x.*", F.lit(False).alias("open"))
-    marked = written(placed.join(gone, ["id", "line"], "left").withColumn("open", F.col("open").isNull()), "line-marked")
-    removed(placed)
-    rows = _exploded(marked.filter("not equal"))
-    often = F.col("open") & (F.col("word") >= _token(_LARGE.bit_length() - 1))
+    rows = _exploded(firsts)
+    often = F.col("word") >= _token(_LARGE.bit_length() - 1)
     large = written(rows.filter(often).groupBy("word").count().filter(F.col("count") > _LARGE).select("word"), "line-large")
     any_large = not large.isEmpty()
+    # Both sides are the same rows, so they are shuffled once.
     small = (rows.join(large, "word", "left_anti") if any_large else rows).repartition("word")
-    # Both sides are the same rows, so they are shuffled once; which of them are open stands in their places.
-    both = small.withColumn("pos", F.col("pos") * 2 + F.col("open").cast("int"))
-    pairs = _side(both, "x").join(_side(both, "y"), "word").filter(_fits(percent, packed=True)).select("x", "y").distinct()
-    pairs = written(pairs.join(stars, ["x", "y"], "left_anti"), "line-pairs")
+    pairs = written(_pairs(small, small, percent), "line-pairs")
+    tables = [large, pairs, equal]
 
     needed, hot = pairs.select(F.explode(F.array("x", "y")).alias("at")).select("at.*"), None
     if any_large:
         hot = written(rows.join(large, "word", "left_semi"), "line-hot")
+        tables.append(hot)
         needed = needed.unionByName(hot.select("id", "line"))
+    removed(firsts)
     judge = _Judge(docs, needed, percent)
-    judge.tables += [marked, large, stars, pairs, *at_first.tables[1:], *([] if hot is None else [hot])]
-    out = marked.filter("equal").select("id", "line").unionByName(early.select("x.*"))
+    judge.tables += tables
+    gone = []
     if hot is not None:
         more, late = _hot_rounds(hot, judge, percent)
+        gone.append(more)
         pairs = written(pairs.join(more.select("x").distinct(), "x", "left_anti").unionByName(late).distinct(), "line-pairs")
         judge.tables.append(pairs)
-        out = out.unionByName(more.select("x.*"))
-    out = written(out.unionByName(judge.similar(pairs).select("x.*")).distinct(), "lines-gone")
+    # The earliest candidate of a line first: the others are only read where it differs.
+    nearest = written(pairs.groupBy("x").agg(F.min("y").alias("y")), "line-nearest")
+    gone.append(judge.similar(nearest))
+    others = written(pairs.join(gone[-1], "x", "left_anti").join(nearest, ["x", "y"], "left_anti"), "line-others")
+    gone.append(judge.similar(others))
+    judge.tables += [nearest, others]
+    for found in gone:
+        equal = equal.unionByName(found.select("x.*"))
+    out = written(equal.distinct(), "lines-gone")
     removed(*judge.tables)
     return out
 
